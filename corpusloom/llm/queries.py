@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import mixing, simhash, topk
+from corpusloom.llm import mixing, simhash, tokencount, topk
 from corpusloom.session import table
 
 
@@ -12,6 +12,12 @@ def op1_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op8_tokencounts(spark, sf_dir):
+    import public_tokenizers
+
+    return tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op9_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -29,7 +35,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
-QUERIES = {"op1_simhash": op1_simhash, "op9_mixing": op9_mixing, "op10_topk": op10_topk}
+QUERIES = {"op1_simhash": op1_simhash, "op8_tokencounts": op8_tokencounts, "op9_mixing": op9_mixing, "op10_topk": op10_topk}
 ORACLE = {"op9_mixing": mixing.ORACLE, "op10_topk": OP10_SQL}
 
 
