@@ -71,3 +71,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
             return new.select("node", "root")
         state = new.select("node", "root")
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+
+
+def join_checked(big: DataFrame, small: DataFrame, on, how: str, most_rows: int = 1_000_000) -> DataFrame:
+    """Join; ``small`` (a few narrow columns) is broadcast only if it has at most ``most_rows`` rows, else both sides are shuffled."""
+    n = small.limit(most_rows + 1).count()
+    return big.join(F.broadcast(small) if n <= most_rows else small, on, how)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import mixing, simhash, tokencount, topk, toxicity
+from corpusloom.llm import mixing, quality, simhash, tokencount, topk, toxicity
 from corpusloom.session import table
 
 
@@ -12,6 +12,12 @@ def op1_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op3_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    out, names = quality.classify(docs, quality.trusted_ids(table(spark, sf_dir, "labels")))
+    return out.select("doc_id", "lang", *names)
+
+
 def op4_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -40,7 +46,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
-QUERIES = {"op1_simhash": op1_simhash, "op4_toxicity": op4_toxicity, "op8_tokencounts": op8_tokencounts, "op9_mixing": op9_mixing, "op10_topk": op10_topk}
+QUERIES = {"op1_simhash": op1_simhash, "op3_quality": op3_quality, "op4_toxicity": op4_toxicity, "op8_tokencounts": op8_tokencounts, "op9_mixing": op9_mixing, "op10_topk": op10_topk}
 ORACLE = {"op9_mixing": mixing.ORACLE, "op10_topk": OP10_SQL}
 
 
