@@ -32,6 +32,8 @@ BUCKETS = 1 << BITS
 WINDOW = 32
 LEAST = 8
 DIMS = 8
+#: Share of the loss that the toxic documents have.
+PRIOR = 0.35
 CACHED = 400_000
 #: ASCII control characters, punctuation and white space part words.
 PARTS = bytes(32 if i < 128 and not chr(i).isalnum() else i for i in range(256))
@@ -105,7 +107,7 @@ def fit(texts: list[bytes], labels: list[int], steps: int = 120, all_steps: int
     out = rng.normal(0, 0.1, (DIMS, 2))
     bias = np.zeros(2)
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (emb, out, bias)]
-    balance = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    balance = np.where(y == 1, PRIOR / y.mean(), (1 - PRIOR) / (1 - y.mean()))
     for step in range(1, steps + 1):
         axis = out[:, 1] - out[:, 0]
         by_bucket = emb @ axis
