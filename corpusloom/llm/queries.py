@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontam, mixing, quality, simhash, tokencount, topk, toxicity
+from corpusloom.llm import decontam, linededup, mixing, quality, simhash, tokencount, topk, toxicity
 from corpusloom.session import table
 
 
@@ -27,6 +27,11 @@ def op5_decontam(spark, sf_dir):
     return decontam.contaminated(table(spark, sf_dir, "documents"), decontam.split_items(table(spark, sf_dir, "benchmark")))
 
 
+def op6_linededup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.dedup_lines(docs, counts=("n_lines", "n_kept")).select("doc_id", "n_lines", "n_kept", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
 def op8_tokencounts(spark, sf_dir):
     import public_tokenizers
 
@@ -50,7 +55,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
-QUERIES = {"op1_simhash": op1_simhash, "op3_quality": op3_quality, "op4_toxicity": op4_toxicity, "op5_decontam": op5_decontam, "op8_tokencounts": op8_tokencounts, "op9_mixing": op9_mixing, "op10_topk": op10_topk}
+QUERIES = {"op1_simhash": op1_simhash, "op3_quality": op3_quality, "op4_toxicity": op4_toxicity, "op5_decontam": op5_decontam, "op6_linededup": op6_linededup, "op8_tokencounts": op8_tokencounts, "op9_mixing": op9_mixing, "op10_topk": op10_topk}
 ORACLE = {"op9_mixing": mixing.ORACLE, "op10_topk": OP10_SQL}
 
 
