@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontam, linededup, mixing, quality, simhash, tokencount, topk, toxicity
+from corpusloom.llm import decontam, licenses, linededup, mixing, quality, simhash, tokencount, topk, toxicity, warc
 from corpusloom.session import table
 
 
@@ -12,6 +12,11 @@ def op1_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op2_licenses(spark, sf_dir):
+    known = licenses.catalogue(spark)
+    return licenses.scan(table(spark, sf_dir, "documents"), known, known).withColumn("notices", F.array_join("notices", ","))
+
+
 def op3_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     out, names = quality.classify(docs, quality.trusted_ids(table(spark, sf_dir, "labels")))
@@ -32,6 +37,12 @@ def op6_linededup(spark, sf_dir):
     return linededup.dedup_lines(docs, counts=("n_lines", "n_kept")).select("doc_id", "n_lines", "n_kept", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
+def op7_warc(spark, sf_dir):
+    out = warc.resolve(warc.records_of_pages(table(spark, sf_dir, "pages")))
+    headers = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")
+    return out.select("record_id", "url_key", "full_id", "state", headers.alias("headers"), F.length("payload").cast("long").alias("payload_chars"), F.md5("payload").alias("payload_md5"))
+
+
 def op8_tokencounts(spark, sf_dir):
     import public_tokenizers
 
@@ -55,8 +66,25 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
-QUERIES = {"op1_simhash": op1_simhash, "op3_quality": op3_quality, "op4_toxicity": op4_toxicity, "op5_decontam": op5_decontam, "op6_linededup": op6_linededup, "op8_tokencounts": op8_tokencounts, "op9_mixing": op9_mixing, "op10_topk": op10_topk}
-ORACLE = {"op9_mixing": mixing.ORACLE, "op10_topk": OP10_SQL}
+QUERIES = {"op1_simhash": op1_simhash, "op2_licenses": op2_licenses, "op3_quality": op3_quality, "op4_toxicity": op4_toxicity, "op5_decontam": op5_decontam, "op6_linededup": op6_linededup, "op7_warc": op7_warc, "op8_tokencounts": op8_tokencounts, "op9_mixing": op9_mixing, "op10_topk": op10_topk}
+OP7_SQL = """
+WITH p AS (SELECT page_id, url, html, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '/+$', '') AS x FROM pages),
+c AS (SELECT *, lower(regexp_extract(x, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS head, lower(regexp_replace(regexp_extract(x, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1), '^.*@', '')) AS host,
+  regexp_replace(regexp_extract(x, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)', 1), '/+$', '') AS path,
+  array_to_string(list_sort(list_filter(string_split(regexp_extract(x, '\\?(.*)$', 1), '&'), lambda q: q <> '' AND NOT regexp_matches(lower(q), '^(utm_[a-z]+|gclid|fbclid|phpsessid|jsessionid|sid)='))), '&') AS q FROM p),
+u AS (SELECT page_id, html, '"' || md5(html) || '"' AS tag, head || '://' || regexp_replace(host, CASE head WHEN 'http' THEN ':80$' ELSE ':443$' END, '') || path || CASE WHEN q = '' THEN '' ELSE '?' || q END AS url_key FROM c),
+r AS (SELECT page_id * 2 AS record_id, url_key, page_id AS date, true AS response, page_id % 11 <> 0 AS is_full, tag AS etag, 'day ' || (page_id % 28) AS lm, page_id, html FROM u
+  UNION ALL SELECT page_id * 2 + 1, url_key, page_id + page_id % 97, false, false, CASE WHEN page_id % 5 = 0 THEN '"other"' WHEN page_id % 7 <> 0 THEN tag END, CASE WHEN page_id % 3 <> 0 THEN 'day ' || (page_id % 28) END, page_id, NULL FROM u),
+a AS (SELECT *, last_value(CASE WHEN is_full THEN record_id END IGNORE NULLS) OVER (PARTITION BY url_key ORDER BY date, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM r),
+j AS (SELECT a.*, CASE WHEN NOT a.response THEN a.prior END AS full_id, f.etag AS fe, f.lm AS fl, f.page_id AS fp, f.html AS fh FROM a LEFT JOIN r f ON NOT a.response AND a.prior = f.record_id),
+s AS (SELECT *, CASE WHEN response THEN CASE WHEN is_full THEN 'full' ELSE 'other' END WHEN full_id IS NULL THEN 'unresolved' WHEN etag IS NOT NULL THEN CASE WHEN etag = fe THEN 'verified' ELSE 'mismatch' END
+  WHEN lm IS NOT NULL THEN CASE WHEN lm = fl THEN 'verified' ELSE 'mismatch' END ELSE 'unverified' END AS state FROM j),
+b AS (SELECT *, CASE WHEN response THEN html WHEN state IN ('verified', 'unverified') THEN fh END AS body FROM s)
+SELECT record_id, url_key, full_id, state, CASE WHEN response THEN 'age=0;content-type=text/html;x-page=' || page_id WHEN state IN ('verified', 'unverified') THEN 'age=' || (page_id % 97) || ';content-type=text/html;x-page=' || fp
+  ELSE 'age=' || (page_id % 97) || ';content-type=none' END AS headers, length(body) AS payload_chars, md5(body) AS payload_md5 FROM b
+"""
+
+ORACLE = {"op2_licenses": licenses.oracle(), "op7_warc": OP7_SQL, "op9_mixing": mixing.ORACLE, "op10_topk": OP10_SQL}
 
 
 def queries():
