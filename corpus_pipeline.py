@@ -1 +1,72 @@
-STAGES = []
+"""Corpus pipeline: quality classifier, line dedup, near-dedup, decontamination, mixing.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
+again for the next one. All but the last keep the columns of ``documents``. Repeated rows are
+handled as the operators define; null ids never match a decision by id and are kept.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusloom.llm import decontam, linededup, mixing, quality, simhash
+from corpusloom.llm.common import join_checked, stored, work_dir
+from corpusloom.session import table
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    scored, (_, _, keep) = quality.classify(docs, quality.trusted_ids(table(spark, sf_dir, "labels")))
+    return scored.where(F.col(keep)).select(*docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines that an earlier line stands for; n_chars follows the text."""
+    out = linededup.dedup_lines(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies, the document with the smallest id."""
+    classes = simhash.near_duplicates(docs)
+    gone = stored(classes.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone_id")).distinct(), "copies")
+    return join_checked(docs, gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    found = decontam.contaminated(docs, decontam.split_items(table(spark, sf_dir, "benchmark")))
+    gone = stored(found.select(F.col("doc_id").alias("gone_id")).distinct(), "leaks")
+    return join_checked(docs, gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix takes."""
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("line dedup", dedup_lines),
+    ("near-dedup", drop_near_duplicates),
+    ("decontamination", decontaminate),
+    ("mixing", mix_sources),
+]
+
+#: Not expressible in SQL (trained model, MinHash, SimHash, BM25): tested against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        path = f"{work_dir(spark).rstrip('/')}/corpusloom/stage-{name.replace(' ', '-')}-{uuid.uuid4().hex}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from corpusloom.llm import decontam, licenses, linededup, mixing, quality, simhash, tokencount, topk, toxicity, warc
 from corpusloom.session import table
 
@@ -66,7 +67,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_licenses": op2_licenses, "op3_quality": op3_quality, "op4_toxicity": op4_toxicity, "op5_decontam": op5_decontam, "op6_linededup": op6_linededup, "op7_warc": op7_warc, "op8_tokencounts": op8_tokencounts, "op9_mixing": op9_mixing, "op10_topk": op10_topk}
+QUERIES = {"pipeline": corpus_pipeline.run, "op1_simhash": op1_simhash, "op2_licenses": op2_licenses, "op3_quality": op3_quality, "op4_toxicity": op4_toxicity, "op5_decontam": op5_decontam, "op6_linededup": op6_linededup, "op7_warc": op7_warc, "op8_tokencounts": op8_tokencounts, "op9_mixing": op9_mixing, "op10_topk": op10_topk}
 OP7_SQL = """
 WITH p AS (SELECT page_id, url, html, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '/+$', '') AS x FROM pages),
 c AS (SELECT *, lower(regexp_extract(x, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS head, lower(regexp_replace(regexp_extract(x, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1), '^.*@', '')) AS host,
@@ -92,4 +93,4 @@ def queries():
 
 
 def oracle_sql():
-    return dict(ORACLE)
+    return ORACLE | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
