@@ -10,9 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.plans import corpus
+from corpusloom.plans import corpus, text
 
-MODULES = (corpus,)
+MODULES = (text, corpus)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
