@@ -10,9 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.plans import corpus, text
+from corpusloom.plans import corpus, relational, scores, text
 
-MODULES = (text, corpus)
+MODULES = (text, corpus, relational, scores)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
