@@ -33,12 +33,12 @@ Q("subquery_correlated_count", "documents labels", lambda d: "SELECT doc_id, coa
 Q("join_anti", "customer orders", lambda d: "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
 Q("join_semi", "documents labels", lambda d: "SELECT doc_id, source FROM documents x WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = x.doc_id AND l.quality = 1)")
 Q("dict_lookup", "nation region customer", lambda d: "SELECT r_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
-Q("resolve_page", "documents", lambda d: f"WITH p AS (SELECT doc_id, i AS page, s FROM ({SENTENCES(d)}) x WHERE i <= 30), c AS (SELECT doc_id, substring(trim(text), 200, 30) AS head FROM documents WHERE length(text) > 400) SELECT c.doc_id, min(p.page) AS page FROM c JOIN p ON p.doc_id = c.doc_id AND {d.pos('c.head', 'p.s')} > 0 GROUP BY c.doc_id")
-Q("self_adjacent", "documents", lambda d: f"SELECT doc_id, i, {d.size(d.intersect(d.distinct(t.tok_d(d, 's')), d.distinct(t.tok_d(d, 'nxt'))))} AS shared FROM (SELECT doc_id, i, s, lead(s) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM ({SENTENCES(d)}) x WHERE i <= 40) y WHERE nxt IS NOT NULL")
+Q("resolve_page", "documents", lambda d: f"WITH p AS (SELECT doc_id, i AS page, s FROM ({SENTENCES(d)}) x), c AS (SELECT doc_id, substring(trim(text), 200, 30) AS head FROM documents WHERE length(text) > 400) SELECT c.doc_id, min(p.page) AS page FROM c JOIN p ON p.doc_id = c.doc_id AND {d.pos('c.head', 'p.s')} > 0 GROUP BY c.doc_id")
+Q("self_adjacent", "documents", lambda d: f"SELECT doc_id, i, {d.size(d.intersect(d.distinct(t.tok_d(d, 's')), d.distinct(t.tok_d(d, 'nxt'))))} AS shared FROM (SELECT doc_id, i, s, lead(s) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM ({SENTENCES(d)}) x) y WHERE nxt IS NOT NULL")
 Q("cross_alg_metrics", "lineitem", lambda d: f"SELECT metric, avg(v) AS mean, count(*) AS n FROM (SELECT 'quantity' AS metric, l_quantity AS v FROM lineitem UNION ALL SELECT 'discount', l_discount FROM lineitem UNION ALL SELECT 'tax', l_tax FROM lineitem) x GROUP BY metric".replace("avg(v)", "round(avg(v), 9)"))
 
 # windows and ranking
-Q("rank_results", "events", lambda d: f"SELECT run_id, algorithm, {d.long('row_number() OVER (ORDER BY CASE WHEN algorithm = {0} THEN 1 ELSE 0 END, rouge_l DESC, latency, run_id)'.format(d.lit('view')))} AS rank FROM ({RUNS}) r WHERE user_id % 50 = 0")
+Q("rank_results", "events", lambda d: f"SELECT run_id, algorithm, {d.long('row_number() OVER (ORDER BY CASE WHEN algorithm = {0} THEN 1 ELSE 0 END, rouge_l DESC, latency, run_id)'.format(d.lit('view')))} AS rank FROM ({RUNS}) r")
 Q("dense_rank_positions", "embeddings", lambda d: "SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS pos FROM embeddings")
 Q("per_doc_topk", "documents", lambda d: f"SELECT doc_id, i, words FROM (SELECT doc_id, i, words, row_number() OVER (PARTITION BY doc_id ORDER BY words DESC, i) AS nth FROM (SELECT doc_id, i, {d.long(t.n_words(d, 's'))} AS words FROM ({SENTENCES(d)}) x) y) z WHERE nth <= 3")
 Q("coverage_backfill", "documents", lambda d: """
@@ -49,7 +49,7 @@ SELECT doc_id, source, 'top' AS how FROM top UNION ALL SELECT rest.doc_id, rest.
 Q("topn_per_model", "events", lambda d: f"SELECT algorithm, run_id, rouge_l FROM (SELECT *, row_number() OVER (PARTITION BY algorithm ORDER BY rouge_l DESC, run_id) AS nth FROM ({RUNS}) r) x WHERE nth <= 5")
 Q("argmax_group", "events", lambda d: f"SELECT algorithm, run_id AS best FROM (SELECT *, row_number() OVER (PARTITION BY algorithm ORDER BY rouge_l DESC, latency, run_id) AS nth FROM ({RUNS}) r) x WHERE nth = 1")
 Q("importance_rank", "documents", lambda d: f"""
-WITH s AS (SELECT doc_id, i, {d.distinct(t.tok_d(d, 's'))} AS w FROM ({SENTENCES(d)}) x WHERE i <= 30), e AS (SELECT doc_id, i, {d.explode('w')} AS w FROM s),
+WITH s AS (SELECT doc_id, i, {d.distinct(t.tok_d(d, 's'))} AS w FROM ({SENTENCES(d)}) x), e AS (SELECT doc_id, i, {d.explode('w')} AS w FROM s),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id), df AS (SELECT doc_id, w, count(*) AS df FROM e GROUP BY doc_id, w),
 z AS (SELECT e.doc_id, e.i, round(sum(ln((1e0 + n) / (1e0 + df)) + 1), 6) AS score FROM e JOIN df ON e.doc_id = df.doc_id AND e.w = df.w JOIN n ON e.doc_id = n.doc_id GROUP BY e.doc_id, e.i)
 SELECT doc_id, i, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i DESC) AS rank FROM z""")
@@ -59,7 +59,7 @@ Q("order_limit", "orders", lambda d: "SELECT o_orderkey, o_orderdate FROM orders
 Q("limit_offset", "orders", lambda d: "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 20 OFFSET 40")
 Q("page_of", "documents", lambda d: "WITH f AS (SELECT doc_id FROM documents WHERE lang = 'en' AND lower(text) LIKE '%the%') SELECT p.doc_id, c.total, ceil(c.total / 10e0) AS pages FROM (SELECT doc_id FROM f ORDER BY doc_id LIMIT 10 OFFSET 10) p CROSS JOIN (SELECT count(*) AS total FROM f) c")
 Q("latest_per_key", "orders", lambda d: "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS nth FROM orders) x WHERE nth = 1")
-Q("activity_feed", "documents pages events", lambda d: f"SELECT kind, id, at_ FROM (SELECT 'run' AS kind, event_id AS id, {d.string('ts')} AS at_ FROM events WHERE event_id % 40 = 0 UNION ALL SELECT 'document', doc_id, '2024-01-15 12:00:00' FROM documents WHERE doc_id < 20 UNION ALL SELECT 'page', page_id, '2024-01-20 08:00:00' FROM pages WHERE page_id < 20) x ORDER BY at_ DESC, kind, id LIMIT 15")
+Q("activity_feed", "documents pages events", lambda d: f"SELECT kind, id, at_ FROM (SELECT 'run' AS kind, event_id AS id, {d.string('ts')} AS at_ FROM events UNION ALL SELECT 'document', doc_id, '2024-01-15 12:00:00' FROM documents UNION ALL SELECT 'page', page_id, '2024-01-20 08:00:00' FROM pages) x ORDER BY at_ DESC, kind, id LIMIT 15")
 Q("recent_runs", "events", lambda d: f"SELECT run_id, algorithm FROM ({RUNS}) r ORDER BY created_at DESC, run_id LIMIT 20")
 
 # runs, leaderboards, dashboards

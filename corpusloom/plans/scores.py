@@ -55,22 +55,23 @@ SELECT s1.doc_id, p.article = p.abstract AS is_biased, CASE WHEN p.article = p.a
 FROM s1 JOIN p ON p.doc_id = s1.doc_id LEFT JOIN h1 ON h1.doc_id = s1.doc_id""")
 
 
-def grounding(d, most=30):
-    """(doc_id, i, best, best_i): for each of the last sentences the best Jaccard among the first ones, through shared terms."""
+def grounding(d, source=50):
+    """CTEs s, e, o, r: each of a document's last three sentences (the summary side) against its other sentences
+    among the first ``source`` (the bound that the operator itself has), by Jaccard over shared terms."""
     return f"""
-WITH s AS (SELECT doc_id, i, {d.distinct(t.tok_d(d, 's'))} AS w FROM ({SENTENCES(d)}) x WHERE i <= {most}),
-e AS (SELECT doc_id, i, {d.size('w')} AS n, {d.explode('w')} AS w FROM s),
-o AS (SELECT a.doc_id, a.i, b.i AS j, {d.double('count(*)')} / (max(a.n) + max(b.n) - count(*)) AS jac FROM e a JOIN e b ON a.doc_id = b.doc_id AND a.w = b.w AND a.i > 10 AND b.i <= 10 GROUP BY a.doc_id, a.i, b.i),
+WITH k AS (SELECT doc_id, i, s, i > max(i) OVER (PARTITION BY doc_id) - 3 AS late FROM ({SENTENCES(d)}) x), s AS (SELECT doc_id, i, late, {d.distinct(t.tok_d(d, 's'))} AS w FROM k),
+e AS (SELECT doc_id, i, late, {d.size('w')} AS n, {d.explode('w')} AS w FROM s WHERE late OR i <= {source}),
+o AS (SELECT a.doc_id, a.i, b.i AS j, count(*) AS hits, {d.double('count(*)')} / (max(a.n) + max(b.n) - count(*)) AS jac FROM e a JOIN e b ON a.doc_id = b.doc_id AND a.w = b.w AND a.late AND NOT b.late GROUP BY a.doc_id, a.i, b.i),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, i ORDER BY jac DESC, j) AS nth FROM o)"""
 
 
 Q("cross_sentence_argmax", "documents", lambda d: f"{grounding(d)} SELECT doc_id, i, j, jac FROM r WHERE nth = 1")
 Q("cross_sentence_chunk_topk", "documents", lambda d: f"{grounding(d)} SELECT doc_id, i, j, jac, nth AS rank FROM r WHERE nth <= 2")
-Q("faithfulness", "documents", lambda d: f"{grounding(d)} SELECT s.doc_id, round(avg(coalesce(r.jac, 0)), 9) AS faithfulness, count(*) AS sentences FROM s LEFT JOIN r ON r.doc_id = s.doc_id AND r.i = s.i AND r.nth = 1 WHERE s.i > 10 GROUP BY s.doc_id")
-Q("consistency_check", "documents", lambda d: f"{grounding(d)} SELECT s.doc_id, s.i, coalesce(r.jac, 0) AS score, CASE WHEN coalesce(r.jac, 0) < 0.45 THEN 'unsupported' WHEN r.jac < 0.62 THEN 'weak' ELSE 'supported' END AS status FROM s LEFT JOIN r ON r.doc_id = s.doc_id AND r.i = s.i AND r.nth = 1 WHERE s.i BETWEEN 11 AND 22")
-Q("hallucination_audit", "documents", lambda d: f"{grounding(d)}, a AS (SELECT s.doc_id, {d.double('count(*)')} AS n, {d.double(d.count_if('coalesce(r.jac, 0) >= 0.35'))} AS grounded FROM s LEFT JOIN r ON r.doc_id = s.doc_id AND r.i = s.i AND r.nth = 1 WHERE s.i > 10 GROUP BY s.doc_id) SELECT doc_id, grounded / n AS grounding, CASE WHEN grounded / n >= 0.75 THEN 'low' WHEN grounded / n >= 0.45 THEN 'medium' ELSE 'high' END AS risk FROM a")
+Q("faithfulness", "documents", lambda d: f"{grounding(d)} SELECT s.doc_id, round(avg(coalesce(r.jac, 0)), 9) AS faithfulness, count(*) AS sentences FROM s LEFT JOIN r ON r.doc_id = s.doc_id AND r.i = s.i AND r.nth = 1 WHERE s.late GROUP BY s.doc_id")
+Q("consistency_check", "documents", lambda d: f"{grounding(d)} SELECT s.doc_id, s.i, coalesce(r.jac, 0) AS score, CASE WHEN coalesce(r.jac, 0) < 0.45 THEN 'unsupported' WHEN r.jac < 0.62 THEN 'weak' ELSE 'supported' END AS status FROM s LEFT JOIN r ON r.doc_id = s.doc_id AND r.i = s.i AND r.nth = 1 WHERE s.late")
+Q("hallucination_audit", "documents", lambda d: f"{grounding(d)}, a AS (SELECT s.doc_id, {d.double('count(*)')} AS n, {d.double(d.count_if('coalesce(r.jac, 0) >= 0.35'))} AS grounded FROM s LEFT JOIN r ON r.doc_id = s.doc_id AND r.i = s.i AND r.nth = 1 WHERE s.late GROUP BY s.doc_id) SELECT doc_id, grounded / n AS grounding, CASE WHEN grounded / n >= 0.75 THEN 'low' WHEN grounded / n >= 0.45 THEN 'medium' ELSE 'high' END AS risk FROM a")
 Q("chat_faithfulness", "events", lambda d: f"SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 1e0 ELSE 0.35e0 * faith + 0.35e0 * cov + 0.30e0 * semantic END AS score FROM ({METRICS}) m")
-Q("cross_citation", "documents", lambda d: f"{grounding(d)}, c AS (SELECT a.doc_id, a.i, b.i AS j, count(*) AS hits FROM e a JOIN e b ON a.doc_id = b.doc_id AND a.w = b.w AND a.i > 10 AND b.i <= 10 GROUP BY a.doc_id, a.i, b.i), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, i ORDER BY hits DESC, j) AS nth FROM c) SELECT doc_id, i, j AS chunk, hits FROM k WHERE nth = 1")
+Q("cross_citation", "documents", lambda d: f"{grounding(d)}, best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, i ORDER BY hits DESC, j) AS pos FROM o) SELECT doc_id, i, j AS chunk, hits FROM best WHERE pos = 1")
 Q("heuristic_judge", "conversations", lambda d: f"""
 WITH q AS (SELECT conv_id, turn, {d.distinct(t.tok_d(d))} AS q FROM conversations WHERE role = 'user'), a AS (SELECT conv_id, turn - 1 AS turn, {d.distinct(t.tok_d(d))} AS a FROM conversations WHERE role = 'assistant')
 SELECT q.conv_id, q.turn, {t.ratio(d, d.size(d.intersect('q', 'a')), d.size('q'))} AS overlap, CASE WHEN {t.ratio(d, d.size(d.intersect('q', 'a')), d.size('q'))} < 0.15 THEN 'insufficient' ELSE 'sufficient' END AS verdict FROM q JOIN a ON q.conv_id = a.conv_id AND q.turn = a.turn""")
@@ -80,7 +81,7 @@ Q("extraction_quality", "documents", lambda d: f"""
 WITH f AS (SELECT doc_id, {t.ratio(d, d.size(d.rx_all(t.text(d), '[^' + chr(92) + 'p{L}' + chr(92) + 'p{N}_' + chr(92) + 'sÀ-ỹĐđ.,;:!?()/%+' + chr(92) + '-|]')), f'length({t.text(d)})')} AS noise, {t.single_ratio(d, t.tok_b(d))} AS single, {t.ratio(d, f'length({t.text(d)}) - length(replace({t.text(d)}, {d.nl}, {chr(39) * 2}))', d.size(t.tok_b(d)))} AS breaks, {d.size(t.tok_b(d))} AS n, {t.ratio(d, d.sum(d.map(t.tok_b(d), d.double('length(v)'), 'v')), d.size(t.tok_b(d)))} AS wl, {t.language(d, 'text')} AS lang FROM documents)
 SELECT doc_id, lang, {CLIP('1e0 - least(0.35e0, noise * 3) - least(0.25e0, greatest(0e0, single - 0.18e0)) - least(0.20e0, greatest(0e0, breaks - 0.12e0)) - CASE WHEN n < 20 THEN 0.25e0 ELSE 0e0 END - CASE WHEN wl < 2.8e0 THEN 0.15e0 ELSE 0e0 END - CASE WHEN lang = {0} THEN 0.10e0 ELSE 0e0 END'.format("'unknown'"))} AS score FROM f""")
 Q("selector_scores", "documents", lambda d: f"WITH p AS ({PAIRS(d)}), f AS (SELECT doc_id, {t.n_words(d, 'abstract')} AS ns, {t.n_words(d, 'article')} AS na FROM p) SELECT doc_id, {CLIP('1e0 - abs(ns - 0.25e0 * na) / greatest(1e0, 0.25e0 * na)')} AS length_score, {d.double('ns')} / greatest(1, na) AS compression FROM f")
-Q("sentence_importance", "documents", lambda d: f"WITH v AS (SELECT doc_id, {d.distinct(t.tok_d(d))} AS v FROM documents), s AS (SELECT doc_id, i, {d.distinct(t.tok_d(d, 's'))} AS w FROM ({SENTENCES(d)}) x WHERE i <= 15) SELECT s.doc_id, s.i, {t.ratio(d, d.size(d.intersect('w', 'v')), d.size('v'))} AS share FROM s JOIN v ON s.doc_id = v.doc_id")
+Q("sentence_importance", "documents", lambda d: f"WITH v AS (SELECT doc_id, {d.distinct(t.tok_d(d))} AS v FROM documents), s AS (SELECT doc_id, i, {d.distinct(t.tok_d(d, 's'))} AS w FROM ({SENTENCES(d)}) x) SELECT s.doc_id, s.i, {t.ratio(d, d.size(d.intersect('w', 'v')), d.size('v'))} AS share FROM s JOIN v ON s.doc_id = v.doc_id")
 Q("token_importance", "documents", lambda d: f"""
 WITH p AS ({PAIRS(d)}), c AS ({counted(d, t.tok_a, 'article')}), a AS ({counted(d, t.tok_a, 'abstract')}), m AS (SELECT doc_id, max(c) AS top FROM c GROUP BY doc_id)
 SELECT doc_id, g AS token, weight FROM (SELECT a.doc_id, a.g, {d.double('c.c')} / m.top AS weight, row_number() OVER (PARTITION BY a.doc_id ORDER BY c.c DESC, a.g) AS nth FROM a JOIN c ON a.doc_id = c.doc_id AND a.g = c.g JOIN m ON m.doc_id = a.doc_id) x WHERE nth <= 40""")
@@ -95,17 +96,17 @@ Q("facts", "documents", lambda d: f"SELECT doc_id, fact FROM (SELECT doc_id, fac
 Q("timeline", "documents", lambda d: f"SELECT doc_id, i, when_ FROM (SELECT doc_id, i, {d.rx_get('s', '([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{3,})', 1)} AS when_ FROM ({SENTENCES(d)}) x) y WHERE when_ <> '' ORDER BY doc_id, i LIMIT 30")
 
 # sentence graphs
-TFIDF = lambda d, most=25: f"""
-s AS (SELECT doc_id, i, {t.tok_a_content(d, 's')} AS a FROM ({SENTENCES(d)}) x WHERE i <= {most}), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+TFIDF = lambda d: f"""
+s AS (SELECT doc_id, i, {t.tok_a_content(d, 's')} AS a FROM ({SENTENCES(d)}) x), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 c AS (SELECT doc_id, i, w, count(*) AS c FROM (SELECT doc_id, i, {d.explode('a')} AS w FROM s) y GROUP BY doc_id, i, w), l AS (SELECT doc_id, i, {d.double('sum(c)')} AS len FROM c GROUP BY doc_id, i), df AS (SELECT doc_id, w, count(*) AS df FROM c GROUP BY doc_id, w),
 raw AS (SELECT c.doc_id, c.i, c.w, c.c / l.len * (ln((1e0 + n.n) / (1e0 + df.df)) + 1) AS x FROM c JOIN l ON c.doc_id = l.doc_id AND c.i = l.i JOIN df ON c.doc_id = df.doc_id AND c.w = df.w JOIN n ON n.doc_id = c.doc_id),
 nrm AS (SELECT doc_id, i, sqrt(sum(x * x)) AS norm FROM raw GROUP BY doc_id, i), m AS (SELECT raw.doc_id, raw.i, raw.w, raw.x / nrm.norm AS x FROM raw JOIN nrm ON raw.doc_id = nrm.doc_id AND raw.i = nrm.i)"""
 COSINE = "e AS (SELECT a.doc_id, a.i, b.i AS j, sum(a.x * b.x) AS sim FROM m a JOIN m b ON a.doc_id = b.doc_id AND a.w = b.w AND a.i < b.i GROUP BY a.doc_id, a.i, b.i)"
 Q("tfidf_sentence_matrix", "documents", lambda d: f"WITH {TFIDF(d)} SELECT doc_id, i, count(*) AS terms, round(sum(x), 6) AS total FROM m GROUP BY doc_id, i")
 Q("tfidf_rank", "documents", lambda d: f"WITH {TFIDF(d)}, z AS (SELECT doc_id, i, round(sum(x), 6) AS score FROM m GROUP BY doc_id, i) SELECT doc_id, i, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i) AS rank FROM z")
-Q("sentence_cosine", "documents", lambda d: f"WITH {TFIDF(d, 15)}, {COSINE} SELECT doc_id, i, j, round(sim, 6) AS sim FROM e")
-Q("ranking_graph", "documents", lambda d: f"WITH {TFIDF(d, 15)}, {COSINE} SELECT doc_id, i, j, sim FROM (SELECT doc_id, i, j, round(sim, 6) AS sim, row_number() OVER (PARTITION BY doc_id ORDER BY round(sim, 6) DESC, i, j) AS nth FROM e WHERE sim > 0.05) x WHERE nth <= 40")
-Q("extractive_explanations", "documents", lambda d: f"WITH {TFIDF(d, 12)}, k AS (SELECT doc_id, i, w, row_number() OVER (PARTITION BY doc_id, i ORDER BY round(x, 6) DESC, w) AS nth FROM m) SELECT doc_id, i, {d.join(d.collect('w', 'nth'), ' ')} AS keywords FROM k WHERE nth <= 5 GROUP BY doc_id, i")
+Q("sentence_cosine", "documents", lambda d: f"WITH {TFIDF(d)}, {COSINE} SELECT doc_id, i, j, round(sim, 6) AS sim FROM e")
+Q("ranking_graph", "documents", lambda d: f"WITH {TFIDF(d)}, {COSINE} SELECT doc_id, i, j, sim FROM (SELECT doc_id, i, j, round(sim, 6) AS sim, row_number() OVER (PARTITION BY doc_id ORDER BY round(sim, 6) DESC, i, j) AS nth FROM e WHERE sim > 0.05) x WHERE nth <= 40")
+Q("extractive_explanations", "documents", lambda d: f"WITH {TFIDF(d)}, k AS (SELECT doc_id, i, w, row_number() OVER (PARTITION BY doc_id, i ORDER BY round(x, 6) DESC, w) AS nth FROM m) SELECT doc_id, i, {d.join(d.collect('w', 'nth'), ' ')} AS keywords FROM k WHERE nth <= 5 GROUP BY doc_id, i")
 
 
 def pagerank(d, rounds=6):
@@ -113,12 +114,12 @@ def pagerank(d, rounds=6):
     for k in range(rounds):
         steps.append(f"p{k} AS ({prev})")
         prev = f"SELECT nd.doc_id, nd.i, 0.15e0 / nd.n + 0.85e0 * coalesce(q.r, 0) AS r FROM nd LEFT JOIN (SELECT g.doc_id, g.j AS i, sum(p{k}.r * g.sim / g.deg) AS r FROM g JOIN p{k} ON g.doc_id = p{k}.doc_id AND g.i = p{k}.i GROUP BY g.doc_id, g.j) q ON q.doc_id = nd.doc_id AND q.i = nd.i"
-    return f"""WITH {TFIDF(d, 10)}, {COSINE}, nd AS (SELECT s.doc_id, s.i, n.n FROM s JOIN n ON s.doc_id = n.doc_id), u AS (SELECT doc_id, i, j, sim FROM e UNION ALL SELECT doc_id, j, i, sim FROM e),
+    return f"""WITH {TFIDF(d)}, {COSINE}, nd AS (SELECT s.doc_id, s.i, n.n FROM s JOIN n ON s.doc_id = n.doc_id), u AS (SELECT doc_id, i, j, sim FROM e UNION ALL SELECT doc_id, j, i, sim FROM e),
 dg AS (SELECT doc_id, i, sum(sim) AS deg FROM u GROUP BY doc_id, i), g AS (SELECT u.doc_id, u.i, u.j, u.sim, dg.deg FROM u JOIN dg ON u.doc_id = dg.doc_id AND u.i = dg.i WHERE dg.deg > 0), {', '.join(steps)} SELECT doc_id, i, round(r, 6) AS score FROM ({prev}) z"""
 
 
 Q("pagerank", "documents", lambda d: pagerank(d, 3))
-Q("prepare_sentences", "documents", lambda d: f"SELECT doc_id, i, s FROM (SELECT doc_id, i, s, row_number() OVER (PARTITION BY doc_id, substring(lower(s), 1, 160) ORDER BY i) AS nth FROM ({SENTENCES(d)}) x WHERE NOT {t.editorial_line(d, 's')}) y WHERE nth = 1 AND i <= 20")
+Q("prepare_sentences", "documents", lambda d: f"SELECT doc_id, i, s FROM (SELECT doc_id, i, s, row_number() OVER (PARTITION BY doc_id, substring(lower(s), 1, 160) ORDER BY i) AS nth FROM ({SENTENCES(d)}) x WHERE NOT {t.editorial_line(d, 's')}) y WHERE nth = 1")
 Q("chunk_graph", "documents", lambda d: f"SELECT doc_id, i AS source_, nxt AS target_ FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM ({SENTENCES(d)}) x WHERE i <= 24) y WHERE nxt IS NOT NULL")
 Q("mindmap", "documents", lambda d: f"SELECT source AS parent, w AS child, n FROM (SELECT source, w, n, row_number() OVER (PARTITION BY source ORDER BY n DESC, w) AS nth FROM (SELECT source, w, count(*) AS n FROM (SELECT source, {d.explode(t.tok_d(d))} AS w FROM documents) x WHERE length(w) > 3 GROUP BY source, w) y) z WHERE nth <= 6")
 

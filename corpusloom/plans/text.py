@@ -17,12 +17,15 @@ P("clean_text", value=lambda d: f"md5({t.clean(d, 'text')})", n=lambda d: f"leng
 P("strip_html_regex", "pages", "page_id", value=lambda d: f"md5({t.strip_tags(d, t.text(d, 'html'))})")
 P("strip_url_email", "pages", "page_id", value=lambda d: t.strip_urls(d, "concat(coalesce(url, ''), ' a@b.co end')"))
 P("dehyphenate", value=lambda d: f"md5({t.dehyphenate(d, d.rx_rep(t.text(d), ' ', '-' + chr(10)))})")
-P("trim_incomplete", value=lambda d: f"md5({t.trim_incomplete(d, 'substring(text, 1, 300)')})")
+P("trim_incomplete", value=lambda d: f"md5({t.trim_incomplete(d, 'concat(text, {0})'.format(d.lit(' and so on')))})")
 P("truncate_words", value=lambda d: t.first_words(d, "text", 12))
 P("safe_filename", "pages", "page_id", value=lambda d: t.safe_filename(d, t.text(d, "url")))
 P("prompt_leak_strip", "conversations", "conv_id, turn", value=lambda d: f"md5({d.rx_rep(t.text(d), '(?i)^(user|assistant|system) *:', '')})", changed=lambda d: d.rx_like(t.text(d), "(?i)^(user|assistant|system) *:"))
 P("search_snippet", value=lambda d: f"CASE WHEN {d.pos(d.lit('the'), f'lower({t.text(d)})')} = 0 THEN NULL ELSE concat(CASE WHEN {d.pos(d.lit('the'), f'lower({t.text(d)})')} > 49 THEN '…' ELSE '' END, substring(text, greatest(1, {d.pos(d.lit('the'), f'lower({t.text(d)})')} - 48), least({d.pos(d.lit('the'), f'lower({t.text(d)})')} - 1, 48) + 51), CASE WHEN {d.pos(d.lit('the'), f'lower({t.text(d)})')} + 50 < length(text) THEN '…' ELSE '' END) END")
-P("trim_word_budget", value=lambda d: d.long(d.size(d.filter(d.seq("1", d.size(t.sentences_raw(d))), f"i = 1 OR {d.sum(d.map(d.slice(t.sentences_raw(d), '1', 'i'), t.n_words(d, 'z'), 'z'))} <= 60", "i"))))
+BOOK.sql("trim_word_budget", "documents", lambda d: f"""
+WITH s AS (SELECT doc_id, i, {d.get('a', 'i')} AS s FROM (SELECT doc_id, a, {d.explode(d.seq('1', d.size('a')))} AS i FROM (SELECT doc_id, {t.sentences_raw(d)} AS a FROM documents) x) y),
+c AS (SELECT doc_id, i, sum({t.n_words(d, 's')}) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS words FROM s)
+SELECT doc_id, {d.count_if('i = 1 OR words <= 60')} AS sentences FROM c GROUP BY doc_id""")
 BOOK.sql("strip_editorial", "documents", lambda d: f"""
 WITH l AS (SELECT doc_id, i, trim({d.get(d.rx_split(t.text(d), '[\\r\\n]+'), 'i')}) AS line FROM (SELECT doc_id, text, {d.explode(d.seq('1', d.size(d.rx_split(t.text(d), '[\\r\\n]+'))))} AS i FROM documents) s),
 k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, {t.headline_key(d, 'line')}, length(line) < 140 ORDER BY i) AS nth FROM l WHERE NOT {t.editorial_line(d, 'line')})
@@ -47,7 +50,7 @@ P("count_words", n=lambda d: d.long(t.n_words(d)))
 P("count_tokens_est", n=lambda d: d.long(f"greatest(1, floor({d.size(t.tok_f(d))} * 1.25))"))
 P("estimate_tokens_chars", n=lambda d: d.long(f"greatest(1, floor(length({t.text(d)}) / 3.5))"))
 P("sentence_count", n=lambda d: d.long(d.size(t.sentences_a(d))), paragraphs=lambda d: d.long(d.size(d.filter(d.rx_split(t.text(d), "\\n\\s*\\n"), "trim(x) <> ''"))))
-P("ngrams", bigrams=lambda d: f"md5({d.join(d.ngrams(t.tok_a(d, 'substring(text, 1, 400)'), 2), '|')})", trigrams=lambda d: f"md5({d.join(d.ngrams(t.tok_a(d, 'substring(text, 1, 400)'), 3), '|')})")
+BOOK.sql("ngrams", "documents", lambda d: f"SELECT doc_id, md5({d.join('g2', '|')}) AS bigrams, md5({d.join('g3', '|')}) AS trigrams FROM (SELECT doc_id, {d.ngrams('a', 2)} AS g2, {d.ngrams('a', 3)} AS g3 FROM (SELECT doc_id, {t.tok_a(d)} AS a FROM documents) x) y")
 P("fingerprint", value=lambda d: t.fingerprint(d, "text"))
 P("chunk_id", value=lambda d: f"substring(sha1(concat({d.string('doc_id')}, ':', '0', ':', substring({t.text(d)}, 1, 512))), 1, 20)")
 P("document_id", value=lambda d: f"sha1(concat(coalesce(source, ''), substring({t.text(d)}, 1, 4096)))")
@@ -73,7 +76,7 @@ P("is_multilingual_garbage", value=lambda d: t.garbage(d, "text"), strict=lambda
 P("is_garbled_abstractive", value=lambda d: f"(length(trim({t.text(d)})) < 8 OR {t.garbage(d, 'text')} OR {t.garbled_single(d, 'text', 0.30)} OR ({t.n_words(d)} >= 6 AND ({d.size(d.filter(t.tok_e(d), d.rx_like('w', '^[A-Za-z]$'), 'w'))} >= 3 OR {t.ratio(d, d.size(d.filter(t.tok_e(d), 'length(w) <= 2', 'w')), t.n_words(d))} > 0.60 OR {d.size(d.filter(t.tok_e(d), d.rx_like('w', '[a-z]') + ' AND ' + d.rx_like('substring(w, 2)', '[A-Z]'), 'w'))} >= 4)))")
 #: Foreign blocks by script name.
 BLOCKS = (("Hangul", "[\\x{1100}-\\x{11FF}\\x{AC00}-\\x{D7AF}]"), ("Tamil", "[\\x{0B80}-\\x{0BFF}]"), ("Arabic", "[\\x{0600}-\\x{06FF}]"), ("Devanagari", "[\\x{0900}-\\x{097F}]"), ("Chinese/Japanese", "[\\x{4E00}-\\x{9FFF}\\x{3040}-\\x{30FF}]"), ("Cyrillic", "[\\x{0400}-\\x{04FF}]"), ("Greek", "[\\x{0370}-\\x{03FF}]"), ("Thai", "[\\x{0E00}-\\x{0E7F}]"))
-P("detect_poor_training", scripts=lambda d: d.join(d.filter(d.array(*(f"CASE WHEN {d.rx_like('concat(text, chr(1072 + doc_id % 3))' if False else t.text(d), p)} THEN {d.lit(n)} END" for n, p in BLOCKS)), "x IS NOT NULL"), ", "), debris=lambda d: d.long(d.size(d.filter(t.tok_e(d), d.rx_like("w", "^[a-z]{3,}$") + " AND NOT " + d.rx_like("w", "[aeiouy]"), "w"))))
+P("detect_poor_training", scripts=lambda d: d.join(d.filter(d.array(*(f"CASE WHEN {d.rx_like(t.text(d), p)} THEN {d.lit(n)} END" for n, p in BLOCKS)), "x IS NOT NULL"), ", "), debris=lambda d: d.long(d.size(d.filter(t.tok_e(d), d.rx_like("w", "^[a-z]{3,}$") + " AND NOT " + d.rx_like("w", "[aeiouy]"), "w"))))
 BOOK.sql("validate_output", "documents", lambda d: f"""
 WITH s AS (SELECT doc_id, {t.text(d)} AS text FROM documents), w AS (SELECT doc_id, text, {t.tok_e(d)} AS words, {d.map(t.tok_e(d), 'lower(x)')} AS lw FROM s)
 SELECT doc_id, CASE WHEN text = '' THEN 'empty' WHEN {t.garbage(d, 'text')} THEN 'multilingual' WHEN {d.rx_like('text', '▁|<extra_id_|</s>|<pad>|<unk>')} THEN 'artifact'
