@@ -10,9 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.plans import corpus, relational, retrieval, scores, text
+from corpusloom.plans import corpus, procedural, relational, retrieval, scores, text
 
-MODULES = (text, corpus, relational, scores, retrieval)
+MODULES = (text, corpus, relational, scores, retrieval, procedural)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
