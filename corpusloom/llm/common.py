@@ -29,7 +29,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage ends there, so that a lost executor costs a read."""
     spark = df.sparkSession
     path = f"{work_dir(spark).rstrip('/')}/corpusloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
