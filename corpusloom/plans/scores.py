@@ -36,7 +36,7 @@ Q("lexical_overlap", "documents", lambda d: f"WITH p AS ({PAIRS(d)}), {overlap(d
 SETS = lambda d, tok: f"SELECT doc_id, article, abstract, {d.distinct(tok(d, 'article'))} AS a, {d.distinct(tok(d, 'abstract'))} AS b FROM ({PAIRS(d)}) p"
 Q("jaccard", "documents", lambda d: f"WITH s AS ({SETS(d, t.tok_d)}) SELECT doc_id, {t.ratio(d, d.size(d.intersect('a', 'b')), d.size(d.union('a', 'b')))} AS jaccard FROM s")
 Q("extractive_coverage", "documents", lambda d: f"WITH s AS ({SETS(d, t.tok_a)}) SELECT doc_id, {t.ratio(d, d.size(d.filter(t.tok_a(d, 'abstract'), d.has('a', 'y'), 'y')), d.size(t.tok_a(d, 'abstract')))} AS coverage, {t.ratio(d, d.size(d.filter(t.tok_a(d, 'abstract'), d.has('a', 'y'), 'y')), d.size(t.tok_a(d, 'article')))} AS density FROM s")
-Q("novel_ngram_pct", "documents", lambda d: f"WITH s AS (SELECT doc_id, {', '.join(f'{d.distinct(d.ngrams(t.tok_a(d, x), n))} AS {x[1]}{n}' for x in ('article', 'abstract') for n in (1, 2))} FROM ({PAIRS(d)}) p) SELECT doc_id, {', '.join(f'100 * {t.ratio(d, d.size(d.minus(f'b{n}', f'r{n}')), d.size(f'b{n}'))} AS novel{n}' for n in (1, 2))} FROM s")
+Q("novel_ngram_pct", "documents", lambda d: f"WITH w AS (SELECT doc_id, {t.tok_a(d, 'article')} AS a, {t.tok_a(d, 'abstract')} AS b FROM ({PAIRS(d)}) p), s AS (SELECT doc_id, {', '.join(f'{d.distinct(d.ngrams(x, n))} AS {x}{n}' for x in ('a', 'b') for n in (1, 2))} FROM w) SELECT doc_id, {', '.join(f'100 * {t.ratio(d, d.size(d.minus(f"b{n}", f"a{n}")), d.size(f"b{n}"))} AS novel{n}' for n in (1, 2))} FROM s")
 Q("lead_baseline", "documents", lambda d: f"SELECT doc_id, md5({d.get(t.sentences_raw(d), 1)}) AS lead1, md5({d.join(d.slice(t.sentences_raw(d), '1', '3'), ' ')}) AS lead3, {t.first_words(d, 'text', 30)} AS lead_words FROM documents WHERE {d.size(t.sentences_raw(d))} > 0")
 Q("coverage_score", "documents", lambda d: f"WITH s AS (SELECT doc_id, {d.distinct(d.filter(t.tok_a(d, 'article'), 'length(y) > 2', 'y'))} AS a, {d.distinct(d.filter(t.tok_a(d, 'abstract'), 'length(y) > 2', 'y'))} AS b FROM ({PAIRS(d)}) p) SELECT doc_id, {t.ratio(d, d.size(d.intersect('a', 'b')), d.size('a'))} AS coverage FROM s")
 #: Metric columns that stand for a run's results, from the events table.
