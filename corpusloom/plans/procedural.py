@@ -42,6 +42,7 @@ for a in summarize.RUNNERS:
 add("extractive_parallel", lambda s, d: summarize.summarize(docs(s, d), "textrank").withColumn("algorithm", F.lit("textrank")).unionByName(summarize.summarize(docs(s, d), "lexrank").withColumn("algorithm", F.lit("lexrank"))))
 add("select_summary", lambda s, d: summarize.summarize(docs(s, d), "tfidf", 5))
 add("extractive_score_table", lambda s, d: summarize.score_table(docs(s, d)))
+add("pagerank", lambda s, d: summarize.score_table(docs(s, d), "textrank").select("doc_id", "i", "score"))
 add("hybrid_condense", lambda s, d: summarize.hybrid_condense(docs(s, d)))
 add("map_reduce_summary", lambda s, d: summarize.map_reduce_summary(docs(s, d)))
 add("build_sections", lambda s, d: chunk.build_sections(docs(s, d)))

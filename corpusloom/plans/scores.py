@@ -109,16 +109,6 @@ Q("ranking_graph", "documents", lambda d: f"WITH {TFIDF(d)}, {COSINE} SELECT doc
 Q("extractive_explanations", "documents", lambda d: f"WITH {TFIDF(d)}, k AS (SELECT doc_id, i, w, row_number() OVER (PARTITION BY doc_id, i ORDER BY round(x, 6) DESC, w) AS nth FROM m) SELECT doc_id, i, {d.join(d.collect('w', 'nth'), ' ')} AS keywords FROM k WHERE nth <= 5 GROUP BY doc_id, i")
 
 
-def pagerank(d, rounds=6):
-    steps, prev = [], "SELECT doc_id, i, 1e0 / n AS r FROM nd"
-    for k in range(rounds):
-        steps.append(f"p{k} AS ({prev})")
-        prev = f"SELECT nd.doc_id, nd.i, 0.15e0 / nd.n + 0.85e0 * coalesce(q.r, 0) AS r FROM nd LEFT JOIN (SELECT g.doc_id, g.j AS i, sum(p{k}.r * g.sim / g.deg) AS r FROM g JOIN p{k} ON g.doc_id = p{k}.doc_id AND g.i = p{k}.i GROUP BY g.doc_id, g.j) q ON q.doc_id = nd.doc_id AND q.i = nd.i"
-    return f"""WITH {TFIDF(d)}, {COSINE}, nd AS (SELECT s.doc_id, s.i, n.n FROM s JOIN n ON s.doc_id = n.doc_id), u AS (SELECT doc_id, i, j, sim FROM e UNION ALL SELECT doc_id, j, i, sim FROM e),
-dg AS (SELECT doc_id, i, sum(sim) AS deg FROM u GROUP BY doc_id, i), g AS (SELECT u.doc_id, u.i, u.j, u.sim, dg.deg FROM u JOIN dg ON u.doc_id = dg.doc_id AND u.i = dg.i WHERE dg.deg > 0), {', '.join(steps)} SELECT doc_id, i, round(r, 6) AS score FROM ({prev}) z"""
-
-
-Q("pagerank", "documents", lambda d: pagerank(d, 3))
 Q("prepare_sentences", "documents", lambda d: f"SELECT doc_id, i, s FROM (SELECT doc_id, i, s, row_number() OVER (PARTITION BY doc_id, substring(lower(s), 1, 160) ORDER BY i) AS nth FROM ({SENTENCES(d)}) x WHERE NOT {t.editorial_line(d, 's')}) y WHERE nth = 1")
 Q("chunk_graph", "documents", lambda d: f"SELECT doc_id, i AS source_, nxt AS target_ FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM ({SENTENCES(d)}) x WHERE i <= 24) y WHERE nxt IS NOT NULL")
 Q("mindmap", "documents", lambda d: f"SELECT source AS parent, w AS child, n FROM (SELECT source, w, n, row_number() OVER (PARTITION BY source ORDER BY n DESC, w) AS nth FROM (SELECT source, w, count(*) AS n FROM (SELECT source, {d.explode(t.tok_d(d))} AS w FROM documents) x WHERE length(w) > 3 GROUP BY source, w) y) z WHERE nth <= 6")
