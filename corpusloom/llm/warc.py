@@ -81,18 +81,23 @@ def resolve(records: DataFrame) -> DataFrame:
     light = r.where(known & (full | (F.col("kind") == "revisit"))).select(F.col("url_key").alias("url"), "date", "record_id", F.coalesce(full, F.lit(False)).alias("is_full"))
     found = as_of(light).groupBy("record_id").agg(F.max("full_id").alias("full_id")).where("full_id is not null")
     src = r.where(full & known).groupBy("record_id").agg(F.min(F.struct("url_key", "etag", "last_modified", F.map_entries("headers").alias("h"), "payload")).alias("f")).select(F.col("record_id").alias("f_id"), "f")
-    out = r.join(found.select(F.col("record_id").alias("r_id"), "full_id"), (F.col("record_id") == F.col("r_id")) & (F.col("kind") == "revisit"), "left").join(src, F.col("full_id") == F.col("f_id"), "left")
+    none = F.lit(None).cast("map<string,string>")
+    revisits = r.where(F.col("kind") == "revisit").drop("payload")  # only full responses' payloads are shuffled, once
+    out = revisits.join(found.select(F.col("record_id").alias("r_id"), "full_id"), F.col("record_id") == F.col("r_id"), "left").join(src, F.col("full_id") == F.col("f_id"), "left")
     etags = F.col("etag").isNotNull() & F.col("f.etag").isNotNull()
     dates = F.col("last_modified").isNotNull() & F.col("f.last_modified").isNotNull()
     same = F.when(etags, _tag(F.col("etag")) == _tag(F.col("f.etag"))).when(dates, F.col("last_modified") == F.col("f.last_modified"))
-    state = F.when(F.coalesce(F.col("kind") != "revisit", F.lit(True)), F.when(full, "full").otherwise("other")).when(F.col("f_id").isNull(), "unresolved").when(same, "verified").when(same.isNull(), "unverified").otherwise("mismatch")
+    state = F.when(F.col("f_id").isNull(), "unresolved").when(same, "verified").when(same.isNull(), "unverified").otherwise("mismatch")
     good = state.isin("verified", "unverified")
-    own = F.coalesce(F.col("kind") != "revisit", F.lit(True))
-    return out.select(
+    resolved = out.select(
         "record_id", "url_key", "kind", "full_id", state.alias("state"),
-        F.when(good, merged_headers(F.map_from_entries("f.h"), F.col("headers"))).otherwise(merged_headers(F.col("headers"), F.lit(None).cast("map<string,string>"))).alias("headers"),
-        F.when(own, F.col("payload")).when(good, F.col("f.payload")).alias("payload"),
+        F.when(good, merged_headers(F.map_from_entries("f.h"), F.col("headers"))).otherwise(merged_headers(F.col("headers"), none)).alias("headers"),
+        F.when(good, F.col("f.payload")).alias("payload"),
     )
+    own = r.where(F.col("kind").isNull() | (F.col("kind") != "revisit")).select(
+        "record_id", "url_key", "kind", F.lit(None).cast(found.schema["full_id"].dataType).alias("full_id"), F.when(full, "full").otherwise("other").alias("state"), merged_headers(F.col("headers"), none).alias("headers"), "payload"
+    )
+    return own.union(resolved)
 
 
 def records_of_pages(pages: DataFrame) -> DataFrame:
