@@ -88,7 +88,16 @@ TITLES = (("MIT", "MIT License"), ("MIT", "The MIT License"), ("MIT", "The MIT L
 KNOWN += tuple((name, f"{title}\n\n{text}") for name, title in TITLES for n, text in KNOWN if n == name and "\n" in text)
 
 #: Fixed value: a line that only states a copyright.
-COPYRIGHT = "(?m)^[^a-z0-9\\n]*(?:copyright|\\(c\\)|©)[^\\n]*$"
+def _other_than(words: tuple[str, ...]) -> str:
+    """Pattern of a word's beginning that is no beginning of ``words``; without lookahead, which DuckDB has not."""
+    heads = sorted({w[0] for w in words})
+    tails = {h: tuple(w[1:] for w in words if w[0] == h) for h in heads}
+    return "(?:" + "|".join([f"[^{''.join(heads)}\\s]", *(h + _other_than(t) for h, t in tails.items() if all(t))]) + ")"
+
+
+#: Words that follow "copyright" in the bodies of licences; any other is a holder, a year or a sign.
+BODY = ("notice", "holder", "owner", "law", "license", "licence", "statement", "and ")
+COPYRIGHT = f"(?m)^[^a-z0-9\\n]*(?:copyright[^a-z0-9\\n]+{_other_than(BODY)}|\\(c\\)|©)[^\\n]*$"
 
 
 def canonical_lines(text: Column) -> Column:
@@ -122,7 +131,7 @@ def scan(docs: DataFrame, known: DataFrame, notices: DataFrame | None = None, id
         raise ValueError(f"more than {MOST_NOTICES} one-line notices; look them up as whole texts")
     if rows:
         names = F.create_map(*[F.lit(x) for r in rows for x in (r[0], r[1])])
-        digests = F.transform(F.filter(F.split("lines", "\n"), lambda x: F.length(x) <= 400), lambda x: names[F.sha2(F.trim(x), 256)])
+        digests = F.transform(F.split("lines", "\n"), lambda x: names[F.sha2(F.trim(x), 256)])
         found = F.array_sort(F.array_distinct(F.filter(digests, lambda x: x.isNotNull())))
     else:
         found = F.array().cast("array<string>")

@@ -14,3 +14,13 @@ def test_titled_and_bsd_texts(spark):
     rows = [(0, "MIT License\n\nCopyright (c) 2020 Some One\n\n" + texts["MITTrue"]), (1, texts["BSD-2-ClauseTrue"]), (2, "BSD 3-Clause License\n\n" + texts["BSD-3-ClauseTrue"])]
     got = lic.scan(spark.createDataFrame(rows, "doc_id long, text string"), known, known).orderBy("doc_id").collect()
     assert [r.license for r in got] == ["MIT", "BSD-2-Clause", "BSD-3-Clause"]
+
+
+def test_wrapped_bodies_and_long_lines(spark):
+    known, isc, mit = lic.catalogue(spark), dict(lic.KNOWN[1:2])["ISC"], dict(lic.KNOWN[:1])["MIT"]
+    wrapped = isc.replace("above copyright notice", "above\ncopyright notice")
+    holders = mit.replace("OR COPYRIGHT HOLDERS", "OR\nCOPYRIGHT HOLDERS")
+    rows = [(0, wrapped), (1, "Copyright 2020 X\n" + holders), (2, "Copyright Some One\n" + holders), (3, "(c) X\n" + isc), (4, "Copyright (C) X\n" + isc), (5, "Prose.\n" + mit.replace("\n", " ") + "\nProse.")]
+    got = lic.scan(spark.createDataFrame(rows, "doc_id long, text string"), known, known).orderBy("doc_id").collect()
+    assert [r.license for r in got] == ["ISC", "MIT", "MIT", "ISC", "ISC", None]
+    assert got[5].notices == ["MIT"]
