@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -24,59 +25,129 @@ def sentences(text: str | None) -> list[str]:
     return list(seen.values())
 
 
-def matrix(sents: list[str]) -> np.ndarray:
+@dataclass
+class Rows:
+    """A sparse matrix with L2-normalised rows: entries in order of their row, and the numbers of rows and columns."""
+
+    row: np.ndarray
+    col: np.ndarray
+    val: np.ndarray
+    n: int
+    m: int
+
+    def times(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.val * x[self.col], self.n)
+
+    def transposed_times(self, y: np.ndarray) -> np.ndarray:
+        return np.bincount(self.col, self.val * y[self.row], self.m)
+
+    def dense(self, start: int = 0, stop: int | None = None) -> np.ndarray:
+        stop = self.n if stop is None else stop
+        a, b = np.searchsorted(self.row, (start, stop))
+        out = np.zeros((stop - start, self.m))
+        out[self.row[a:b] - start, self.col[a:b]] = self.val[a:b]
+        return out
+
+
+def matrix(sents: list[str]) -> Rows:
     """L2-normalised tf-idf rows; tf = count / words, idf = ln((1 + n) / (1 + df)) + 1."""
     toks = [[w for w in (x.lower() for x in re.findall(WORD_A, s)) if len(w) > 1 and w not in STOP_WORDS] for s in sents]
-    ids = {w: i for i, w in enumerate(dict.fromkeys(w for t in toks for w in t))}
-    m = np.zeros((len(sents), len(ids)), np.float32)
+    ids: dict[str, int] = {}
+    row, col, val = [], [], []
     for r, t in enumerate(toks):
         for w, c in Counter(t).items():
-            m[r, ids[w]] = c / len(t)
-    m *= np.log((1 + len(sents)) / (1 + (m > 0).sum(0))) + 1
-    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+            row.append(r)
+            col.append(ids.setdefault(w, len(ids)))
+            val.append(c / len(t))
+    row, col, val = np.array(row, np.int64), np.array(col, np.int64), np.array(val, float)
+    val = val * (np.log((1 + len(sents)) / (1 + np.bincount(col, minlength=len(ids)))) + 1)[col] if len(val) else val
+    norm = np.sqrt(np.bincount(row, val * val, len(sents)))
+    return Rows(row, col, val / norm[row] if len(val) else val, len(sents), len(ids))
 
 
-def rank_nodes(w: np.ndarray, damping: float = 0.85, rounds: int = 100, tol: float = 1e-6) -> np.ndarray:
-    """PageRank on a weighted graph; weight that leaves a node without edges is lost; no edges at all: uniform."""
-    n = len(w)
-    if not w.any():
-        return np.full(n, 1 / max(1, n))
-    out = w.sum(0)
-    p = np.divide(w, out, out=np.zeros_like(w), where=out > 0)
+def iterate(n: int, step: Callable[[np.ndarray], np.ndarray], damping: float, rounds: int, tol: float) -> np.ndarray:
     r = np.full(n, 1 / n)
     for _ in range(rounds):
-        new = (1 - damping) / n + damping * (p @ r)
+        new = (1 - damping) / n + damping * step(r)
         if np.abs(new - r).sum() < tol:
             return new
         r = new
     return r
 
 
-def graph(m: np.ndarray) -> np.ndarray:
-    w = np.clip((m @ m.T).astype(float), 0, None)
-    np.fill_diagonal(w, 0)
-    return w
-
-
-def textrank(m):
-    return rank_nodes(graph(m))
-
-
-def lexrank(m):
-    w = graph(m)
-    return rank_nodes(np.where(w >= (w[w > 0].mean() if (w > 0).any() else 0.1), w, 0))
-
-
-def tfidf(m):
-    return m.sum(1)
-
-
-def lsa(m, concepts: int = 3):
-    if not m.size:
-        return np.zeros(len(m))
-    _, s, v = np.linalg.svd(m.T, full_matrices=False)
+def rank_nodes(w: np.ndarray, damping: float = 0.85, rounds: int = 100, tol: float = 1e-6) -> np.ndarray:
+    """PageRank on a weighted graph; weight that leaves a node without edges is lost; no edges at all: uniform."""
+    n = len(w)
+    if not w.any():
+        return np.full(n, 1 / max(1, n))
+    out = w.sum(0)
+    p = np.divide(w, out, out=np.zeros_like(w), where=out > 0)
+    return iterate(n, lambda r: p @ r, damping, rounds, tol)
+
+
+#: Rows of the similarity graph that are made at a time.
+BLOCK = 512
+
+
+def graph_rows(m: Rows):
+    """(first row, rows) of the graph of sentence similarities, without loops; blocks of ``BLOCK`` rows, so that memory grows with the sentences and not their square."""
+    other = m.dense().T if m.n * m.m <= 1 << 23 else None
+    for a in range(0, m.n, BLOCK):
+        b = min(m.n, a + BLOCK)
+        part = m.dense(a, b)
+        w = part @ other if other is not None else np.stack([m.times(x) for x in part])
+        w[np.arange(b - a), np.arange(a, b)] = 0
+        yield a, w
+
+
+def textrank(m: Rows, damping: float = 0.85, rounds: int = 100, tol: float = 1e-6) -> np.ndarray:
+    """PageRank over cosine similarities; the graph is never made: its product with a vector is that of two sparse matrices, less the loops."""
+    loops = np.bincount(m.row, m.val * m.val, m.n)
+    product = lambda x: m.times(m.transposed_times(x)) - loops * x
+    out = product(np.ones(m.n))
+    linked = out > 1e-12
+    if not linked.any():
+        return np.full(m.n, 1 / max(1, m.n))
+    share = np.divide(1.0, out, out=np.zeros(m.n), where=linked)
+    return iterate(m.n, lambda r: np.where(linked, product(share * r), 0.0), damping, rounds, tol)
+
+
+def lexrank(m: Rows, damping: float = 0.85, rounds: int = 100, tol: float = 1e-6) -> np.ndarray:
+    """PageRank over the similarities that reach the mean of the positive ones (0.1 if there are none); block by block."""
+    total = count = 0.0
+    for _, w in graph_rows(m):
+        total += w[w > 0].sum()
+        count += (w > 0).sum()
+    cut = total / count if count else 0.1
+    kept = lambda w: np.where(w >= cut, w, 0)
+    if m.n <= 4 * BLOCK:  # small enough to be kept
+        return rank_nodes(np.concatenate([kept(w) for _, w in graph_rows(m)])) if m.n else np.zeros(0)
+    out = np.concatenate([kept(w).sum(1) for _, w in graph_rows(m)])  # the graph is symmetric
+    if not out.any():
+        return np.full(m.n, 1 / m.n)
+    share = np.divide(1.0, out, out=np.zeros(m.n), where=out > 0)
+    return iterate(m.n, lambda r: np.concatenate([kept(w) @ (share * r) for _, w in graph_rows(m)]), damping, rounds, tol)
+
+
+def tfidf(m: Rows) -> np.ndarray:
+    return np.bincount(m.row, m.val, m.n)
+
+
+def lsa(m: Rows, concepts: int = 3) -> np.ndarray:
+    """Length of each sentence in the space of the first concepts; by subspace iteration where the sentences are many."""
+    if not m.n or not m.m:
+        return np.zeros(m.n)
+    if m.n <= 4 * BLOCK:
+        _, s, v = np.linalg.svd(m.dense().T, full_matrices=False)
+        k = min(concepts, int((s > 1e-10).sum()))
+        return np.sqrt(((s[:k, None] * v[:k]) ** 2).sum(0))
+    q = np.linalg.qr(np.random.default_rng(0).normal(size=(m.n, concepts + 12)))[0]
+    for _ in range(60):
+        q = np.linalg.qr(np.stack([m.times(m.transposed_times(x)) for x in q.T], 1))[0]
+    _, s, v = np.linalg.svd(np.stack([m.transposed_times(x) for x in q.T], 1), full_matrices=False)
+    left = q @ v.T
     k = min(concepts, int((s > 1e-10).sum()))
-    return np.sqrt(((s[:k, None] * v[:k]) ** 2).sum(0))
+    return np.sqrt(((left[:, :k] * s[:k]) ** 2).sum(1))
 
 
 RUNNERS: dict[str, Callable] = {"textrank": textrank, "lexrank": lexrank, "tfidf": tfidf, "lsa": lsa}
@@ -87,26 +158,24 @@ def select(scores: np.ndarray, k: int) -> list[int]:
     if len(scores) <= k:
         return list(range(len(scores)))
     left, picks = np.array(scores, float), []
+    gap = np.full(len(left), 9)
+    at = np.arange(len(left))
     while len(picks) < k:
-        bonus = np.zeros(len(left))
-        for i in range(len(left)):
-            gap = min((abs(i - p) for p in picks), default=9)
-            bonus[i] = {1: 0.12, 2: 0.06}.get(gap, 0)
-        total = left + bonus
+        total = left + np.where(gap == 1, 0.12, np.where(gap == 2, 0.06, 0.0))
         total[picks] = -np.inf
         picks.append(int(np.argmax(total)))
+        gap = np.minimum(gap, np.abs(at - picks[-1]))
     return sorted(picks)
 
 
-def summarize(docs: DataFrame, algorithm: str = "textrank", k: int = 3, most: int = 2000, text_col: str = "text") -> DataFrame:
-    """``docs`` with n_sentences, picks (indices) and summary. Sentences beyond ``most`` (the graph's bound) are ranked by position."""
+def summarize(docs: DataFrame, algorithm: str = "textrank", k: int = 3, text_col: str = "text") -> DataFrame:
+    """``docs`` with n_sentences, picks (indices) and summary; every sentence of the text is scored."""
     run = RUNNERS[algorithm]
 
     def one(text):
         s = sentences(text)
-        head = s[:most]
-        picks = select(run(matrix(head)), k) if len(head) > k else list(range(len(head)))
-        return len(s), picks, " ".join(head[i] for i in picks)
+        picks = select(run(matrix(s)), k) if len(s) > k else list(range(len(s)))
+        return len(s), picks, " ".join(s[i] for i in picks)
 
     kind = "struct<n_sentences: int, picks: array<int>, summary: string>"
     udf = F.pandas_udf(lambda c: pd.DataFrame([one(x) for x in c], columns=["n_sentences", "picks", "summary"]), kind)
@@ -118,7 +187,7 @@ def score_table(docs: DataFrame, algorithm: str = "textrank", k: int = 3, id_col
     run = RUNNERS[algorithm]
 
     def one(text):
-        s = sentences(text)[:2000]
+        s = sentences(text)
         z = run(matrix(s)) if s else []
         chosen = set(select(np.asarray(z), k)) if len(s) else set()
         return [{"i": i, "score": float(x), "selected": i in chosen} for i, x in enumerate(z)]
@@ -131,7 +200,7 @@ def hybrid_condense(docs: DataFrame) -> DataFrame:
     """Extractive stage of a hybrid: keep max(3, min(0.35 n, 25)) sentences."""
 
     def one(text):
-        s = sentences(text)[:2000]
+        s = sentences(text)
         n = max(3, min(int(len(s) * 0.35), 25))
         return " ".join(s[i] for i in (select(textrank(matrix(s)), n) if len(s) > n else range(len(s))))
 

@@ -10,7 +10,7 @@ from corpusloom.functions import arrow
 from corpusloom.functions.text import col, sentences_raw
 from corpusloom.operators import chunk, cluster, summarize
 from corpusloom.plans.query import Book
-from corpusloom.session import table
+from corpusloom.session import table, work_dir
 from corpusloom.streaming.daily import daily, run_daily_stream
 
 BOOK = Book()
@@ -57,9 +57,8 @@ add("daily_windows", lambda s, d: daily(table(s, d, "events")).withColumn("total
 
 
 def daily_stream(spark, sf_dir):
-    name = f"daily_{uuid.uuid4().hex}"
-    root = spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints")
-    return run_daily_stream(spark, f"{sf_dir}/events.parquet", f"{root}/{name}", name).withColumn("total", F.round("total", 6))
+    work = f"{work_dir(spark).rstrip('/')}/daily-{uuid.uuid4().hex}"
+    return run_daily_stream(spark, f"{sf_dir}/events.parquet", work).withColumn("total", F.round("total", 6))
 
 
 add("daily_stream", daily_stream, DAILY_SQL)

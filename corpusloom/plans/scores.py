@@ -17,9 +17,11 @@ def counted(d, tok, side, n=1):
 
 
 def overlap(d, tok, n=1, pred="abstract", ref="article"):
-    """CTEs h (clipped hits) and s (sizes) over the pairs p."""
+    """CTEs h (clipped hits) and s (sizes) over the pairs p; both sides' n-grams are counted in one aggregate, without a join of them."""
     size = lambda side: f"greatest(0, {d.size(tok(d, side))} - {n - 1})"
-    return f"h{n} AS (SELECT x.doc_id, {d.double('sum(least(x.c, y.c))')} AS hits FROM ({counted(d, tok, pred, n)}) x JOIN ({counted(d, tok, ref, n)}) y ON x.doc_id = y.doc_id AND x.g = y.g GROUP BY x.doc_id), s{n} AS (SELECT doc_id, {size(pred)} AS np, {size(ref)} AS nr FROM p)"
+    side = lambda name, x, y: f"SELECT doc_id, {d.explode(d.ngrams('a', n) if n > 1 else 'a')} AS g, {x} AS x, {y} AS y FROM (SELECT doc_id, {tok(d, name)} AS a FROM p) t"
+    both = f"SELECT doc_id, g, sum(x) AS x, sum(y) AS y FROM ({side(pred, 1, 0)} UNION ALL {side(ref, 0, 1)}) u GROUP BY doc_id, g"
+    return f"h{n} AS (SELECT doc_id, {d.double('sum(least(x, y))')} AS hits FROM ({both}) c WHERE x > 0 AND y > 0 GROUP BY doc_id), s{n} AS (SELECT doc_id, {size(pred)} AS np, {size(ref)} AS nr FROM p)"
 
 
 F1 = lambda h, a, b: f"CASE WHEN coalesce({h}, 0) = 0 THEN 0e0 ELSE 2 * ({h} / {a}) * ({h} / {b}) / ({h} / {a} + {h} / {b}) END"
@@ -61,7 +63,7 @@ def grounding(d, source=50):
     return f"""
 WITH k AS (SELECT doc_id, i, s, i > max(i) OVER (PARTITION BY doc_id) - 3 AS late FROM ({SENTENCES(d)}) x), s AS (SELECT doc_id, i, late, {d.distinct(t.tok_d(d, 's'))} AS w FROM k),
 e AS (SELECT doc_id, i, late, {d.size('w')} AS n, {d.explode('w')} AS w FROM s WHERE late OR i <= {source}),
-o AS (SELECT a.doc_id, a.i, b.i AS j, count(*) AS hits, {d.double('count(*)')} / (max(a.n) + max(b.n) - count(*)) AS jac FROM e a JOIN e b ON a.doc_id = b.doc_id AND a.w = b.w AND a.late AND NOT b.late GROUP BY a.doc_id, a.i, b.i),
+o AS (SELECT /*+ MERGE(b) */ a.doc_id, a.i, b.i AS j, count(*) AS hits, {d.double('count(*)')} / (max(a.n) + max(b.n) - count(*)) AS jac FROM e a JOIN e b ON a.doc_id = b.doc_id AND a.w = b.w AND a.late AND NOT b.late GROUP BY a.doc_id, a.i, b.i),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, i ORDER BY jac DESC, j) AS nth FROM o)"""
 
 
@@ -97,11 +99,12 @@ Q("timeline", "documents", lambda d: f"SELECT doc_id, i, when_ FROM (SELECT doc_
 
 # sentence graphs
 TFIDF = lambda d: f"""
-s AS (SELECT doc_id, i, {t.tok_a_content(d, 's')} AS a FROM ({SENTENCES(d)}) x), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-c AS (SELECT doc_id, i, w, count(*) AS c FROM (SELECT doc_id, i, {d.explode('a')} AS w FROM s) y GROUP BY doc_id, i, w), l AS (SELECT doc_id, i, {d.double('sum(c)')} AS len FROM c GROUP BY doc_id, i), df AS (SELECT doc_id, w, count(*) AS df FROM c GROUP BY doc_id, w),
-raw AS (SELECT c.doc_id, c.i, c.w, c.c / l.len * (ln((1e0 + n.n) / (1e0 + df.df)) + 1) AS x FROM c JOIN l ON c.doc_id = l.doc_id AND c.i = l.i JOIN df ON c.doc_id = df.doc_id AND c.w = df.w JOIN n ON n.doc_id = c.doc_id),
-nrm AS (SELECT doc_id, i, sqrt(sum(x * x)) AS norm FROM raw GROUP BY doc_id, i), m AS (SELECT raw.doc_id, raw.i, raw.w, raw.x / nrm.norm AS x FROM raw JOIN nrm ON raw.doc_id = nrm.doc_id AND raw.i = nrm.i)"""
-COSINE = "e AS (SELECT a.doc_id, a.i, b.i AS j, sum(a.x * b.x) AS sim FROM m a JOIN m b ON a.doc_id = b.doc_id AND a.w = b.w AND a.i < b.i GROUP BY a.doc_id, a.i, b.i)"
+s AS (SELECT doc_id, i, a, count(*) OVER (PARTITION BY doc_id) AS n FROM (SELECT doc_id, i, {t.tok_a_content(d, 's')} AS a FROM ({SENTENCES(d)}) x) t),
+c AS (SELECT doc_id, i, w, n, count(*) AS c FROM (SELECT doc_id, i, n, {d.explode('a')} AS w FROM s) y GROUP BY doc_id, i, w, n),
+f AS (SELECT doc_id, i, w, n, c, {d.double('sum(c) OVER (PARTITION BY doc_id, i)')} AS len, count(*) OVER (PARTITION BY doc_id, w) AS df FROM c),
+raw AS (SELECT doc_id, i, w, c / len * (ln((1e0 + n) / (1e0 + df)) + 1) AS x FROM f),
+m AS (SELECT doc_id, i, w, x / sqrt(sum(x * x) OVER (PARTITION BY doc_id, i)) AS x FROM raw)"""  # noqa: E731  one shuffle by doc_id serves all of it, no join
+COSINE = "e AS (SELECT /*+ MERGE(b) */ a.doc_id, a.i, b.i AS j, sum(a.x * b.x) AS sim FROM m a JOIN m b ON a.doc_id = b.doc_id AND a.w = b.w AND a.i < b.i GROUP BY a.doc_id, a.i, b.i)"
 Q("tfidf_sentence_matrix", "documents", lambda d: f"WITH {TFIDF(d)} SELECT doc_id, i, count(*) AS terms, round(sum(x), 6) AS total FROM m GROUP BY doc_id, i")
 Q("tfidf_rank", "documents", lambda d: f"WITH {TFIDF(d)}, z AS (SELECT doc_id, i, round(sum(x), 6) AS score FROM m GROUP BY doc_id, i) SELECT doc_id, i, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i) AS rank FROM z")
 Q("sentence_cosine", "documents", lambda d: f"WITH {TFIDF(d)}, {COSINE} SELECT doc_id, i, j, round(sim, 6) AS sim FROM e")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -10,6 +13,7 @@ def get_spark(master: str = "local[*]", shuffle_partitions: int = 8, app: str =
     return (
         SparkSession.builder.master(master)
         .appName(app)
+        .config("spark.driver.memory", "8g")  # in local mode the driver is the executor, too
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -24,3 +28,18 @@ def get_spark(master: str = "local[*]", shuffle_partitions: int = 8, app: str =
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table as a DataFrame; only Spark's reader touches the path."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def work_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or the one set on the context.
+
+    Where neither is set, a temporary folder if Spark runs in one process; on a cluster an error.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if found or not held.isEmpty():
+        return found or held.get()
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return Path(tempfile.mkdtemp(prefix="corpusloom-")).as_uri()

@@ -15,10 +15,23 @@ def daily(events: DataFrame, late: str = "2 days") -> DataFrame:
     return by.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "n", "total")
 
 
-def run_daily_stream(spark: SparkSession, path: str, checkpoint: str, name: str, files_per_trigger: int = 1) -> DataFrame:
-    """Run the stream over the Parquet files of ``path`` until all are read; the result is the memory table ``name``."""
-    schema = spark.read.parquet(path).schema
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
-    q = daily(source).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+def run_daily_stream(spark: SparkSession, path: str, work: str, files_per_trigger: int = 1) -> DataFrame:
+    """Run the stream over the Parquet file or folder ``path`` until all is read.
+
+    Each micro-batch replaces the table under ``work`` by the state so far; nothing is held on the
+    driver, and the checkpoint beside it lets a broken run go on.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(at).isDirectory()
+    source = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_trigger)
+    if folder:
+        rows = source.parquet(path)
+    else:  # a stream reads folders: the file's, and of it that file alone
+        rows = source.option("pathGlobFilter", at.getName()).parquet(at.getParent().toString())
+    series = daily(rows)
+
+    def replace(state: DataFrame, _: int) -> None:
+        state.write.mode("overwrite").parquet(f"{work}/series")
+
+    series.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(series.schema).parquet(f"{work}/series")
