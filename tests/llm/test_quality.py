@@ -1,30 +1,33 @@
+import random
 from collections import Counter, defaultdict
 from math import exp, log
 
-import numpy as np
-
 from corpusloom.llm import quality as q
+from corpusloom.llm.common import Scratch
 from corpusloom.session import table
 
+TRUSTED = ["the cat sat on the mat. The end", "a dog ate the cat's hat!\nthen ran", "été où ça va? the theme of them", "Tôi đã học tiếng Việt được hai năm rồi", "今天天气很好，我们去公园散步。今天很好", "", None]
+
 
 def slow_model(texts):
-    """Interpolated modified Kneser-Ney by dictionaries: p(context tuple, symbol)."""
+    """Interpolated modified Kneser-Ney of order 5 by dictionaries: p(context, character)."""
     top = Counter()
     for t in texts:
-        c = [q.NEWLINE] * 3 + q.codes(t.encode()).tolist()
-        top.update(tuple(c[i : i + 4]) for i in range(len(c) - 3))
-    tab = {4: dict(top)}
-    for k in (3, 2, 1):
+        c = "\n" * 4 + t
+        top.update(c[i : i + 5] for i in range(len(c) - 4))
+    tab = {5: dict(top)}
+    for k in (4, 3, 2, 1):
         tab[k] = dict(Counter(g[1:] for g in tab[k + 1]))
     disc = {k: q.discounts(dict(Counter(v for v in t.values() if v <= 4))) for k, t in tab.items()}
     by = {k: defaultdict(dict) for k in tab}
     for k, t in tab.items():
         for g, n in t.items():
             by[k][g[:-1]][g[-1]] = n
+    symbols = len(tab[1]) + 1
 
     def p(ctx, w):
         k = len(ctx) + 1
-        low = 1 / q.K if k == 1 else p(ctx[1:], w)
+        low = 1 / symbols if k == 1 else p(ctx[1:], w)
         seen = by[k].get(ctx)
         if not seen:
             return low
@@ -35,33 +38,39 @@ def slow_model(texts):
     return p
 
 
-def test_model_matches_slow_one(spark):
-    texts = ["the cat sat on the mat. The end", "a dog ate the cat's hat!\nthen ran", "été où ça va? the theme of them", "", None]
-    table_, mean = q.train(spark.createDataFrame([(t,) for t in texts], "t string").repartition(3))
-    p = slow_model([t or "" for t in texts])
-    rng = np.random.default_rng(1)
-    for _ in range(200):
-        g = rng.integers(0, q.K, 4)
-        i = int(((g[0] * q.K + g[1]) * q.K + g[2]) * q.K + g[3])
-        assert abs(table_[i] - log(p(tuple(g[:3].tolist()), int(g[3])))) < 1e-4
-    assert np.allclose(np.exp(table_.astype(float)).reshape(-1, q.K).sum(1), 1, atol=1e-3)
-    docs = spark.createDataFrame([(1, "the hat on the cat"), (2, "###"), (3, None)], "ppl int, text string")
-    got = {r.ppl: r.perplexity for r in q.with_perplexity(docs, (table_, mean)).collect()}
-    for i, t in ((1, "the hat on the cat"), (2, "###")):
-        c = [q.NEWLINE] * 3 + q.codes(t.encode()).tolist()
-        s = sum(log(p(tuple(c[j : j + 3]), c[j + 3])) for j in range(len(t)))
-        assert abs(got[i] - exp(-(s + 40 * mean) / (len(t) + 40))) < 1e-3
-    assert got[3] == float("inf")
-
-
-def test_long_text_in_blocks(spark, monkeypatch):
-    docs = spark.createDataFrame([("abcdefghij" * 50,)], "text string")
-    model = (np.random.default_rng(0).normal(size=q.K**4).astype(np.float32), -2.0)
-    whole = q.with_perplexity(docs, model).first().perplexity
-    monkeypatch.setattr(q, "BLOCK", 7)
-    c = q.codes(b"abcdefghij" * 50)
-    parts = np.concatenate([q.grams(c[max(0, i - 3) : i + 7])[min(i, 3) :] for i in range(0, len(c), 7)])
-    assert (parts == q.grams(c)).all() and whole > 0
+def slow_perplexity(p, t):
+    c = "\n" * 4 + t
+    return exp(-sum(log(p(c[i : i + 4], c[i + 4])) for i in range(len(t))) / len(t))
+
+
+def test_perplexity_matches_slow_model_both_ways(spark, monkeypatch):
+    """Latin, Vietnamese and Chinese text, unknown characters, and a text cut into blocks; by lookup and by sharded joins."""
+    rng = random.Random(1)
+    letters = "".join(t or "" for t in TRUSTED) + "qz漢ß"
+    texts = [t for t in TRUSTED if t] + ["the hat on the cat", "###", "今天去学校", "tiếng Anh", "x", "".join(rng.choices(letters, k=400)), "the hat on the cat", "", None]
+    p, scratch = slow_model([t or "" for t in TRUSTED]), Scratch(spark)
+    trained = q.train(spark.createDataFrame([(t,) for t in TRUSTED], "t string").repartition(3), scratch)
+    docs = spark.createDataFrame(list(enumerate(texts)), "ppl int, text string")
+    for block, most_rows in ((q.BLOCK, 10**6), (7, 10**6), (q.BLOCK, 0)):
+        monkeypatch.setattr(q, "BLOCK", block)
+        got = {r.ppl: r.perplexity for r in q.with_perplexity(docs, trained, scratch, most_rows=most_rows).collect()}
+        for i, t in enumerate(texts):
+            want = slow_perplexity(p, t) if t else float("inf")
+            assert got[i] == want or abs(got[i] - want) < 1e-3 * want, (t, got[i], want)
+
+
+def test_model_grows_with_the_text(spark):
+    rng, scratch = random.Random(2), Scratch(spark)
+    text = "".join(rng.choices("abcdefghijklmnop ", k=20_000))
+    size = [q.train(spark.createDataFrame([(text[:n],)], "t string"), scratch)[0].count() for n in (2_000, 20_000)]
+    assert size[1] > 4 * size[0]
+
+
+def test_very_long_text(spark):
+    scratch = Scratch(spark)
+    trained = q.train(spark.createDataFrame([("abc abd abe " * 50,)], "t string"), scratch)
+    got = q.with_perplexity(spark.createDataFrame([("abc abd abe " * 200_000,)], "text string"), trained, scratch).first().perplexity
+    assert 1 < got < 2
 
 
 def test_accuracy_on_labels(spark):
