@@ -138,9 +138,10 @@ def lsa(m: Rows, concepts: int = 3) -> np.ndarray:
     if not m.n or not m.m:
         return np.zeros(m.n)
     if m.n <= 4 * BLOCK:
-        _, s, v = np.linalg.svd(m.dense().T, full_matrices=False)
-        k = min(concepts, int((s > 1e-10).sum()))
-        return np.sqrt(((s[:k, None] * v[:k]) ** 2).sum(0))
+        full = m.dense()
+        squares, v = np.linalg.eigh(full @ full.T)  # of the sentences' products: as the singular values and vectors, for less
+        top = np.argsort(-squares)[:concepts]
+        return np.sqrt((np.maximum(squares[top], 0) * v[:, top] ** 2).sum(1))
     q = np.linalg.qr(np.random.default_rng(0).normal(size=(m.n, concepts + 12)))[0]
     for _ in range(60):
         q = np.linalg.qr(np.stack([m.times(m.transposed_times(x)) for x in q.T], 1))[0]
