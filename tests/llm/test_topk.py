@@ -19,6 +19,7 @@ def test_cell_matches_brute_force_with_ties():
     m[100:300] = m[100]  # one common vector
     q = ids % 20 == 0
     a, b, s = search_cell(ids[q], m[q], ids, m, 5, 32)
+    a = ids[q][a]
     got = {}
     for x, y, z in zip(a.tolist(), b.tolist(), s.tolist()):
         got.setdefault(x, []).append((-z, y))
@@ -36,8 +37,40 @@ def test_query_end_to_end_many_cells(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, id int")
     v = quantized(df, "vec_id", "embedding")
     got = top_k(v, v.where("id % 20 = 0"), 7, rows_per_cell=64, queries_per_cell=8, block=16)
-    want = brute(np.arange(300), np.floor(64 * m).astype(int), 7, 20)
-    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got.collect()) == want
+    every = [(i, x) for i, x in enumerate(np.floor(64 * m).astype(int))]
+    every.append(every[5])  # the repeated row is a candidate of its own
+    want = []
+    for i, x in every:
+        if i % 20 == 0:
+            best = sorted((-int(x @ y), j) for j, y in every if j != i)[:7]
+            want += [(i, r + 1, j, -z) for r, (z, j) in enumerate(best)]
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got.collect()) == sorted(want)
+
+
+def test_large_components_are_not_clipped(spark):
+    rows = [(0, [1e8, 1.0]), (1, [1e7, 2.0]), (2, [-1e7, 0.5]), (3, [3e6, -1e9])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    v = quantized(df, "vec_id", "embedding")
+    got = {(r.query_id, r.vec_id): r.score for r in top_k(v, v.where("id = 0"), 5).collect()}
+    ints = {i: [int(64 * y) for y in x] for i, x in rows}
+    assert got == {(0, j): ints[0][0] * ints[j][0] + ints[0][1] * ints[j][1] for j in (1, 2, 3)}
+
+
+def test_beyond_a_long_is_an_error(spark):
+    import pytest
+
+    for x in ([1e18, 0.0], [1e16, 1e16]):
+        v = quantized(spark.createDataFrame([(0, x), (1, x)], "vec_id long, embedding array<double>"), "vec_id", "embedding")
+        with pytest.raises(Exception, match="too large|[Oo]verflow"):
+            top_k(v, v.where("id = 0"), 5).collect()
+
+
+def test_repeated_queries_and_clashing_names(spark):
+    """Two rows of one query id: their lists are merged; other columns named like those inside do not matter."""
+    rows = [(0, [1.0], 9, 9), (0, [-1.0], 9, 9), (1, [1.0], 9, 9), (2, [2.0], 9, 9)]
+    v = quantized(spark.createDataFrame(rows, "vec_id long, v array<double>, place int, id int"), "vec_id", "v")
+    got = [(r.rank, r.vec_id, r.score) for r in top_k(v, v.where("id = 0"), 3).orderBy("rank").collect()]
+    assert got == [(1, 2, 64 * 128), (2, 1, 64 * 64), (3, 1, -64 * 64)]
 
 
 def test_empty(spark):
