@@ -7,7 +7,8 @@ verified all the same.
 
 Scale: balls are shuffled as tries. The shuffle key is a variant's first ``prefix_bits`` bits, so
 a fingerprint travels once for each prefix that its ball reaches (79 rows at 12 bits) and not once
-for each variant; the rest of the ball unfolds bit group by bit group in the reducer, where a
+for each variant; the prefix and the number of partitions grow with the fingerprints, so that a
+partition holds about ``ROWS_EACH`` rows whatever their number; the rest of the ball unfolds bit group by bit group in the reducer, where a
 branch that only one fingerprint reaches is cut, as nothing can meet there. Equal fingerprints are
 merged before. Within a reducer, fingerprints that meet are joined by union-find and only one
 link per fingerprint and reducer leaves it, never all pairs of a group; ``components`` finishes.
@@ -32,10 +33,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import components, raw_texts, stored
+from corpusloom.llm.common import Scratch, components, raw_texts
 
 SEED = 42
 SLICE = 1 << 16
+ROWS_EACH = 1_500_000
 #: For each byte, eight 8-bit lanes of one uint64 that hold its bits.
 LANES = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], np.uint64)
 
@@ -149,12 +151,25 @@ def _meet(fps: np.ndarray, variant: np.ndarray, who: np.ndarray, left: np.ndarra
     return find(np.arange(len(fps)))
 
 
-def links(fps: DataFrame, prefix_bits: int = 12, most_rows: int = 400_000) -> DataFrame:
-    """(a, b): for each reducer, links that join the fingerprints that meet there; ``fps`` has distinct fp."""
+def dealing(n: int, rows_each: int = ROWS_EACH) -> tuple[int, int]:
+    """(prefix bits, partitions) for n fingerprints: about ``rows_each`` rows a partition, and 16 prefixes or more for each."""
+    bits = 12
+    while True:
+        parts = -(-n * (1 + bits + bits * (bits - 1) // 2) // rows_each)
+        if 16 * parts <= 1 << bits or bits >= 30:
+            return bits, max(1, parts)
+        bits += 2
+
+
+def links(fps: DataFrame, most_rows: int = 400_000, rows_each: int = ROWS_EACH) -> DataFrame:
+    """(a, b): for each reducer, links that join the fingerprints that meet there; ``fps`` (a stored table) has distinct fp."""
+    prefix_bits, parts = dealing(fps.count(), rows_each)
     masks, used = patterns(prefix_bits, 2)
     plan = F.array(*[F.struct(F.lit(int(np.uint64(int(m) << (64 - prefix_bits)).astype(np.int64))).alias("m"), F.lit(int(2 - u)).cast("byte").alias("left")) for m, u in zip(masks, used)])
     rows = fps.select("fp", F.explode(plan).alias("x")).select("fp", F.col("fp").bitwiseXOR(F.col("x.m")).alias("variant"), "x.left")
-    rows = rows.repartition(F.shiftrightunsigned("variant", 64 - prefix_bits))
+    prefix = F.shiftrightunsigned("variant", 64 - prefix_bits)
+    usual = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(parts, prefix) if parts > usual else rows.repartition(prefix)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches if b.num_rows]
@@ -171,10 +186,13 @@ def links(fps: DataFrame, prefix_bits: int = 12, most_rows: int = 400_000) -> Da
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_a_shingle: int = 4) -> DataFrame:
     """(doc_id, fp long, fingerprint, component_id): classes of fingerprints linked at 4 or fewer differing bits."""
-    fps = stored(fingerprints(docs, id_col, text_col, words_a_shingle), "simhash")
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    comp = components(links(distinct.select("fp")))
+    scratch, final = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
+    fps = final.stored(fingerprints(docs, id_col, text_col, words_a_shingle), "simhash")
+    distinct = scratch.stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    comp = components(scratch.stored(links(distinct.select("fp")), "links"), scratch=scratch)
     member = distinct.join(comp, distinct["fp"] == comp["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     low = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = member.join(low, "root").select(F.col("fp").alias("own"), "component_id")
+    ids = final.stored(member.join(low, "root").select(F.col("fp").alias("own"), "component_id"), "classes")
+    scratch.drop()
+    # a fingerprint that a third of all rows share makes a skewed key here, which adaptive execution splits
     return fps.join(ids, fps["fp"] == ids["own"]).select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -4,7 +4,7 @@ import re
 import numpy as np
 import xxhash
 
-from corpusloom.llm.simhash import _meet, fingerprint, near_duplicates, patterns
+from corpusloom.llm.simhash import _meet, dealing, fingerprint, links, near_duplicates, patterns
 
 
 def slow(text):
@@ -75,3 +75,28 @@ def test_documents(spark):
 
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_dealing_grows_with_the_fingerprints(spark):
+    assert dealing(200_000)[0] == 12
+    for n in (10**6, 10**8, 10**10):
+        bits, parts = dealing(n)
+        assert 16 * parts <= 1 << bits and n * (1 + bits + bits * (bits - 1) // 2) / parts <= 1.6e6
+    rng = random.Random(7)
+    fps = sorted({c ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(0, 6))) for c in [rng.getrandbits(63) for _ in range(9)] for _ in range(20)})
+    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
+    got = {(min(r), max(r)) for few in (20_000_000, 20) for r in [tuple(x) for x in links(df, rows_each=few).collect()]}
+    cls = classes(fps)
+    signed = {f - (1 << 64) if f >> 63 else f: c for f, c in zip(fps, cls)}
+    assert all(signed[a] == signed[b] for a, b in got)
+    for few in (20_000_000, 20):
+        root = {f: f for f in signed}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in (tuple(x) for x in links(df, rows_each=few).collect()):
+            root[find(a)] = find(b)
+        assert len({find(f) for f in signed}) == len(set(cls))
