@@ -5,8 +5,9 @@ words. An item's threshold is what BM25 gives at least to a passage that holds `
 item's five-word shingles: then at most as many of its words are missing as shingles are, so the
 threshold is the item's own score less its heaviest terms of that number. Weights are divided by
 their item's threshold, so that one bound, 1, serves all items, and every item that reaches it is
-retrieved - nothing is cut to a top k. Retrieved pairs are verified by exact shingle overlap of
-question and answer. Passages are twice the longest item's words and start every half, so that
+retrieved - nothing is cut to a top k. Retrieved pairs are verified by exact shingle overlap:
+``overlap`` of question and answer together, and ``each`` of the question and of the answer (if the
+item has one), so that neither half alone makes a leak. Passages are twice the longest item's words and start every half, so that
 each stretch as long as an item lies whole in one.
 
 A passage whose summed term maxima stay below 1 is dropped before the search (vectorised). The
@@ -14,10 +15,11 @@ search sums the terms' maxima over blocks of ``BLOCK`` items, passes over blocks
 through the others item by item with the usual pivot.
 
 Scale: texts stay where they are read. The index is broadcast in shards of at most
-``items_per_shard`` items (a proven bound), one pass over the texts for each shard.
+``items_per_shard`` items (a proven bound), one pass over the texts for each shard; shards are
+collected, built, searched and released one after the other, so the driver holds one at a time.
 
 Defined results: null or empty texts and items match nothing. Words are runs of anything but ASCII
-white space and punctuation, lower-cased. Items under five words count as one shingle. Repeated
+white space and punctuation, lower-cased. Items under five words count as one shingle. Item ids may be of any type; items with a null id are left out. Repeated
 items are one each; repeated rows of a text each return their pairs; empty tables give no rows.
 """
 
@@ -32,7 +34,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import raw_texts
+from pyspark.sql.pandas.types import to_arrow_type
+
+from corpusloom.llm.common import Scratch, raw_texts
 
 K1, B = 1.2, 0.75
 BLOCK = 4
@@ -180,7 +184,7 @@ def candidates(index: Index, ids: np.ndarray) -> list[tuple[int, int, list[tuple
     return out
 
 
-def leaks(index: Index, text: bytes, overlap: float = 0.8) -> list[tuple[int, float, float, float, float]]:
+def leaks(index: Index, text: bytes, overlap: float = 0.8, each: float = 0.5) -> list[tuple[int, float, float, float, float]]:
     """(item_id, score, overlap, question overlap, answer overlap) of the items that a passage of the text holds."""
     words = words_of(text)
     if not words or not index.items:
@@ -194,8 +198,8 @@ def leaks(index: Index, text: bytes, overlap: float = 0.8) -> list[tuple[int, fl
             own = held if len(x.question) + len(x.answer) >= SHINGLE else held | shingles(words[a:b], len(x.question) + len(x.answer))
             part = lambda s, w: 1.0 if not s else len(s & (own if len(w) >= SHINGLE else shingles(words[a:b], len(w)))) / len(s)  # noqa: B023, E731
             o = len(x.every & own) / len(x.every)
-            if o >= overlap:
-                best[x.item_id] = max(best.get(x.item_id, ()), (o, score, part(x.q, x.question), part(x.a, x.answer)))
+            if o >= overlap and min(parts := (part(x.q, x.question), part(x.a, x.answer))) >= each:
+                best[x.item_id] = max(best.get(x.item_id, ()), (o, score, *parts))
     return [(i, s, o, q, a) for i, (o, s, q, a) in sorted(best.items())]
 
 
@@ -206,29 +210,40 @@ def split_items(items: DataFrame, id_col: str = "item_id", text_col: str = "text
     return items.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("item_id"), F.when(cut == "", t).otherwise(cut).alias("question"), F.when(cut == "", "").otherwise(F.regexp_extract(t, r"(?s)^(.*[.!?])\s+([^.!?]+[.!?]*)$", 2)).alias("answer"))
 
 
-def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", overlap: float = 0.8, items_per_shard: int = 20_000) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", overlap: float = 0.8, each: float = 0.5, items_per_shard: int = 20_000) -> DataFrame:
     """(doc_id, item_id, score, overlap, question_overlap, answer_overlap) for items (item_id, question, answer)."""
-    spark = docs.sparkSession
-    items = items.distinct()
-    shards = max(1, -(-items.count() // items_per_shard))
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
+    items = items.where(F.col("item_id").isNotNull()).distinct()
+    n = items.count()
+    buckets = 1 if n <= items_per_shard else -(-2 * n // items_per_shard)  # half full on average
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    schema = f"doc_id {d.schema['doc_id'].dataType.simpleString()}, item_id long, score double, overlap double, question_overlap double, answer_overlap double"
-    names = [x.split()[0] for x in schema.split(", ")]
-    out = None
-    for s in range(shards):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "question", "answer"), F.lit(shards)) == s).orderBy("item_id", "question", "answer").collect()
-        held = spark.sparkContext.broadcast(build([tuple(r) for r in rows], overlap))
+    schema = f"doc_id {d.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, score double, overlap double, question_overlap double, answer_overlap double"
+    names, item_type = [x.split()[0] for x in schema.split(", ")], to_arrow_type(items.schema["item_id"].dataType)
+
+    def search(rows: list) -> tuple[DataFrame, object]:
+        held = spark.sparkContext.broadcast(build(rows, overlap))
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 at, got = [], []
                 for i, t in enumerate(raw_texts(b.column(1))):
-                    for x in leaks(held.value, t, overlap):
+                    for x in leaks(held.value, t, overlap, each):
                         at.append(i)
                         got.append(x)
                 if got:
-                    yield pa.record_batch([b.column(0).take(pa.array(at)), *(pa.array(c) for c in zip(*got))], names=names)
+                    item, *shares = zip(*got)
+                    yield pa.record_batch([b.column(0).take(pa.array(at)), pa.array(item, item_type), *(pa.array(c, pa.float64()) for c in shares)], names=names)
 
-        found = d.mapInArrow(run, schema)
-        out = found if out is None else out.union(found)
+        return d.mapInArrow(run, schema), held
+
+    out = None
+    for s in range(buckets):
+        own = items if buckets == 1 else items.where(F.pmod(F.xxhash64("item_id", "question", "answer"), F.lit(buckets)) == s)
+        rows = [tuple(r) for r in own.orderBy("item_id", "question", "answer").toLocalIterator()]
+        for i in range(0, max(1, len(rows)), items_per_shard):
+            found, held = search(rows[i : i + items_per_shard])
+            if n > items_per_shard:  # written, so that this shard can go before the next one comes
+                found = scratch.stored(found, "leaks")
+                held.destroy()
+            out = found if out is None else out.union(found)
     return out

@@ -16,7 +16,8 @@ def brute(items, text, overlap=0.8):
         if not own:
             continue
         held = d.shingles(words, min(len(w), 5)) if words else set()
-        if len(own & held) / len(own) >= overlap:
+        share = lambda x: 1.0 if not x else len(d.shingles(x) & d.shingles(words, min(len(x), 5))) / len(d.shingles(x))
+        if len(own & held) / len(own) >= overlap and min(share(d.words_of(x.encode())) for x in (q or "", a or "")) >= 0.5:
             out.append(i)
     return sorted(out)
 
@@ -77,3 +78,16 @@ def test_table_against_brute_force(spark, sf):
     got = {(r.doc_id, r.item_id) for r in d.contaminated(table(spark, sf, "documents"), items).collect()}
     its = [tuple(r) for r in items.collect()]
     assert got == {(r.doc_id, i) for r in table(spark, sf, "documents").collect() for i in brute(its, r.text)}
+
+
+def test_question_without_its_answer_is_no_leak(spark):
+    question, answer = " ".join(f"q{i}" for i in range(60)), " ".join(f"a{i}" for i in range(8))
+    items = spark.createDataFrame([("x-1", question, answer)], "item_id string, question string, answer string")
+    docs = spark.createDataFrame([(1, f"zz {question} zz"), (2, f"zz {question} {answer} zz"), (3, f"{answer} zz")], "item_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in d.contaminated(docs, items, "item_id").collect()] == [(2, "x-1")]
+
+
+def test_very_long_text(spark):
+    items = spark.createDataFrame([(1, "One two three four five six seven. Eight nine ten.")], "item_id long, text string")
+    text = "filler words of prose " * 200_000 + "one two three four five six seven eight nine ten" + " more filler" * 100_000
+    assert d.contaminated(spark.createDataFrame([(1, text), (2, text[:900_000])], "doc_id long, text string"), d.split_items(items)).count() == 1
