@@ -27,7 +27,6 @@ MOST_NOTICES = 500
 #: Spellings that count as one (pattern over lower-case text, replacement).
 SPELLINGS = (
     ("licence", "license"),
-    ("licensor", "licensor"),
     ("sub license", "sublicense"),
     ("sub-license", "sublicense"),
     ("merchantibility", "merchantability"),
@@ -87,6 +86,23 @@ THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND
 TITLES = (("MIT", "MIT License"), ("MIT", "The MIT License"), ("MIT", "The MIT License (MIT)"), ("ISC", "ISC License"), ("0BSD", "BSD Zero Clause License"), ("BSD-2-Clause", "BSD 2-Clause License"), ("BSD-3-Clause", "BSD 3-Clause License"))
 KNOWN += tuple((name, f"{title}\n\n{text}") for name, title in TITLES for n, text in KNOWN if n == name and "\n" in text)
 
+#: SHA-256 of the canonical form of whole texts as they are shipped, by licence.
+KNOWN_DIGESTS = {
+    "Apache-2.0": "18e3c30bb7e1ef0f48cba795da1e422e74adad7e3e09ee4dd50c0bad05476800",
+    "Artistic-1.0-Perl": "bc4d0c00d493021b9f3b1041689fa28b4bf980cf2e37601f7cb475a7265e3b93",
+    "CC0-1.0": "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f",
+    "GFDL-1.2": "274e3fa4591a80eebc8e3ef47ebbd37d9bdf263d33495c417079920cb6caac2f",
+    "GFDL-1.3": "5e8b488ff84a1a3e9954cf9b716c8c56e4292049bc7606827bd08842f6de23ea",
+    "GPL-1.0": "88c0d32b6685976f91edcbb228c50498a7324b47880b82b90b4b86377ca82e38",
+    "GPL-2.0": "ae2be2aaa68f5e52ef402874fc8c7c691879b445cb12e49d84f88168cc2d7dd6",
+    "GPL-3.0": "90cf7d8e7a5d9428f784dc461c0252857b76a1af2479da6581a0e7c044dfd9f0",
+    "LGPL-2.0": "59a061c498ef1c6b3fd9ad6466d69d12b400f64b87cb827d62c381d3bc6aca88",
+    "LGPL-2.1": "1f0770d1499d1ef2c69208a3369d7d9f7722ab5c39fbad959327bed318feb554",
+    "LGPL-3.0": "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",
+    "MPL-1.1": "c77e9962c08d23b48c63149bb388bce4f1191767261b9a9fc6df8e7c341c9d4c",
+    "MPL-2.0": "ec835f8db606b7a75eb31727e0019a90f5f938b11079c2ce6afcedd4fee1f04e",
+}
+
 #: Fixed value: a line that only states a copyright.
 def _other_than(words: tuple[str, ...]) -> str:
     """Pattern of a word's beginning that is no beginning of ``words``; without lookahead, which DuckDB has not."""
@@ -112,11 +128,12 @@ def canonical(lines: Column) -> Column:
     return F.trim(F.regexp_replace(lines, r"[ \n]+", " "))
 
 
-def catalogue(spark: SparkSession, known=KNOWN) -> DataFrame:
-    """(known_digest, license): one row for each canonical form."""
+def catalogue(spark: SparkSession, known=KNOWN, digests=None) -> DataFrame:
+    """(known_digest, license): one row for each canonical form; ``digests``: further digests by licence (null: those of this module)."""
     df = spark.createDataFrame(list(known), "license string, text string")
     form = canonical(canonical_lines(F.col("text")))
-    return df.where(form != "").groupBy(F.sha2(form, 256).alias("known_digest")).agg(F.min("license").alias("license"))
+    told = spark.createDataFrame([(d, n) for n, d in (KNOWN_DIGESTS if digests is None else digests).items()], "known_digest string, license string")
+    return df.where(form != "").select(F.sha2(form, 256).alias("known_digest"), "license").union(told).groupBy("known_digest").agg(F.min("license").alias("license"))
 
 
 def scan(docs: DataFrame, known: DataFrame, notices: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -148,9 +165,10 @@ def _sql(text: str, known=KNOWN) -> str:
 
 def oracle() -> str:
     values = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in KNOWN)
+    digests = ", ".join(f"('{d}', '{n}')" for n, d in KNOWN_DIGESTS.items())
     form = lambda x: f"trim(regexp_replace({x}, '[ \\n]+', ' ', 'g'))"
     return f"""
-WITH k AS (SELECT sha256({form(_sql('t'))}) AS kd, min(n) AS license FROM (VALUES {values}) v(n, t) GROUP BY 1),
+WITH k AS (SELECT kd, min(n) AS license FROM (SELECT sha256({form(_sql('t'))}) AS kd, n FROM (VALUES {values}) v(n, t) UNION ALL SELECT * FROM (VALUES {digests}) w(kd, n)) x GROUP BY 1),
 d AS (SELECT doc_id, {_sql('text')} AS lines FROM documents),
 w AS (SELECT doc_id, lines, sha256({form('lines')}) AS digest FROM d),
 u AS (SELECT w.doc_id, w.digest, list_sort(list_distinct(list(k.license))) AS ns FROM w, LATERAL (SELECT unnest(string_split(w.lines, chr(10))) AS l) x JOIN k ON sha256(trim(l)) = k.kd GROUP BY 1, 2)

@@ -1,5 +1,11 @@
+from pathlib import Path
+
+import pytest
+
 from corpusloom.llm import licenses as lic
 
+SHIPPED = Path("/usr/share/common-licenses")
+
 
 def test_non_commercial_notice(spark):
     known = lic.catalogue(spark)
@@ -24,3 +30,21 @@ def test_wrapped_bodies_and_long_lines(spark):
     got = lic.scan(spark.createDataFrame(rows, "doc_id long, text string"), known, known).orderBy("doc_id").collect()
     assert [r.license for r in got] == ["ISC", "MIT", "MIT", "ISC", "ISC", None]
     assert got[5].notices == ["MIT"]
+
+
+@pytest.mark.skipif(not SHIPPED.is_dir(), reason="no licence files on this machine")
+def test_whole_texts_as_shipped(spark):
+    """Public licence files of the operating system, as they are and with other case, spacing and copyright line."""
+    known = lic.catalogue(spark)
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    texts = [(n, (SHIPPED / f).read_text(errors="replace")) for f, n in files.items() if (SHIPPED / f).exists()]
+    rows = texts + [(n, "Copyright (c) 2024 Some One\n\n" + t.upper().replace("\n", "  \n")) for n, t in texts]
+    got = lic.scan(spark.createDataFrame(rows, "doc_id string, text string"), known, known).collect()
+    assert len(got) == 2 * len(texts) and all(r.license == r.doc_id for r in got)
+
+
+def test_very_long_text_and_clashing_names(spark):
+    known = lic.catalogue(spark)
+    df = spark.createDataFrame([(1, "prose and more prose\n" * 100_000 + "Released under the MIT License.", "x", "y")], "doc_id long, text string, license string, digest string")
+    r = lic.scan(df, known, known).first()
+    assert (r.license, r.notices) == (None, ["MIT"])
