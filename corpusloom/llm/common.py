@@ -57,8 +57,12 @@ class Scratch:
                 at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
                 at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
         if not tables:
-            gc.collect()
-            self.spark._jvm.System.gc()  # lets the context cleaner remove the shuffle files of plans that are gone
+            self.sweep()
+
+    def sweep(self) -> None:
+        """Let the context cleaner remove the shuffle files of plans that nothing refers to any more."""
+        gc.collect()
+        self.spark._jvm.System.gc()
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
