@@ -7,7 +7,7 @@ n-gram, over all trusted text. The model has a row for each n-gram seen, so it g
 
 A document's perplexity sums log p over its characters, from counts joined to the model:
 
-* While the model has at most ``most_rows`` rows (some 24 bytes each), it is broadcast, and the join
+* While the model has at most ``most_rows`` rows (16 bytes each), it is broadcast, and the join
   takes place where documents are read, by hashed lookup; texts are not shuffled.
 * Beyond, each document's n-gram counts are joined to the sharded tables, order by order: what an
   order has not seen takes the context's back-off weight and goes on to the order below, merged
@@ -134,12 +134,13 @@ def model(counts: DataFrame, scratch: Scratch) -> tuple[DataFrame, float]:
         cut = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
         t = tables[k].withColumn("context", F.substring("gram", 1, k - 1) if k > 1 else F.lit(""))
         c = t.groupBy("context").agg(F.sum("n").alias("total"), F.sum(cut).alias("cut")).select("context", "total", (F.col("cut") / F.col("total")).alias("weight"))
-        p = t.join(c, "context").select("gram", (F.greatest(F.lit(0.0), F.col("n") - cut) / F.col("total")).alias("own"), "weight")
-        if lower is None:
-            p = p.select("gram", (F.col("own") + F.col("weight") / symbols).alias("p"))
-            first = c.first()
-            unknown = float(np.log(first.weight / symbols)) if first else float(-np.log(symbols + 1))
+        if k == 1:
+            first = c.first()  # the one empty context
+            total, weight = (first.total, first.weight) if first else (1, 1.0)
+            unknown = float(np.log(weight / symbols)) if first else float(-np.log(symbols + 1))
+            p = t.select("gram", (F.greatest(F.lit(0.0), F.col("n") - cut) / F.lit(float(total)) + F.lit(weight / symbols)).alias("p"))
         else:
+            p = t.join(c, "context").select("gram", (F.greatest(F.lit(0.0), F.col("n") - cut) / F.col("total")).alias("own"), "weight")
             low = lower.select(F.col("gram").alias("suffix"), F.col("p").alias("below"))
             p = p.join(low, F.substring("gram", 2, k - 1) == F.col("suffix")).select("gram", (F.col("own") + F.col("weight") * F.col("below")).alias("p"))
             gammas.append(c.select(F.col("context").alias("gram"), F.log("weight").alias("gamma")))
@@ -197,8 +198,15 @@ def log_likelihood(look: Lookup, unknown: float, c: np.ndarray) -> float:
 
 def with_sums_by_lookup(docs: DataFrame, at: int, table: DataFrame, unknown: float) -> DataFrame:
     """``docs`` with the columns ll (log-likelihood) and size (characters) added; the model is broadcast."""
-    rows = table.toPandas()  # at most most_rows rows, see with_perplexity
-    held = docs.sparkSession.sparkContext.broadcast((text_hash(rows["gram"].tolist()), rows["logp"].to_numpy(float), rows["gamma"].to_numpy(float), unknown))
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = text_hash(b.column(0).to_pylist()).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h), b.column(1), b.column(2)], names=["h", "logp", "gamma"])
+
+    numbers = table.select("gram", F.coalesce("logp", F.lit(float("nan"))).cast("float").alias("logp"), F.col("gamma").cast("float").alias("gamma"))
+    rows = numbers.mapInArrow(hashed, "h long, logp float, gamma float").toArrow()  # 16 bytes for each of at most most_rows rows, see with_perplexity
+    held = docs.sparkSession.sparkContext.broadcast((rows["h"].to_numpy().view(np.uint64), rows["logp"].to_numpy(), rows["gamma"].to_numpy(), unknown))
+    del rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = Lookup(*held.value[:3])
@@ -248,7 +256,7 @@ def with_sums_by_joins(docs: DataFrame, at: int, table: DataFrame, unknown: floa
     return docs.join(sums, digest == F.col("own"), "left").select(*docs.columns, F.coalesce("ll", F.lit(0.0)).alias("ll"), F.coalesce("size", F.lit(0)).alias("size"))
 
 
-def with_perplexity(docs: DataFrame, trained: tuple[DataFrame, float], scratch: Scratch, text_col: str = "text", out: str = "perplexity", most_rows: int = 3_000_000) -> DataFrame:
+def with_perplexity(docs: DataFrame, trained: tuple[DataFrame, float], scratch: Scratch, text_col: str = "text", out: str = "perplexity", most_rows: int = 2_000_000) -> DataFrame:
     """``docs`` and its perplexity in the column ``out``; the model is broadcast if it has at most ``most_rows`` rows."""
     table, unknown = trained
     cols = docs.columns
@@ -278,7 +286,7 @@ def train(texts: DataFrame, scratch: Scratch) -> tuple[DataFrame, float]:
     return model(scratch.stored(gram_counts(texts), "gramcounts"), scratch)
 
 
-def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = 0.996, most_rows: int = 3_000_000) -> tuple[DataFrame, list[str]]:
+def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = 0.996, most_rows: int = 2_000_000) -> tuple[DataFrame, list[str]]:
     """``docs`` with three columns added, named in the list: perplexity, threshold, keep."""
     names = []
     for n in ("perplexity", "threshold", "keep"):
