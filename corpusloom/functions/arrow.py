@@ -92,6 +92,25 @@ clean_generated = _text(clean_generation)
 cache_key_blake = _text(lambda x: hashlib.blake2b(x.encode(), digest_size=16).hexdigest())
 
 
+#: Punctuation that counts as its ASCII form.
+PUNCTUATION = str.maketrans({"“": '"', "”": '"', "‘": "'", "’": "'", "–": "-", "—": "-", "…": "..."})
+
+
+def element_text(text: str, kind: str) -> str:
+    """An element's text: glued words parted, NFC, hyphens at line ends closed, control and zero-width characters out, plain punctuation; a table keeps its lines and symbols."""
+    t = unicodedata.normalize("NFC", part_glued(text)).replace("\r\n", "\n").replace("\r", "\n")
+    t = re.sub(r"(?<=\w)-\n(?=\w)", "", t)
+    t = "".join(" " if unicodedata.category(c) == "Cc" and c not in "\n\t" else "" if c in "\u200b\u200c\u200d\ufeff" else c for c in t).translate(PUNCTUATION)
+    if kind == "table":
+        return "\n".join(" ".join(x.split()) for x in t.split("\n")).strip()
+    return " ".join("".join(c if c.isalnum() or c in " \n\t_.,;:!?()/%+-|\"'" or unicodedata.category(c)[0] == "M" else " " for c in t).split())
+
+
+def clean_element(column, kind):
+    """Element-level cleaning by the element's kind ("table" keeps line feeds)."""
+    return F.pandas_udf(lambda s, k: pd.Series([element_text(x or "", y or "") for x, y in zip(s, k)]), "string")(column, kind)
+
+
 def hash_embed(column, dim: int = 256):
     return F.pandas_udf(lambda s: s.fillna("").map(lambda x: embed(x, dim).tolist()), "array<float>")(column)
 
