@@ -254,12 +254,12 @@ def breakpoints(vectors: np.ndarray, how: str = "dynamic", fixed: float = 0.3, s
     return (np.flatnonzero(far > cut) + 1).tolist()
 
 
-def semantic_chunks(text: str, how: str = "dynamic", most_chars: int = 1200, dim: int = 64, **options) -> list[dict]:
+def semantic_chunks(text: str, rule: str = "dynamic", most_chars: int = 1200, dim: int = 64, **options) -> list[dict]:
     """Sentences parted where their hashed vectors turn (see breakpoints) and before ``most_chars`` characters are passed."""
     s = sentences(text)
     if not s:
         return []
-    starts = set(breakpoints(np.stack([embed(x, dim) for x in s]).astype(float), how, **options))
+    starts = set(breakpoints(np.stack([embed(x, dim) for x in s]).astype(float), rule, **options))
     out: list[list[str]] = [[]]
     for i, x in enumerate(s):
         if out[-1] and (i in starts or sum(map(len, out[-1])) + len(out[-1]) + len(x) > most_chars):

@@ -50,7 +50,7 @@ for name, how in {"chunk_semantic_token": "token", "chunk_paragraph_overlap": "p
     add(name, lambda s, d, how=how: chunk.chunk(docs(s, d), how))
 add("chunk_embedding", lambda s, d: chunk.chunk(docs(s, d), "token", target=200).select("doc_id", "index", "chunk_id", arrow.hash_embed("text", 64).alias("vector")))
 for name, how in {"chunk_semantic_fixed": "fixed", "chunk_semantic_dynamic": "dynamic", "chunk_semantic_window": "window"}.items():
-    add(name, lambda s, d, how=how: chunk.chunk(docs(s, d), "semantic", how=how))
+    add(name, lambda s, d, how=how: chunk.chunk(docs(s, d), "semantic", rule=how))
 add("admin_clean_elements", lambda s, d: chunk.admin_elements(chunk.build_sections(docs(s, d))).select("doc_id", "i", "kind", "text"))
 add("clean_element", lambda s, d: chunk.build_sections(docs(s, d)).select("doc_id", "i", arrow.clean_element("text", F.when(F.col("kind") == "bullet", "table").otherwise("paragraph")).alias("text")))
 add("gmm_diag_soft", lambda s, d: cluster.gmm_members(table(s, d, "embeddings")))
