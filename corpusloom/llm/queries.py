@@ -10,51 +10,61 @@ from corpusloom.session import table
 
 
 def op1_simhash(spark, sf_dir):
+    """SimHash classes of every document; texts without words have fingerprint zero. Null ids take part and order last."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
 def op2_licenses(spark, sf_dir):
+    """Licence of each whole text (null: none) and the names of its one-line notices."""
     known = licenses.catalogue(spark)
     return licenses.scan(table(spark, sf_dir, "documents"), known, known).withColumn("notices", F.array_join("notices", ","))
 
 
 def op3_quality(spark, sf_dir):
+    """Perplexity, its language's threshold and the verdict of each document; null and empty texts are rejected."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     out, names = quality.classify(docs, quality.trusted_ids(table(spark, sf_dir, "labels")))
     return out.select("doc_id", "lang", *names)
 
 
 def op4_toxicity(spark, sf_dir):
+    """Toxicity score of each document; learnt without the rows that are held out."""
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def op5_decontam(spark, sf_dir):
+    """Pairs of a document and a benchmark item that it holds."""
     return decontam.contaminated(table(spark, sf_dir, "documents"), decontam.split_items(table(spark, sf_dir, "benchmark")))
 
 
 def op6_linededup(spark, sf_dir):
+    """Numbers of lines and of kept lines of each document, and digest and length of what is left; null texts: 0, 0, null, null."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return linededup.dedup_lines(docs, counts=("n_lines", "n_kept")).select("doc_id", "n_lines", "n_kept", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
 def op7_warc(spark, sf_dir):
+    """Each record with the full response that it stands for, if any, and the merged headers."""
     out = warc.resolve(warc.records_of_pages(table(spark, sf_dir, "pages")))
     headers = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")
     return out.select("record_id", "url_key", "full_id", "state", headers.alias("headers"), F.length("payload").cast("long").alias("payload_chars"), F.md5("payload").alias("payload_md5"))
 
 
 def op8_tokencounts(spark, sf_dir):
+    """UTF-8 bytes and tokens of each document; null texts count as empty."""
     import public_tokenizers
 
     return tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op9_mixing(spark, sf_dir):
+    """Words that the mix takes of each document."""
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 def op10_topk(spark, sf_dir):
+    """Twenty best inner products of each vector whose id is divisible by 20; invalid vectors take no part."""
     v = topk.quantized(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return topk.top_k(v, v.where(F.col("id") % 20 == 0), k=20)
 

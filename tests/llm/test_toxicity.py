@@ -53,3 +53,34 @@ def test_rows_nulls_and_rule(spark):
     assert len(got) == 5 and all(0 <= r.score <= 1 for r in got)
     assert [r.held_out for r in got] == [zlib.crc32(b"" if i is None else str(i).encode()) % 4 == 2 for i, *_ in rows]
     assert tox.score(d.limit(0), tox.train(d.limit(0), lab.limit(0))).count() == 0
+
+
+def slow_score(model, text):
+    """The score by its definition, gram by gram: bytes 3 to 5 long of each word with its borders, hashed to a bucket."""
+    words = [w for w in "".join(c if ord(c) > 127 or c.isalnum() else " " for c in text.lower()).split(" ") if w]
+
+    def word(w):
+        b, values = b"<" + w.encode() + b">", []
+        for n in (3, 4, 5):
+            for i in range(len(b) - n + 1):
+                h = n
+                for x in b[i : i + n]:
+                    h = (h * 0x100000001B3 + x + 1) % 2**64
+                h ^= h >> 29
+                values.append(float(model.weight[(h * 0xBF58476D1CE4E5B9 % 2**64) >> 47]))
+        return sum(values) / len(values)
+
+    parts = [words[i : i + 32] for i in range(0, len(words), 32)] or [[]]
+    if len(parts) > 1 and len(parts[-1]) < 16:
+        parts[-2:] = [parts[-2] + parts[-1]]
+    x = max(sum(word(w) for w in set(p)) / max(len(p), 8) for p in parts)
+    return 1 / (1 + np.exp(-np.clip(x + model.bias, -40, 40)))
+
+
+def test_scores_match_the_definition():
+    rng = np.random.default_rng(4)
+    model = tox.Model(rng.normal(size=tox.BUCKETS).astype(np.float32), -0.4)
+    letters = list("abcdeféß日 .,  ")
+    texts = ["", "a", "A b! c", *("".join(rng.choice(letters, n)) for n in (5, 40, 200, 900, 3000))]
+    got = tox.Scorer(model)([t.encode() for t in texts])
+    assert np.allclose(got, [slow_score(model, t) for t in texts], atol=1e-5)
