@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -68,22 +70,30 @@ def raptor_tree(chunks: DataFrame, levels: int = 3, group: str = "source") -> Da
 
 
 def pca_2d(vectors: DataFrame, id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
-    """(id, x, y): the two main axes, from moments that Spark sums; the sign makes each axis's largest weight positive; scaled to [-1, 1]."""
-    e = vectors.select(id_col, F.posexplode(vec).alias("i", "x")).withColumn("x", F.col("x").cast("double"))
-    n = vectors.count()
-    mean = e.groupBy("i").agg(F.avg("x").alias("m"))
-    c = e.join(F.broadcast(mean), "i").select(id_col, "i", (F.col("x") - F.col("m")).alias("x"))
-    pairs = c.alias("a").join(c.alias("b"), id_col).groupBy("a.i", "b.i").agg(F.sum(F.col("a.x") * F.col("b.x"))).toDF("i", "j", "s").collect()  # dims**2 numbers
-    dims = 1 + max((r.i for r in pairs), default=0)
-    cov = np.zeros((dims, dims))
-    for r in pairs:
-        cov[r.i, r.j] = r.s / max(1, n - 1)
-    _, axes = np.linalg.eigh(cov)
-    out = None
+    """(id, x, y): the two main axes, from moments summed in Arrow batches (dims**2 numbers a batch); the sign makes each axis's largest weight positive; scaled to [-1, 1]."""
+
+    def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, total, square = 0, 0.0, 0.0
+        for p in batches:
+            if len(p):
+                x = np.stack(p["v"].to_numpy()).astype(float)
+                n, total, square = n + len(x), total + x.sum(0), square + x.T @ x
+        if n:
+            yield pd.DataFrame({"n": [n], "s": [total.tolist()], "q": [square.ravel().tolist()]})
+
+    given = vectors.select(id_col, F.col(vec).alias("v")).where(F.col("v").isNotNull())
+    part = given.select("v").mapInPandas(moments, "n long, s array<double>, q array<double>")
+    cells = part.select("n", F.posexplode(F.concat("s", "q")).alias("i", "x")).groupBy("i").agg(F.sum("n").alias("n"), F.sum("x").alias("x")).orderBy("i").collect()  # dims + dims**2 numbers
+    if not cells:
+        return given.select(id_col, F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    dims = int((np.sqrt(1 + 4 * len(cells)) - 1) / 2)
+    n, held = cells[0].n, np.array([r.x for r in cells])
+    mean = held[:dims] / n
+    _, axes = np.linalg.eigh((held[dims:].reshape(dims, dims) - n * np.outer(mean, mean)) / max(1, n - 1))
+    out = given
     for name, k in (("x", -1), ("y", -2)):
-        a = axes[:, k] * np.sign(axes[np.abs(axes[:, k]).argmax(), k])
-        w = F.element_at(F.array(*[F.lit(float(v)) for v in a]), F.col("i") + 1)
-        s = c.groupBy(id_col).agg(F.sum(F.col("x") * w).alias(name))
-        out = s if out is None else out.join(s, id_col)
+        a = axes[:, max(k, -dims)] * np.sign(axes[np.abs(axes[:, max(k, -dims)]).argmax(), max(k, -dims)])
+        w, at = F.array(*[F.lit(float(z)) for z in a]), float(a @ mean)
+        out = out.withColumn(name, F.aggregate(F.zip_with("v", w, lambda p, q: p.cast("double") * q), F.lit(-at), lambda s, z: s + z))
     top = out.agg(F.max(F.greatest(F.abs("x"), F.abs("y"))).alias("top"))
     return out.crossJoin(F.broadcast(top)).select(id_col, (F.col("x") / F.col("top")).alias("x"), (F.col("y") / F.col("top")).alias("y"))

@@ -7,8 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from corpusloom.functions import arrow
+from corpusloom.functions.dialect import SPARK
 from corpusloom.functions.text import col, sentences_raw
-from corpusloom.operators import chunk, cluster, summarize
+from corpusloom.operators import chunk, cluster, retrieve, summarize
+from corpusloom.plans import retrieval
 from corpusloom.plans.query import Book
 from corpusloom.session import table, work_dir
 from corpusloom.streaming.daily import daily, run_daily_stream
@@ -56,6 +58,19 @@ add("clean_element", lambda s, d: chunk.build_sections(docs(s, d)).select("doc_i
 add("gmm_diag_soft", lambda s, d: cluster.gmm_members(table(s, d, "embeddings")))
 add("raptor_tree", lambda s, d: cluster.raptor_tree(docs(s, d).select("source", F.col("doc_id").alias("chunk_id"), "text", arrow.hash_embed("text", 32).alias("vector"))))
 add("pca_2d", lambda s, d: cluster.pca_2d(table(s, d, "embeddings")))
+
+
+def asked(spark, sf_dir):
+    """The benchmark's items as queries, by their first twelve words as in ``retrieval.base``."""
+    for t in ("documents", "benchmark"):
+        table(spark, sf_dir, t).createOrReplaceTempView(t)
+    queries = spark.sql(f"WITH {retrieval.base(SPARK)} SELECT qid, array_join(qt, ' ') AS query FROM q")
+    return queries, spark.sql(f"WITH {retrieval.base(SPARK)} SELECT qid, doc_id, rb FROM rk")
+
+
+add("hybrid_retrieve_vectors", lambda s, d: retrieve.hybrid(docs(s, d), *asked(s, d)))
+add("semantic_search_vectors", lambda s, d: retrieve.dense_top(docs(s, d), asked(s, d)[0], 10).select("qid", "doc_id", F.col("sim").alias("score"), "rd"))
+add("embedding_benchmark", lambda s, d: retrieve.embedding_benchmark(docs(s, d)))
 DAILY_SQL = "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2"
 add("daily_windows", lambda s, d: daily(table(s, d, "events")).withColumn("total", F.round("total", 6)), DAILY_SQL)
 

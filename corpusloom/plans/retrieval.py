@@ -59,6 +59,30 @@ Q("agentic_retry", "documents benchmark", lambda d: f"WITH {base(d)}, best AS (S
 Q("multi_doc_summary", "documents", lambda d: f"SELECT source, md5({d.join(d.collect('lead', 'doc_id'), ' ')}) AS summary, count(*) AS n FROM (SELECT doc_id, source, {d.get(t.sentences_raw(d), 1)} AS lead FROM documents) x WHERE lead IS NOT NULL GROUP BY source")
 Q("assets", "documents", lambda d: f"SELECT doc_id, concat('Q: ', {t.first_words(d, 'text', 6)}, '?') AS flashcard, {d.join(d.slice(d.filter(t.tok_d(d), 'length(y) > 5', 'y'), '1', '5'), ', ')} AS slide FROM documents")
 
+#: The tokens a summary may take in each tier.
+TIER_TOKENS = {"light": 200, "medium": 280, "aggressive": 350}
+FACT = "[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]+(?:[.,][0-9]+)? ?%|[0-9]{5,}"
+
+
+def adaptive(d):
+    """Context assembly for each query: tier by the size of what was retrieved, the chunks of high score or with facts, a summary of leading sentences within the tier's tokens, its citations (each sentence cites the chunk it stands in), sizes before and after."""
+    limit = " ".join(f"WHEN tier = '{k}' THEN {v}" for k, v in TIER_TOKENS.items())
+    tokens = lambda n: f"greatest(1, {d.long(f'floor({n} / 3.5e0)')})"
+    return f"""WITH {base(d)}, s AS ({SENTENCES(d)}),
+fx AS (SELECT DISTINCT k.qid, k.doc_id, {d.explode(d.rx_all(t.text(d, 'x.text'), FACT))} AS fact FROM kept k JOIN documents x ON x.doc_id = k.doc_id),
+k AS (SELECT k.qid, k.doc_id, k.rank, {d.long(f"length({t.text(d, 'x.text')})")} AS chars, CASE WHEN k.rank = 1 OR rerank >= greatest(0.85e0, 0.9e0 * max(rerank) OVER (PARTITION BY k.qid)) OR f.doc_id IS NOT NULL THEN 1 ELSE 0 END AS keep, rerank
+  FROM kept k JOIN documents x ON x.doc_id = k.doc_id LEFT JOIN (SELECT DISTINCT qid, doc_id FROM fx) f ON f.qid = k.qid AND f.doc_id = k.doc_id),
+m AS (SELECT qid, count(*) AS chunks_total, {d.long('sum(keep)')} AS chunks_kept, {d.long('sum(chars)')} AS input_chars, {d.long('sum(keep * chars)')} AS kept_chars, round(0.9e0 * max(rerank), 6) AS dynamic_threshold FROM k GROUP BY qid),
+tr AS (SELECT *, CASE WHEN input_chars < 1500 THEN 'none' WHEN input_chars < 3000 THEN 'light' WHEN input_chars < 6000 THEN 'medium' ELSE 'aggressive' END AS tier FROM m),
+p AS (SELECT k.qid, s.s, tr.tier, sum({tokens('length(s.s)')}) OVER (PARTITION BY k.qid ORDER BY k.rank, s.i) AS used FROM k JOIN s ON s.doc_id = k.doc_id JOIN tr ON tr.qid = k.qid WHERE length(s.s) > 15 AND tr.tier <> 'none'),
+y AS (SELECT qid, {d.long('sum(length(s)) + count(*) - 1')} AS summary_chars, count(*) AS citations FROM p WHERE used <= CASE {limit} ELSE 0 END GROUP BY qid),
+nf AS (SELECT qid, count(DISTINCT fact) AS facts FROM fx GROUP BY qid),
+z AS (SELECT tr.qid, CASE WHEN y.qid IS NULL THEN 'none' ELSE tier END AS tier, chunks_total, chunks_kept, input_chars, kept_chars + coalesce(summary_chars, 0) AS output_chars, {tokens('input_chars')} AS input_tokens, {tokens('kept_chars')} + {tokens('coalesce(summary_chars, 0)')} AS output_tokens, coalesce(citations, 0) AS citations, coalesce(facts, 0) AS facts, dynamic_threshold FROM tr LEFT JOIN y ON y.qid = tr.qid LEFT JOIN nf ON nf.qid = tr.qid)
+SELECT *, round({d.double('output_chars')} / greatest(1, input_chars), 4) AS compression_ratio, round(1 - {d.double('output_tokens')} / greatest(1, input_tokens), 4) AS token_reduction FROM z"""
+
+
+Q("adaptive_context", "documents benchmark", adaptive)
+
 # ordered packing that a window can state
 Q("allocate_budgets", "documents", lambda d: f"""
 WITH w AS (SELECT source, doc_id, {d.long(t.n_words(d))} AS n FROM documents), s AS (SELECT *, sum(n) OVER (PARTITION BY source) AS total, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS last FROM w),
