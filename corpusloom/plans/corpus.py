@@ -47,9 +47,19 @@ for n in (2, 3):
 Q("stopword_hits", "documents", lambda d: f"SELECT w AS word, count(*) AS hits, {d.long('sum(count(*)) OVER ()')} AS total FROM ({TOKENS(d)}) k WHERE w IN ({', '.join(d.lit(x) for x in t.WATCHED_WORDS + t.STOP_WORDS)}) GROUP BY w ORDER BY hits DESC, word LIMIT 30")
 Q("rare_words", "documents", lambda d: f"SELECT {d.count_if('n <= 2')} AS rare, count(*) AS vocabulary FROM (SELECT w, count(*) AS n FROM ({TOKENS(d)}) k GROUP BY w) g")
 Q("zipf", "documents", lambda d: f"SELECT {d.long('rank')} AS rank, word, n, log10(rank) AS log_rank FROM (SELECT word, n, row_number() OVER (ORDER BY n DESC, word) AS rank FROM (SELECT w AS word, count(*) AS n FROM ({TOKENS(d)}) k GROUP BY w ORDER BY n DESC, word LIMIT 50) g) r")
+
+
+def starts(d):
+    """(doc_id, start): words before each document by id. In Spark by ranges of 10,000 ids and within them, so no task orders all rows; the oracle states it plainly."""
+    if d.name != "spark":
+        return "SELECT doc_id, sum(n) OVER (ORDER BY doc_id) - n AS start FROM n"
+    ranges = "SELECT b AS rb, sum(c) OVER (ORDER BY b) - c AS before FROM (SELECT floor(doc_id / 10000) AS b, sum(n) AS c FROM n GROUP BY 1) g"
+    return f"SELECT doc_id, before + inner_ AS start FROM (SELECT doc_id, b, sum(n) OVER (PARTITION BY b ORDER BY doc_id) - n AS inner_ FROM (SELECT doc_id, n, floor(doc_id / 10000) AS b FROM n) y) x JOIN ({ranges}) r ON b <=> rb"
+
+
 Q("vocab_growth", "documents", lambda d: f"""
 WITH s AS (SELECT doc_id, {t.tok_a(d)} AS a FROM documents), n AS (SELECT doc_id, {d.long(d.size('a'))} AS n FROM s),
-o AS (SELECT doc_id, sum(n) OVER (ORDER BY doc_id) - n AS start FROM n), total AS (SELECT {d.long('sum(n)')} AS total FROM n),
+o AS ({starts(d)}), total AS (SELECT {d.long('sum(n)')} AS total FROM n),
 f AS (SELECT w, min(start + i) AS pos FROM (SELECT s.doc_id, start, i, {d.get('a', 'i')} AS w FROM (SELECT doc_id, a, {d.explode(d.seq('1', d.size('a')))} AS i FROM s) s JOIN o ON s.doc_id = o.doc_id) x GROUP BY w),
 b AS (SELECT least(30, floor((pos - 1) * 30e0 / total) + 1) AS checkpoint, count(*) AS fresh FROM f CROSS JOIN total GROUP BY 1)
 SELECT {d.long('checkpoint')} AS checkpoint, {d.long('sum(fresh) OVER (ORDER BY checkpoint)')} AS vocabulary FROM b""")
@@ -90,7 +100,20 @@ WITH v AS (SELECT 1 AS variant, doc_id, row_number() OVER (ORDER BY n_chars DESC
 t AS (SELECT * FROM v WHERE r <= 30), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY variant, r) AS nth FROM t)
 SELECT doc_id, variant, {d.long('r')} AS r FROM k WHERE nth = 1""")
 Q("url_dedup", "pages", lambda d: f"SELECT page_id, u FROM (SELECT page_id, u, row_number() OVER (PARTITION BY u ORDER BY page_id) AS nth FROM (SELECT page_id, {d.rx_rep('url', '[?#].*$', '')} AS u FROM pages) x) y WHERE nth = 1")
-Q("train_val_split", "documents", lambda d: f"SELECT doc_id, CASE WHEN percent_rank() OVER (ORDER BY md5(concat('42|', {d.string('doc_id')}))) < 0.9 THEN 'train' ELSE 'val' END AS split FROM documents")
+
+
+def train_val(d):
+    """percent_rank by digest below 0.9. In Spark the rank is the start of the digest's range (its first twelve bits) and the rank within it, so no task orders all rows; the oracle states it plainly."""
+    h = f"md5(concat('42|', {d.string('doc_id')}))"
+    if d.name != "spark":
+        return f"SELECT doc_id, CASE WHEN percent_rank() OVER (ORDER BY {h}) < 0.9 THEN 'train' ELSE 'val' END AS split FROM documents"
+    return f"""
+WITH h AS (SELECT doc_id, {h} AS h, substring({h}, 1, 3) AS b FROM documents), c AS (SELECT b, count(*) AS c FROM h GROUP BY b),
+o AS (SELECT b AS ob, sum(c) OVER (ORDER BY b) - c AS start, sum(c) OVER () AS n FROM c)
+SELECT doc_id, CASE WHEN (start + r - 1) / greatest(1, n - 1) < 0.9 THEN 'train' ELSE 'val' END AS split FROM (SELECT doc_id, b, rank() OVER (PARTITION BY b ORDER BY h) AS r FROM h) x JOIN o ON b <=> ob"""
+
+
+Q("train_val_split", "documents", train_val)
 Q("clean_dataset", "documents", lambda d: f"""
 WITH c AS (SELECT doc_id, text, {t.fingerprint(d, 'text')} AS fp FROM documents WHERE length(text) >= 100 AND {d.size(t.tok_a(d))} >= 30)
 SELECT doc_id, {t.first_words(d, 'text', 8)} AS title FROM (SELECT *, row_number() OVER (PARTITION BY fp ORDER BY doc_id) AS nth FROM c) x WHERE nth = 1""")
