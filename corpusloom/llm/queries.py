@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corpusloom.llm import decontam, licenses, linededup, mixing, quality, simhash, tokencount, topk, toxicity, warc
+from corpusloom.llm import changepoints, decontam, filteraudit, licenses, linededup, lmscore, mixing, quality, simhash, tokencount, topk, toxicity, warc
 from corpusloom.session import table
 
 
@@ -69,6 +69,23 @@ def op10_topk(spark, sf_dir):
     return topk.top_k(v, v.where(F.col("id") % 20 == 0), k=20)
 
 
+def op11_changepoints(spark, sf_dir):
+    """Segments of each vendor's daily quantity."""
+    return changepoints.vendor_segments(table(spark, sf_dir, "sale_lines"))
+
+
+def op12_filteraudit(spark, sf_dir):
+    """What each of five filters removes in every order, per source."""
+    return filteraudit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_lmscore(spark, sf_dir):
+    """Unigram base and marginal lattice probability of each document; learnt without the rows that are held out."""
+    import public_tokenizers
+
+    return lmscore.score(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 OP10_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -77,7 +94,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
-QUERIES = {"pipeline": corpus_pipeline.run, "op1_simhash": op1_simhash, "op2_licenses": op2_licenses, "op3_quality": op3_quality, "op4_toxicity": op4_toxicity, "op5_decontam": op5_decontam, "op6_linededup": op6_linededup, "op7_warc": op7_warc, "op8_tokencounts": op8_tokencounts, "op9_mixing": op9_mixing, "op10_topk": op10_topk}
+QUERIES = {"pipeline": corpus_pipeline.run, "op1_simhash": op1_simhash, "op2_licenses": op2_licenses, "op3_quality": op3_quality, "op4_toxicity": op4_toxicity, "op5_decontam": op5_decontam, "op6_linededup": op6_linededup, "op7_warc": op7_warc, "op8_tokencounts": op8_tokencounts, "op9_mixing": op9_mixing, "op10_topk": op10_topk, "op11_changepoints": op11_changepoints, "op12_filteraudit": op12_filteraudit, "op13_lmscore": op13_lmscore}
 OP7_SQL = """
 WITH p AS (SELECT page_id, url, html, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '/+$', '') AS x FROM pages),
 c AS (SELECT *, lower(regexp_extract(x, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS head, lower(regexp_replace(regexp_extract(x, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1), '^.*@', '')) AS host,
@@ -95,7 +112,7 @@ SELECT record_id, url_key, full_id, state, CASE WHEN response THEN 'age=0;conten
   ELSE 'age=' || (page_id % 97) || ';content-type=none' END AS headers, length(body) AS payload_chars, md5(body) AS payload_md5 FROM b
 """
 
-ORACLE = {"op2_licenses": licenses.oracle(), "op7_warc": OP7_SQL, "op9_mixing": mixing.ORACLE, "op10_topk": OP10_SQL}
+ORACLE = {"op2_licenses": licenses.oracle(), "op7_warc": OP7_SQL, "op9_mixing": mixing.ORACLE, "op10_topk": OP10_SQL, "op11_changepoints": changepoints.ORACLE, "op12_filteraudit": filteraudit.ORACLE}
 
 
 def queries():
