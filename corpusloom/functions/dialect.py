@@ -48,6 +48,9 @@ class Spark:
     def union(self, a, b):
         return f"array_union({a}, {b})"
 
+    def union_all(self, a, b):
+        return f"concat({a}, {b})"
+
     def minus(self, a, b):
         return f"array_except({a}, {b})"
 
@@ -76,6 +79,10 @@ class Spark:
     def explode(self, a):
         return f"explode({a})"
 
+    def numbered(self, a, i, x):
+        """Select items: each element of ``a`` as ``x`` and its place, from 0, as ``i``; the array itself is not copied beside them."""
+        return f"posexplode({a}) AS ({i}, {x})"
+
     def array(self, *xs):
         return f"array({', '.join(xs)})"
 
@@ -157,6 +164,9 @@ class Duck(Spark):
     def union(self, a, b):
         return f"list_distinct(list_concat({a}, {b}))"
 
+    def union_all(self, a, b):
+        return f"list_concat({a}, {b})"
+
     def minus(self, a, b):
         return f"list_distinct(list_filter({a}, lambda w: NOT list_contains({b}, w)))"
 
@@ -184,6 +194,9 @@ class Duck(Spark):
     def explode(self, a):
         return f"unnest({a})"
 
+    def numbered(self, a, i, x):
+        return f"generate_subscripts({a}, 1) - 1 AS {i}, unnest({a}) AS {x}"
+
     def array(self, *xs):
         return f"[{', '.join(xs)}]"
 

@@ -57,10 +57,12 @@ def starts(d):
     return f"SELECT doc_id, before + inner_ AS start FROM (SELECT doc_id, b, sum(n) OVER (PARTITION BY b ORDER BY doc_id) - n AS inner_ FROM (SELECT doc_id, n, floor(doc_id / 10000) AS b FROM n) y) x JOIN ({ranges}) r ON b <=> rb"
 
 
+#: A word's first place in a document is found before anything is joined; the join meets each document's distinct words with one number a document.
 Q("vocab_growth", "documents", lambda d: f"""
 WITH s AS (SELECT doc_id, {t.tok_a(d)} AS a FROM documents), n AS (SELECT doc_id, {d.long(d.size('a'))} AS n FROM s),
 o AS ({starts(d)}), total AS (SELECT {d.long('sum(n)')} AS total FROM n),
-f AS (SELECT w, min(start + i) AS pos FROM (SELECT s.doc_id, start, i, {d.get('a', 'i')} AS w FROM (SELECT doc_id, a, {d.explode(d.seq('1', d.size('a')))} AS i FROM s) s JOIN o ON s.doc_id = o.doc_id) x GROUP BY w),
+p AS (SELECT doc_id, w, min(i) + 1 AS i FROM (SELECT doc_id, {d.numbered('a', 'i', 'w')} FROM s) x GROUP BY doc_id, w),
+f AS (SELECT /*+ MERGE(p, o) */ w, min(start + i) AS pos FROM p JOIN o ON p.doc_id = o.doc_id GROUP BY w),
 b AS (SELECT least(30, floor((pos - 1) * 30e0 / total) + 1) AS checkpoint, count(*) AS fresh FROM f CROSS JOIN total GROUP BY 1)
 SELECT {d.long('checkpoint')} AS checkpoint, {d.long('sum(fresh) OVER (ORDER BY checkpoint)')} AS vocabulary FROM b""")
 Q("category_counts", "documents", lambda d: "SELECT coalesce(source, 'unknown') AS category, count(*) AS n FROM documents GROUP BY 1 ORDER BY n DESC, category LIMIT 50")
@@ -82,10 +84,20 @@ Q("grouping_rollup", "documents labels", lambda d: "SELECT coalesce(lang, 'all')
 # set operations and dedup
 Q("union_sources", "documents pages benchmark", lambda d: "SELECT 'document' AS kind, doc_id AS id, n_chars AS n FROM documents UNION ALL SELECT 'page', page_id, length(html) FROM pages UNION ALL SELECT 'item', item_id, length(text) FROM benchmark")
 Q("intersect_tokens", "documents benchmark", lambda d: f"SELECT count(*) AS shared FROM (SELECT {d.explode(t.tok_a(d))} AS w FROM documents INTERSECT SELECT {d.explode(t.tok_a(d))} AS w FROM benchmark) x")
-Q("except_tokens", "documents benchmark", lambda d: f"SELECT w FROM (SELECT {d.explode(t.tok_a(d))} AS w FROM benchmark EXCEPT SELECT {d.explode(t.tok_a(d))} AS w FROM documents) x")
+
+
+def except_tokens(d):
+    """In Spark by one aggregate over both sides, as EXCEPT would broadcast or sort the texts' words; the oracle states it plainly."""
+    a, b = (f"SELECT {d.explode(t.tok_a(d))} AS w FROM {x}" for x in ("benchmark", "documents"))
+    if d.name != "spark":
+        return f"SELECT w FROM ({a} EXCEPT {b}) x"
+    return f"SELECT w FROM (SELECT w, 0 AS gone FROM ({a}) x UNION ALL SELECT w, 1 FROM ({b}) y) z GROUP BY w HAVING max(gone) = 0"
+
+
+Q("except_tokens", "documents benchmark", except_tokens)
 Q("multiset_intersect", "documents benchmark", lambda d: f"SELECT {d.long('sum(least(a.n, b.n))')} AS overlap FROM (SELECT w, count(*) AS n FROM ({TOKENS(d)}) x GROUP BY w) a JOIN (SELECT w, count(*) AS n FROM (SELECT {d.explode(t.tok_a(d))} AS w FROM benchmark) y GROUP BY w) b ON a.w = b.w")
 Q("dedupe_records", "documents", lambda d: f"SELECT doc_id, fp FROM (SELECT doc_id, fp, row_number() OVER (PARTITION BY fp ORDER BY doc_id) AS nth FROM (SELECT doc_id, {t.fingerprint(d, 'text')} AS fp FROM documents) x) y WHERE nth = 1")
-SENTENCES = lambda d: f"SELECT doc_id, i, {d.get('a', 'i')} AS s FROM (SELECT doc_id, a, {d.explode(d.seq('1', d.size('a')))} AS i FROM (SELECT doc_id, {t.sentences_raw(d)} AS a FROM documents) x) y"
+SENTENCES = lambda d: f"SELECT doc_id, i + 1 AS i, s FROM (SELECT doc_id, {d.numbered('a', 'i', 's')} FROM (SELECT doc_id, {t.sentences_raw(d)} AS a FROM documents) x) y"
 Q("dedupe_sentences", "documents", lambda d: f"SELECT doc_id, count(*) AS n, {d.count_if('nth = 1')} AS kept FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id, substring({d.rx_rep('lower(s)', '[ ]+', ' ')}, 1, 160) ORDER BY i) AS nth FROM ({SENTENCES(d)}) s) y GROUP BY doc_id")
 Q("dedupe_chunks", "documents", lambda d: f"SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS chunk_index FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(s) ORDER BY i) AS nth FROM ({SENTENCES(d)}) s) y WHERE nth = 1")
 Q("consecutive_dedup", "documents", lambda d: f"SELECT doc_id, {d.count_if('prev IS NULL OR prev <> lower(s)')} AS kept FROM (SELECT doc_id, s, lag(lower(s)) OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM ({SENTENCES(d)}) s) y GROUP BY doc_id")
@@ -93,8 +105,8 @@ Q("first_occurrence_dedup", "documents", lambda d: "SELECT doc_id, source FROM (
 Q("element_dedupe", "documents", lambda d: f"SELECT doc_id, count(*) AS n, {d.count_if(f'nth = 1 OR w >= 80')} AS kept FROM (SELECT doc_id, {t.n_words(d, 's')} AS w, row_number() OVER (PARTITION BY doc_id, lower(s) ORDER BY i) AS nth FROM ({SENTENCES(d)}) s) y GROUP BY doc_id")
 Q("remove_repeated_headers", "documents", lambda d: f"""
 WITH l AS (SELECT doc_id, source, lower(trim(raw)) AS line FROM (SELECT doc_id, source, {d.explode(d.rx_split(t.text(d), '\\n'))} AS raw FROM documents) x),
-r AS (SELECT source, line FROM l WHERE length(line) BETWEEN 1 AND 120 GROUP BY source, line HAVING count(DISTINCT doc_id) >= 2)
-SELECT source, count(*) AS kept FROM l WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.source = l.source AND r.line = l.line) GROUP BY source""")
+c AS (SELECT source, line, count(*) AS n, min(doc_id) AS a, max(doc_id) AS z FROM l GROUP BY source, line)
+SELECT source, {d.long('sum(n)')} AS kept FROM c WHERE NOT coalesce(length(line) BETWEEN 1 AND 120 AND a < z AND source IS NOT NULL, false) GROUP BY source""")
 Q("merge_candidates", "documents", lambda d: f"""
 WITH v AS (SELECT 1 AS variant, doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS r FROM documents UNION ALL SELECT 2, doc_id, row_number() OVER (ORDER BY doc_id) FROM documents),
 t AS (SELECT * FROM v WHERE r <= 30), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY variant, r) AS nth FROM t)

@@ -62,8 +62,7 @@ add("pca_2d", lambda s, d: cluster.pca_2d(table(s, d, "embeddings")))
 
 def asked(spark, sf_dir):
     """The benchmark's items as queries, by their first twelve words as in ``retrieval.base``."""
-    for t in ("documents", "benchmark"):
-        table(spark, sf_dir, t).createOrReplaceTempView(t)
+    retrieval.store_postings(spark, sf_dir)
     queries = spark.sql(f"WITH {retrieval.base(SPARK)} SELECT qid, array_join(qt, ' ') AS query FROM q")
     return queries, spark.sql(f"WITH {retrieval.base(SPARK)} SELECT qid, doc_id, rb FROM rk")
 

@@ -33,7 +33,7 @@ Q("subquery_correlated_count", "documents labels", lambda d: "SELECT doc_id, coa
 Q("join_anti", "customer orders", lambda d: "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
 Q("join_semi", "documents labels", lambda d: "SELECT doc_id, source FROM documents x WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = x.doc_id AND l.quality = 1)")
 Q("dict_lookup", "nation region customer", lambda d: "SELECT r_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
-Q("resolve_page", "documents", lambda d: f"WITH p AS (SELECT doc_id, i AS page, s FROM ({SENTENCES(d)}) x), c AS (SELECT doc_id, substring(trim(text), 200, 30) AS head FROM documents WHERE length(text) > 400) SELECT c.doc_id, min(p.page) AS page FROM c JOIN p ON p.doc_id = c.doc_id AND {d.pos('c.head', 'p.s')} > 0 GROUP BY c.doc_id")
+Q("resolve_page", "documents", lambda d: f"WITH p AS (SELECT doc_id, substring(trim(text), 200, 30) AS head, {t.sentences_raw(d)} AS a FROM documents WHERE length(text) > 400) SELECT doc_id, min(i + 1) AS page FROM (SELECT doc_id, head, {d.numbered('a', 'i', 's')} FROM p) x WHERE {d.pos('head', 's')} > 0 GROUP BY doc_id")
 Q("self_adjacent", "documents", lambda d: f"SELECT doc_id, i, {d.size(d.intersect(d.distinct(t.tok_d(d, 's')), d.distinct(t.tok_d(d, 'nxt'))))} AS shared FROM (SELECT doc_id, i, s, lead(s) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM ({SENTENCES(d)}) x) y WHERE nxt IS NOT NULL")
 Q("cross_alg_metrics", "lineitem", lambda d: f"SELECT metric, avg(v) AS mean, count(*) AS n FROM (SELECT 'quantity' AS metric, l_quantity AS v FROM lineitem UNION ALL SELECT 'discount', l_discount FROM lineitem UNION ALL SELECT 'tax', l_tax FROM lineitem) x GROUP BY metric".replace("avg(v)", "round(avg(v), 9)"))
 
@@ -48,10 +48,11 @@ rest AS (SELECT p.*, row_number() OVER (PARTITION BY p.source ORDER BY p.r) AS n
 SELECT doc_id, source, 'top' AS how FROM top UNION ALL SELECT rest.doc_id, rest.source, 'fill' FROM rest JOIN need ON rest.source = need.source WHERE nth <= need""")
 Q("topn_per_model", "events", lambda d: f"SELECT algorithm, run_id, rouge_l FROM (SELECT *, row_number() OVER (PARTITION BY algorithm ORDER BY rouge_l DESC, run_id) AS nth FROM ({RUNS}) r) x WHERE nth <= 5")
 Q("argmax_group", "events", lambda d: f"SELECT algorithm, run_id AS best FROM (SELECT *, row_number() OVER (PARTITION BY algorithm ORDER BY rouge_l DESC, latency, run_id) AS nth FROM ({RUNS}) r) x WHERE nth = 1")
+#: The document's sentence count and a word's sentence count are windows over the sentences' words: one shuffle by document, no join.
 Q("importance_rank", "documents", lambda d: f"""
-WITH s AS (SELECT doc_id, i, {d.distinct(t.tok_d(d, 's'))} AS w FROM ({SENTENCES(d)}) x), e AS (SELECT doc_id, i, {d.explode('w')} AS w FROM s),
-n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id), df AS (SELECT doc_id, w, count(*) AS df FROM e GROUP BY doc_id, w),
-z AS (SELECT e.doc_id, e.i, round(sum(ln((1e0 + n) / (1e0 + df)) + 1), 6) AS score FROM e JOIN df ON e.doc_id = df.doc_id AND e.w = df.w JOIN n ON e.doc_id = n.doc_id GROUP BY e.doc_id, e.i)
+WITH s AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id) AS n, {d.distinct(t.tok_d(d, 's'))} AS w FROM ({SENTENCES(d)}) x), e AS (SELECT doc_id, i, n, {d.explode('w')} AS w FROM s),
+f AS (SELECT doc_id, i, n, count(*) OVER (PARTITION BY doc_id, w) AS df FROM e),
+z AS (SELECT doc_id, i, round(sum(ln((1e0 + n) / (1e0 + df)) + 1), 6) AS score FROM f GROUP BY doc_id, i)
 SELECT doc_id, i, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i DESC) AS rank FROM z""")
 
 # sorts, limits, paging

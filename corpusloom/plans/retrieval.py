@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from corpusloom.functions import text as t
+from corpusloom.functions.dialect import DUCK, SPARK
 from corpusloom.plans.corpus import SENTENCES
 from corpusloom.plans.query import Book
+from corpusloom.session import stored, table
 
 BOOK = Book()
 Q = BOOK.sql
@@ -12,50 +14,94 @@ Q = BOOK.sql
 K1, B, RRF_K, DENSE_W, BM25_W = 1.5, 0.75, 60, 0.7, 0.3
 
 
+def postings(d):
+    """(doc_id, source, dl, w, tf): the words that queries hold, and for each document one row with the empty word; documents are tokenised here and nowhere else."""
+    asked = f"SELECT {d.explode(d.slice(t.tok_c(d), '1', '12'))} AS w FROM benchmark"
+    words = f"SELECT doc_id, source, {d.double(d.size('a'))} AS dl, {d.explode(d.union_all(d.array(d.lit('')), 'a'))} AS w FROM (SELECT doc_id, source, {t.tok_c(d)} AS a FROM documents) x"
+    return f"SELECT doc_id, source, dl, w, {d.double('count(*)')} AS tf FROM ({words}) y WHERE w = '' OR w IN ({asked}) GROUP BY doc_id, source, dl, w"
+
+
 def base(d):
     """A query for each benchmark item (its first twelve words) over the chunk set of all documents.
 
     Statistics are those of the candidate set; query words count as often as they occur; scores are
     divided by the query's largest. Postings are joined by term: no query meets a chunk it shares
-    no term with. The dense side is a hash-free stand-in: the share of the query's words held.
+    no term with; in Spark they are a stored table (see ``ranked``), so that no plan reads the texts twice.
+    The dense side is a hash-free stand-in: the share of the query's words held.
     """
-    return f"""
+    held = "" if d.name == "spark" else f"postings AS ({postings(d)}),"
+    return f"""{held}
 q AS (SELECT item_id AS qid, {d.slice(t.tok_c(d), '1', '12')} AS qt FROM benchmark),
-qw AS (SELECT qid, w, count(*) AS qtf FROM (SELECT qid, {d.explode('qt')} AS w FROM q) x GROUP BY qid, w), qn AS (SELECT qid, count(*) AS n FROM qw GROUP BY qid),
-c AS (SELECT doc_id, source, {t.tok_c(d)} AS a FROM documents), dl AS (SELECT doc_id, source, {d.double(d.size('a'))} AS dl FROM c), st AS (SELECT {d.double('count(*)')} AS n, avg(dl) AS avgdl FROM dl),
-tf AS (SELECT doc_id, w, {d.double('count(*)')} AS tf FROM (SELECT doc_id, {d.explode('a')} AS w FROM c) x WHERE w IN (SELECT w FROM qw) GROUP BY doc_id, w), df AS (SELECT w, {d.double('count(*)')} AS df FROM tf GROUP BY w),
-raw AS (SELECT qw.qid, tf.doc_id, round(sum(qw.qtf * ln((st.n - df.df + 0.5e0) / (df.df + 0.5e0) + 1) * tf.tf * {K1 + 1}e0 / (tf.tf + {K1}e0 * (1 - {B}e0 + {B}e0 * dl.dl / st.avgdl))), 9) AS s, {d.double('count(*)')} / max(qn.n) AS cov
-  FROM qw JOIN tf ON qw.w = tf.w JOIN df ON df.w = tf.w JOIN dl ON dl.doc_id = tf.doc_id JOIN qn ON qn.qid = qw.qid CROSS JOIN st GROUP BY qw.qid, tf.doc_id),
-bm AS (SELECT qid, doc_id, s / max(s) OVER (PARTITION BY qid) AS bm25, round(cov, 9) AS dense FROM raw),
+qw AS (SELECT qid, w, qtf, count(*) OVER (PARTITION BY qid) AS n FROM (SELECT qid, w, count(*) AS qtf FROM (SELECT qid, {d.explode('qt')} AS w FROM q) x GROUP BY qid, w) y),
+st AS (SELECT {d.double('count(*)')} AS n, avg(dl) AS avgdl FROM postings WHERE w = ''), df AS (SELECT w, {d.double('count(*)')} AS df FROM postings WHERE w <> '' GROUP BY w),
+raw AS (SELECT /*+ MERGE(tf, qw, df) */ qw.qid, tf.doc_id, tf.source, round(sum(qw.qtf * ln((st.n - df.df + 0.5e0) / (df.df + 0.5e0) + 1) * tf.tf * {K1 + 1}e0 / (tf.tf + {K1}e0 * (1 - {B}e0 + {B}e0 * tf.dl / st.avgdl))), 9) AS s, {d.double('count(*)')} / max(qw.n) AS cov
+  FROM qw JOIN df ON df.w = qw.w JOIN postings tf ON qw.w = tf.w CROSS JOIN st GROUP BY qw.qid, tf.doc_id, tf.source),
+bm AS (SELECT qid, doc_id, source, s / max(s) OVER (PARTITION BY qid) AS bm25, round(cov, 9) AS dense FROM raw),
 rk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY bm25 DESC, doc_id) AS rb, row_number() OVER (PARTITION BY qid ORDER BY dense DESC, doc_id) AS rd FROM bm),
-rrf AS (SELECT rk.qid, rk.doc_id, dl.source, bm25, dense, rb, rd, 100 * ({DENSE_W}e0 / ({RRF_K} + rd) + {BM25_W}e0 / ({RRF_K} + rb)) AS combined FROM rk JOIN dl ON rk.doc_id = dl.doc_id),
+rrf AS (SELECT *, 100 * ({DENSE_W}e0 / ({RRF_K} + rd) + {BM25_W}e0 / ({RRF_K} + rb)) AS combined FROM rk),
 pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(combined, 9) DESC, doc_id) AS pos FROM rrf) x WHERE pos <= 8),
 rr AS (SELECT *, 0.6e0 * combined + 0.4e0 * dense AS rerank FROM pool),
 kept AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(rerank, 9) DESC, doc_id) AS rank FROM rr WHERE rerank >= 0.7e0 * 0.25e0)"""
 
 
-Q("bm25", "documents benchmark", lambda d: f"WITH {base(d)} SELECT qid, doc_id, round(bm25, 8) AS score, rb AS rank FROM rk WHERE rb <= 20")
-Q("join_rank_fusion", "documents benchmark", lambda d: f"WITH {base(d)} SELECT qid, doc_id, rd, rb FROM rk WHERE rb <= 30 OR rd <= 30")
-Q("rrf", "documents benchmark", lambda d: f"WITH {base(d)} SELECT qid, doc_id, round(combined, 6) AS combined, pos FROM pool")
-Q("rerank_fallback", "documents benchmark", lambda d: f"WITH {base(d)} SELECT qid, doc_id, round(rerank, 6) AS rerank, rank FROM kept")
-Q("hybrid_retrieve", "documents benchmark", lambda d: f"WITH {base(d)} SELECT qid, doc_id, source, round(rerank, 6) AS rerank, CASE WHEN dup = 1 THEN 'first of source' ELSE 'more' END AS diversity FROM (SELECT *, row_number() OVER (PARTITION BY qid, source ORDER BY rank) AS dup FROM kept) x WHERE dup <= 2 AND rank <= 5")
-Q("gather_candidates", "documents benchmark", lambda d: f"WITH {base(d)} SELECT qid, doc_id, source, k FROM (SELECT qid, doc_id, source, row_number() OVER (PARTITION BY qid, source ORDER BY rb) AS k FROM rrf) x WHERE k <= 5")
-Q("retrieval_confidence", "documents benchmark", lambda d: f"WITH {base(d)} SELECT qid, round(least(0.99e0, max(rerank)), 6) AS confidence FROM kept GROUP BY qid")
-Q("dynamic_chunks", "documents benchmark", lambda d: f"WITH {base(d)} SELECT qid, doc_id, round(bm25, 6) AS score FROM (SELECT qid, doc_id, bm25, rb, max(bm25) OVER (PARTITION BY qid) AS top FROM rk) x WHERE round(bm25, 8) >= greatest(0.85e0, 0.9e0 * top) OR rb = 1")
-Q("context_compression", "documents benchmark", lambda d: f"WITH {base(d)} SELECT k.qid, count(*) AS chunks, {d.long('sum(x.n_chars)')} AS chars, {d.long('sum(CASE WHEN rank <= 3 THEN x.n_chars ELSE 0 END)')} AS kept_chars, CASE WHEN sum(x.n_chars) < 1500 THEN 'none' WHEN sum(x.n_chars) < 3000 THEN 'light' WHEN sum(x.n_chars) < 6000 THEN 'medium' ELSE 'aggressive' END AS tier FROM kept k JOIN documents x ON x.doc_id = k.doc_id GROUP BY k.qid")
-Q("document_summary", "documents benchmark", lambda d: f"WITH {base(d)}, s AS ({SENTENCES(d)}), p AS (SELECT k.qid, k.rank, s.i, s.s, row_number() OVER (PARTITION BY k.qid ORDER BY k.rank, s.i) AS nth FROM kept k JOIN s ON s.doc_id = k.doc_id WHERE length(s.s) > 15) SELECT qid, md5({d.join(d.collect('s', 'nth'), ' ')}) AS summary, count(*) AS sentences FROM p WHERE nth <= 8 GROUP BY qid")
+def store_postings(spark, sf_dir) -> None:
+    """The view ``postings``: the table written once for the query that is asked."""
+    for name in ("documents", "benchmark"):
+        table(spark, sf_dir, name).createOrReplaceTempView(name)
+    stored(spark.sql(postings(SPARK)), "postings").createOrReplaceTempView("postings")
+
+
+CONTEXT = "SELECT /*+ MERGE(x) */ k.qid, k.doc_id, k.rank, k.rerank, x.text FROM kept k JOIN documents x ON x.doc_id = k.doc_id"
+
+
+def parted(d):
+    """The sentences of what each query retrieved."""
+    return f"SELECT qid, doc_id, rank, i + 1 AS i, s FROM (SELECT qid, doc_id, rank, {d.numbered('a', 'i', 's')} FROM (SELECT qid, doc_id, rank, {t.sentences_raw(d)} AS a FROM context) x) y"
+
+
+def assembled(name, build):
+    """Register a query over ``context``, the texts that each query retrieved: in Spark stored, in the oracle a subquery before the others."""
+
+    def run(spark, sf_dir):
+        store_postings(spark, sf_dir)
+        stored(spark.sql(f"WITH {base(SPARK)} {CONTEXT}"), "context").createOrReplaceTempView("context")
+        return spark.sql(f"WITH {build(SPARK)}")
+
+    BOOK.frame(name, run, f"WITH {base(DUCK)}, context AS ({CONTEXT}), {build(DUCK)}")
+
+
+def ranked(name, build):
+    """Register a query over ``base``: in Spark its postings are stored first."""
+
+    def run(spark, sf_dir):
+        store_postings(spark, sf_dir)
+        return spark.sql(build(SPARK))
+
+    BOOK.frame(name, run, build(DUCK))
+
+
+ranked("bm25", lambda d: f"WITH {base(d)} SELECT qid, doc_id, round(bm25, 8) AS score, rb AS rank FROM rk WHERE rb <= 20")
+ranked("join_rank_fusion", lambda d: f"WITH {base(d)} SELECT qid, doc_id, rd, rb FROM rk WHERE rb <= 30 OR rd <= 30")
+ranked("rrf", lambda d: f"WITH {base(d)} SELECT qid, doc_id, round(combined, 6) AS combined, pos FROM pool")
+ranked("rerank_fallback", lambda d: f"WITH {base(d)} SELECT qid, doc_id, round(rerank, 6) AS rerank, rank FROM kept")
+ranked("hybrid_retrieve", lambda d: f"WITH {base(d)} SELECT qid, doc_id, source, round(rerank, 6) AS rerank, CASE WHEN dup = 1 THEN 'first of source' ELSE 'more' END AS diversity FROM (SELECT *, row_number() OVER (PARTITION BY qid, source ORDER BY rank) AS dup FROM kept) x WHERE dup <= 2 AND rank <= 5")
+ranked("gather_candidates", lambda d: f"WITH {base(d)} SELECT qid, doc_id, source, k FROM (SELECT qid, doc_id, source, row_number() OVER (PARTITION BY qid, source ORDER BY rb) AS k FROM rrf) x WHERE k <= 5")
+ranked("retrieval_confidence", lambda d: f"WITH {base(d)} SELECT qid, round(least(0.99e0, max(rerank)), 6) AS confidence FROM kept GROUP BY qid")
+ranked("dynamic_chunks", lambda d: f"WITH {base(d)} SELECT qid, doc_id, round(bm25, 6) AS score FROM (SELECT qid, doc_id, bm25, rb, max(bm25) OVER (PARTITION BY qid) AS top FROM rk) x WHERE round(bm25, 8) >= greatest(0.85e0, 0.9e0 * top) OR rb = 1")
+assembled("context_compression", lambda d: f"z AS (SELECT qid, rank, {d.long('length(' + t.text(d) + ')')} AS n_chars FROM context) SELECT qid, count(*) AS chunks, {d.long('sum(n_chars)')} AS chars, {d.long('sum(CASE WHEN rank <= 3 THEN n_chars ELSE 0 END)')} AS kept_chars, CASE WHEN sum(n_chars) < 1500 THEN 'none' WHEN sum(n_chars) < 3000 THEN 'light' WHEN sum(n_chars) < 6000 THEN 'medium' ELSE 'aggressive' END AS tier FROM z GROUP BY qid")
+assembled("document_summary", lambda d: f"p AS (SELECT qid, s, row_number() OVER (PARTITION BY qid ORDER BY rank, i) AS nth FROM ({parted(d)}) z WHERE length(s) > 15) SELECT qid, md5({d.join(d.collect('s', 'nth'), ' ')}) AS summary, count(*) AS sentences FROM p WHERE nth <= 8 GROUP BY qid")
 Q("compression_tier", "documents", lambda d: "SELECT doc_id, CASE WHEN n_chars < 1500 THEN 'none' WHEN n_chars < 3000 THEN 'light' WHEN n_chars < 6000 THEN 'medium' ELSE 'aggressive' END AS tier FROM documents")
 Q("extractive_answer", "documents", lambda d: f"SELECT doc_id, md5({d.join(d.collect('s', 'i'), ' ')}) AS answer, count(*) AS n FROM (SELECT doc_id, i, s, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS nth FROM ({SENTENCES(d)}) x WHERE length(s) > 15) y WHERE nth <= 8 GROUP BY doc_id")
 Q("best_sentence_answer", "documents benchmark", lambda d: f"""
 WITH q AS (SELECT {d.distinct(t.tok_c(d))} AS q FROM benchmark WHERE item_id = 1), s AS ({SENTENCES(d)}), h AS (SELECT doc_id, i, s, {d.double(d.size(d.intersect(d.distinct(t.tok_c(d, 's')), 'q')))} / {d.size('q')} AS share FROM s CROSS JOIN q)
 SELECT doc_id, i, share, CASE WHEN share = 0 THEN 'not found' ELSE s END AS answer FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY share DESC, i) AS nth FROM h) x WHERE nth = 1""")
-Q("lexical_topk", "documents benchmark", lambda d: f"WITH {base(d)} SELECT qid, doc_id, dense AS score FROM rk WHERE rd <= 5")
-Q("semantic_search", "documents benchmark", lambda d: f"WITH {base(d)} SELECT qid, doc_id, source, dense AS score FROM rrf WHERE rd <= 10")
+ranked("lexical_topk", lambda d: f"WITH {base(d)} SELECT qid, doc_id, dense AS score FROM rk WHERE rd <= 5")
+ranked("semantic_search", lambda d: f"WITH {base(d)} SELECT qid, doc_id, source, dense AS score FROM rrf WHERE rd <= 10")
 Q("attach_citations", "documents", lambda d: f"WITH s AS ({SENTENCES(d)}) SELECT doc_id, concat('[', i, '] ', substring(s, 1, 40)) AS citation FROM s WHERE i <= 3")
-Q("merge_fact_chunks", "documents benchmark", lambda d: f"WITH {base(d)} SELECT DISTINCT doc_id FROM kept UNION SELECT doc_id FROM documents x WHERE {d.rx_like(t.text(d), '[0-9]{5,}')}")
+ranked("merge_fact_chunks", lambda d: f"WITH {base(d)} SELECT DISTINCT doc_id FROM kept UNION SELECT doc_id FROM documents x WHERE {d.rx_like(t.text(d), '[0-9]{5,}')}")
 Q("query_focus", "conversations", lambda d: f"SELECT conv_id, turn, CASE WHEN {d.rx_like(f'lower({t.text(d)})', 'how many|combien|cuántos|wie viele|[0-9]')} THEN 'number' WHEN {d.rx_like(f'lower({t.text(d)})', 'who|qui|quién|wer')} THEN 'person' ELSE 'general' END AS focus, {d.join(d.slice(d.filter(t.tok_c(d), 'length(y) > 3', 'y'), '1', '5'), ' ')} AS terms FROM conversations WHERE role = 'user'")
 Q("expand_query", "conversations", lambda d: f"SELECT conv_id, turn, {d.rx_rep(t.text(d), '[?]+ *$', '')} AS plain, {d.join(d.slice(t.tok_e(d), f'greatest(1, {t.n_words(d)} - 3)', '4'), ' ')} AS last_words FROM conversations WHERE role = 'user'")
-Q("agentic_retry", "documents benchmark", lambda d: f"WITH {base(d)}, best AS (SELECT qid, max(rerank) AS top FROM kept GROUP BY qid) SELECT qid, CASE WHEN top >= 0.5e0 THEN 0 WHEN top >= 0.42e0 THEN 1 ELSE 2 END AS retries, greatest(0.1e0, 0.25e0 - 0.08e0 * CASE WHEN top >= 0.5e0 THEN 0 WHEN top >= 0.42e0 THEN 1 ELSE 2 END) AS threshold FROM best")
+ranked("agentic_retry", lambda d: f"WITH {base(d)}, best AS (SELECT qid, max(rerank) AS top FROM kept GROUP BY qid) SELECT qid, CASE WHEN top >= 0.5e0 THEN 0 WHEN top >= 0.42e0 THEN 1 ELSE 2 END AS retries, greatest(0.1e0, 0.25e0 - 0.08e0 * CASE WHEN top >= 0.5e0 THEN 0 WHEN top >= 0.42e0 THEN 1 ELSE 2 END) AS threshold FROM best")
 Q("multi_doc_summary", "documents", lambda d: f"SELECT source, md5({d.join(d.collect('lead', 'doc_id'), ' ')}) AS summary, count(*) AS n FROM (SELECT doc_id, source, {d.get(t.sentences_raw(d), 1)} AS lead FROM documents) x WHERE lead IS NOT NULL GROUP BY source")
 Q("assets", "documents", lambda d: f"SELECT doc_id, concat('Q: ', {t.first_words(d, 'text', 6)}, '?') AS flashcard, {d.join(d.slice(d.filter(t.tok_d(d), 'length(y) > 5', 'y'), '1', '5'), ', ')} AS slide FROM documents")
 
@@ -68,20 +114,20 @@ def adaptive(d):
     """Context assembly for each query: tier by the size of what was retrieved, the chunks of high score or with facts, a summary of leading sentences within the tier's tokens, its citations (each sentence cites the chunk it stands in), sizes before and after."""
     limit = " ".join(f"WHEN tier = '{k}' THEN {v}" for k, v in TIER_TOKENS.items())
     tokens = lambda n: f"greatest(1, {d.long(f'floor({n} / 3.5e0)')})"
-    return f"""WITH {base(d)}, s AS ({SENTENCES(d)}),
-fx AS (SELECT DISTINCT k.qid, k.doc_id, {d.explode(d.rx_all(t.text(d, 'x.text'), FACT))} AS fact FROM kept k JOIN documents x ON x.doc_id = k.doc_id),
-k AS (SELECT k.qid, k.doc_id, k.rank, {d.long(f"length({t.text(d, 'x.text')})")} AS chars, CASE WHEN k.rank = 1 OR rerank >= greatest(0.85e0, 0.9e0 * max(rerank) OVER (PARTITION BY k.qid)) OR f.doc_id IS NOT NULL THEN 1 ELSE 0 END AS keep, rerank
-  FROM kept k JOIN documents x ON x.doc_id = k.doc_id LEFT JOIN (SELECT DISTINCT qid, doc_id FROM fx) f ON f.qid = k.qid AND f.doc_id = k.doc_id),
+    return f"""
+fx AS (SELECT DISTINCT qid, doc_id, {d.explode(d.rx_all(t.text(d), FACT))} AS fact FROM context),
+k AS (SELECT k.qid, k.doc_id, k.rank, {d.long(f"length({t.text(d, 'k.text')})")} AS chars, CASE WHEN k.rank = 1 OR rerank >= greatest(0.85e0, 0.9e0 * max(rerank) OVER (PARTITION BY k.qid)) OR f.doc_id IS NOT NULL THEN 1 ELSE 0 END AS keep, rerank
+  FROM context k LEFT JOIN (SELECT DISTINCT qid, doc_id FROM fx) f ON f.qid = k.qid AND f.doc_id = k.doc_id),
 m AS (SELECT qid, count(*) AS chunks_total, {d.long('sum(keep)')} AS chunks_kept, {d.long('sum(chars)')} AS input_chars, {d.long('sum(keep * chars)')} AS kept_chars, round(0.9e0 * max(rerank), 6) AS dynamic_threshold FROM k GROUP BY qid),
 tr AS (SELECT *, CASE WHEN input_chars < 1500 THEN 'none' WHEN input_chars < 3000 THEN 'light' WHEN input_chars < 6000 THEN 'medium' ELSE 'aggressive' END AS tier FROM m),
-p AS (SELECT k.qid, s.s, tr.tier, sum({tokens('length(s.s)')}) OVER (PARTITION BY k.qid ORDER BY k.rank, s.i) AS used FROM k JOIN s ON s.doc_id = k.doc_id JOIN tr ON tr.qid = k.qid WHERE length(s.s) > 15 AND tr.tier <> 'none'),
+p AS (SELECT /*+ MERGE(s) */ s.qid, s.s, tr.tier, sum({tokens('length(s.s)')}) OVER (PARTITION BY s.qid ORDER BY s.rank, s.i) AS used FROM ({parted(d)}) s JOIN tr ON tr.qid = s.qid WHERE length(s.s) > 15 AND tr.tier <> 'none'),
 y AS (SELECT qid, {d.long('sum(length(s)) + count(*) - 1')} AS summary_chars, count(*) AS citations FROM p WHERE used <= CASE {limit} ELSE 0 END GROUP BY qid),
 nf AS (SELECT qid, count(DISTINCT fact) AS facts FROM fx GROUP BY qid),
 z AS (SELECT tr.qid, CASE WHEN y.qid IS NULL THEN 'none' ELSE tier END AS tier, chunks_total, chunks_kept, input_chars, kept_chars + coalesce(summary_chars, 0) AS output_chars, {tokens('input_chars')} AS input_tokens, {tokens('kept_chars')} + {tokens('coalesce(summary_chars, 0)')} AS output_tokens, coalesce(citations, 0) AS citations, coalesce(facts, 0) AS facts, dynamic_threshold FROM tr LEFT JOIN y ON y.qid = tr.qid LEFT JOIN nf ON nf.qid = tr.qid)
 SELECT *, round({d.double('output_chars')} / greatest(1, input_chars), 4) AS compression_ratio, round(1 - {d.double('output_tokens')} / greatest(1, input_tokens), 4) AS token_reduction FROM z"""
 
 
-Q("adaptive_context", "documents benchmark", adaptive)
+assembled("adaptive_context", adaptive)
 
 # ordered packing that a window can state
 Q("allocate_budgets", "documents", lambda d: f"""

@@ -10,31 +10,29 @@ BOOK = Book()
 Q = BOOK.sql
 
 
-def counted(d, tok, side, n=1):
-    """(doc_id, g, c): n-gram counts of one side of the pairs."""
-    a = tok(d, side)
-    return f"SELECT doc_id, g, count(*) AS c FROM (SELECT doc_id, {d.explode(d.ngrams('a', n) if n > 1 else 'a')} AS g FROM (SELECT doc_id, {a} AS a FROM p) x) y GROUP BY doc_id, g"
+def overlap(d, tok, grams=(1,), pred="abstract", ref="article"):
+    """CTE s over the pairs p: for each n of ``grams`` hits{n} (clipped), np{n} and nr{n} (n-grams of each side).
 
-
-def overlap(d, tok, n=1, pred="abstract", ref="article"):
-    """CTEs h (clipped hits) and s (sizes) over the pairs p; both sides' n-grams are counted in one aggregate, without a join of them."""
-    size = lambda side: f"greatest(0, {d.size(tok(d, side))} - {n - 1})"
-    side = lambda name, x, y: f"SELECT doc_id, {d.explode(d.ngrams('a', n) if n > 1 else 'a')} AS g, {x} AS x, {y} AS y FROM (SELECT doc_id, {tok(d, name)} AS a FROM p) t"
-    both = f"SELECT doc_id, g, sum(x) AS x, sum(y) AS y FROM ({side(pred, 1, 0)} UNION ALL {side(ref, 0, 1)}) u GROUP BY doc_id, g"
-    return f"h{n} AS (SELECT doc_id, {d.double('sum(least(x, y))')} AS hits FROM ({both}) c WHERE x > 0 AND y > 0 GROUP BY doc_id), s{n} AS (SELECT doc_id, {size(pred)} AS np, {size(ref)} AS nr FROM p)"
+    All are counted in one aggregate without a join; an n-gram of no text, in neither side, keeps texts without words.
+    """
+    side = lambda n, name, x, y: f"SELECT doc_id, {n} AS n, {d.explode(d.ngrams('a', n) if n > 1 else 'a')} AS g, {x} AS x, {y} AS y FROM (SELECT doc_id, {tok(d, name)} AS a FROM p) t"
+    rows = " UNION ALL ".join([*(side(n, name, *xy) for n in grams for name, xy in ((pred, (1, 0)), (ref, (0, 1)))), "SELECT doc_id, 0, NULL, 0, 0 FROM p"])
+    cols = ", ".join(f"{d.double(f'sum(CASE WHEN n = {n} THEN least(x, y) ELSE 0 END)')} AS hits{n}, {d.long(f'sum(CASE WHEN n = {n} THEN x ELSE 0 END)')} AS np{n}, {d.long(f'sum(CASE WHEN n = {n} THEN y ELSE 0 END)')} AS nr{n}" for n in grams)
+    return f"s AS (SELECT doc_id, {cols} FROM (SELECT doc_id, n, g, sum(x) AS x, sum(y) AS y FROM ({rows}) u GROUP BY doc_id, n, g) c GROUP BY doc_id)"
 
 
 F1 = lambda h, a, b: f"CASE WHEN coalesce({h}, 0) = 0 THEN 0e0 ELSE 2 * ({h} / {a}) * ({h} / {b}) / ({h} / {a} + {h} / {b}) END"
+SAME = lambda d: f"SELECT doc_id, {', '.join(f'max({x}) AS {x}' for x in ('same', 'words', 'source_words', 'sentences'))} FROM (SELECT doc_id, article = abstract AS same, {t.n_words(d, 'abstract')} AS words, {t.n_words(d, 'article')} AS source_words, {d.size(t.sentences_raw(d, 'article'))} AS sentences FROM p) z GROUP BY doc_id"
 for n in (1, 2):
-    Q(f"rouge{n}", "documents", lambda d, n=n: f"WITH p AS ({PAIRS(d)}), {overlap(d, t.tok_g, n)} SELECT s{n}.doc_id, coalesce(hits / nullif(np, 0), 0) AS precision_, coalesce(hits / nullif(nr, 0), 0) AS recall_, {F1('hits', 'np', 'nr')} AS f1 FROM s{n} LEFT JOIN h{n} ON s{n}.doc_id = h{n}.doc_id")
-Q("rouge_batch_mean", "documents", lambda d: f"WITH p AS ({PAIRS(d)}), {overlap(d, t.tok_g, 1)} SELECT round(avg({F1('hits', 'np', 'nr')}), 9) AS rouge1 FROM s1 LEFT JOIN h1 ON s1.doc_id = h1.doc_id")
+    Q(f"rouge{n}", "documents", lambda d, n=n: f"WITH p AS ({PAIRS(d)}), {overlap(d, t.tok_g, (n,))} SELECT doc_id, coalesce(hits{n} / nullif(np{n}, 0), 0) AS precision_, coalesce(hits{n} / nullif(nr{n}, 0), 0) AS recall_, {F1(f'hits{n}', f'np{n}', f'nr{n}')} AS f1 FROM s")
+ROUGE1 = F1("hits1", "np1", "nr1")
+Q("rouge_batch_mean", "documents", lambda d: f"WITH p AS ({PAIRS(d)}), {overlap(d, t.tok_g)} SELECT round(avg({ROUGE1}), 9) AS rouge1 FROM s")
 Q("bleu", "documents", lambda d: f"""
-WITH p AS ({PAIRS(d)}), {', '.join(overlap(d, t.tok_a, n) for n in (1, 2, 3, 4))}
-SELECT s1.doc_id, CASE WHEN s1.np = 0 OR s1.nr = 0 THEN 0e0 ELSE round(exp(({' + '.join(f'ln((coalesce(h{n}.hits, 0) + 1e0) / (s{n}.np + 1e0))' for n in (1, 2, 3, 4))}) / 4) * CASE WHEN s1.np > s1.nr THEN 1e0 ELSE exp(1e0 - {d.double('s1.nr')} / s1.np) END, 9) END AS bleu
-FROM s1 {' '.join(f'JOIN s{n} ON s{n}.doc_id = s1.doc_id' for n in (2, 3, 4))} {' '.join(f'LEFT JOIN h{n} ON h{n}.doc_id = s1.doc_id' for n in (1, 2, 3, 4))}""")
-Q("lexical_f1", "documents", lambda d: f"WITH p AS ({PAIRS(d)}), {overlap(d, t.tok_a)} SELECT s1.doc_id, {F1('hits', 'np', 'nr')} AS f1 FROM s1 LEFT JOIN h1 ON s1.doc_id = h1.doc_id")
-Q("bertscore_lex", "documents", lambda d: f"WITH p AS ({PAIRS(d)}), {overlap(d, t.tok_a)} SELECT s1.doc_id, CASE WHEN p.article = p.abstract THEN 1e0 ELSE {F1('hits', 'np', 'nr')} END AS bertscore_lex FROM s1 JOIN p ON p.doc_id = s1.doc_id LEFT JOIN h1 ON s1.doc_id = h1.doc_id")
-Q("lexical_overlap", "documents", lambda d: f"WITH p AS ({PAIRS(d)}), {overlap(d, t.tok_b)} SELECT s1.doc_id, CASE WHEN np = 0 OR nr = 0 THEN 0e0 ELSE coalesce(hits, 0) / nr END AS overlap FROM s1 LEFT JOIN h1 ON s1.doc_id = h1.doc_id")
+WITH p AS ({PAIRS(d)}), {overlap(d, t.tok_a, (1, 2, 3, 4))}
+SELECT doc_id, CASE WHEN np1 = 0 OR nr1 = 0 THEN 0e0 ELSE round(exp(({' + '.join(f'ln((hits{n} + 1e0) / (np{n} + 1e0))' for n in (1, 2, 3, 4))}) / 4) * CASE WHEN np1 > nr1 THEN 1e0 ELSE exp(1e0 - {d.double('nr1')} / np1) END, 9) END AS bleu FROM s""")
+Q("lexical_f1", "documents", lambda d: f"WITH p AS ({PAIRS(d)}), {overlap(d, t.tok_a)} SELECT doc_id, {ROUGE1} AS f1 FROM s")
+Q("bertscore_lex", "documents", lambda d: f"WITH p AS ({PAIRS(d)}), {overlap(d, t.tok_a)}, z AS ({SAME(d)}) SELECT /*+ MERGE(z) */ s.doc_id, CASE WHEN same THEN 1e0 ELSE {ROUGE1} END AS bertscore_lex FROM s JOIN z ON z.doc_id = s.doc_id")
+Q("lexical_overlap", "documents", lambda d: f"WITH p AS ({PAIRS(d)}), {overlap(d, t.tok_b)} SELECT doc_id, CASE WHEN np1 = 0 OR nr1 = 0 THEN 0e0 ELSE hits1 / nr1 END AS overlap FROM s")
 SETS = lambda d, tok: f"SELECT doc_id, article, abstract, {d.distinct(tok(d, 'article'))} AS a, {d.distinct(tok(d, 'abstract'))} AS b FROM ({PAIRS(d)}) p"
 Q("jaccard", "documents", lambda d: f"WITH s AS ({SETS(d, t.tok_d)}) SELECT doc_id, {t.ratio(d, d.size(d.intersect('a', 'b')), d.size(d.union('a', 'b')))} AS jaccard FROM s")
 Q("extractive_coverage", "documents", lambda d: f"WITH s AS ({SETS(d, t.tok_a)}) SELECT doc_id, {t.ratio(d, d.size(d.filter(t.tok_a(d, 'abstract'), d.has('a', 'y'), 'y')), d.size(t.tok_a(d, 'abstract')))} AS coverage, {t.ratio(d, d.size(d.filter(t.tok_a(d, 'abstract'), d.has('a', 'y'), 'y')), d.size(t.tok_a(d, 'article')))} AS density FROM s")
@@ -52,9 +50,9 @@ Q("leaderboard_composite", "events", lambda d: f"SELECT event_id, coalesce(CASE
 Q("per_run_metrics", "events", lambda d: f"SELECT event_id, (1 - faith) * 100 AS hallucination_pct, CASE WHEN faith < 0.45e0 THEN 'high' WHEN faith < 0.7e0 THEN 'medium' ELSE 'low' END AS risk, cov / greatest(0.001e0, flu) AS throughput FROM ({METRICS}) m")
 Q("format_compare_metrics", "events", lambda d: f"SELECT event_id, coalesce(nullif(rouge_l, 0), rouge2, 0) AS rouge, coalesce(nullif(bert, 0), 0) AS bertscore_f1, CASE WHEN biased THEN 'source used as reference' END AS warning FROM ({METRICS}) m")
 Q("evaluate_summary", "documents", lambda d: f"""
-WITH p AS ({PAIRS(d)}), {overlap(d, t.tok_g)}
-SELECT s1.doc_id, p.article = p.abstract AS is_biased, CASE WHEN p.article = p.abstract THEN 0e0 ELSE {F1('hits', 'np', 'nr')} END AS rouge1, {t.ratio(d, t.n_words(d, 'abstract'), t.n_words(d, 'article'))} AS word_compression, {t.ratio(d, '1', d.size(t.sentences_raw(d, 'article')))} AS sentence_compression
-FROM s1 JOIN p ON p.doc_id = s1.doc_id LEFT JOIN h1 ON h1.doc_id = s1.doc_id""")
+WITH p AS ({PAIRS(d)}), {overlap(d, t.tok_g)}, z AS ({SAME(d)})
+SELECT /*+ MERGE(z) */ s.doc_id, same AS is_biased, CASE WHEN same THEN 0e0 ELSE {ROUGE1} END AS rouge1, {t.ratio(d, 'words', 'source_words')} AS word_compression, {t.ratio(d, '1', 'sentences')} AS sentence_compression
+FROM s JOIN z ON z.doc_id = s.doc_id""")
 
 
 def grounding(d, source=50):
@@ -84,9 +82,11 @@ WITH f AS (SELECT doc_id, {t.ratio(d, d.size(d.rx_all(t.text(d), '[^' + chr(92)
 SELECT doc_id, lang, {CLIP('1e0 - least(0.35e0, noise * 3) - least(0.25e0, greatest(0e0, single - 0.18e0)) - least(0.20e0, greatest(0e0, breaks - 0.12e0)) - CASE WHEN n < 20 THEN 0.25e0 ELSE 0e0 END - CASE WHEN wl < 2.8e0 THEN 0.15e0 ELSE 0e0 END - CASE WHEN lang = {0} THEN 0.10e0 ELSE 0e0 END'.format("'unknown'"))} AS score FROM f""")
 Q("selector_scores", "documents", lambda d: f"WITH p AS ({PAIRS(d)}), f AS (SELECT doc_id, {t.n_words(d, 'abstract')} AS ns, {t.n_words(d, 'article')} AS na FROM p) SELECT doc_id, {CLIP('1e0 - abs(ns - 0.25e0 * na) / greatest(1e0, 0.25e0 * na)')} AS length_score, {d.double('ns')} / greatest(1, na) AS compression FROM f")
 Q("sentence_importance", "documents", lambda d: f"WITH v AS (SELECT doc_id, {d.distinct(t.tok_d(d))} AS v FROM documents), s AS (SELECT doc_id, i, {d.distinct(t.tok_d(d, 's'))} AS w FROM ({SENTENCES(d)}) x) SELECT s.doc_id, s.i, {t.ratio(d, d.size(d.intersect('w', 'v')), d.size('v'))} AS share FROM s JOIN v ON s.doc_id = v.doc_id")
+#: Both sides are counted in one aggregate, as in ``overlap``; the largest count is a window over it.
 Q("token_importance", "documents", lambda d: f"""
-WITH p AS ({PAIRS(d)}), c AS ({counted(d, t.tok_a, 'article')}), a AS ({counted(d, t.tok_a, 'abstract')}), m AS (SELECT doc_id, max(c) AS top FROM c GROUP BY doc_id)
-SELECT doc_id, g AS token, weight FROM (SELECT a.doc_id, a.g, {d.double('c.c')} / m.top AS weight, row_number() OVER (PARTITION BY a.doc_id ORDER BY c.c DESC, a.g) AS nth FROM a JOIN c ON a.doc_id = c.doc_id AND a.g = c.g JOIN m ON m.doc_id = a.doc_id) x WHERE nth <= 40""")
+WITH p AS ({PAIRS(d)}), u AS (SELECT doc_id, {d.explode(t.tok_a(d, 'article'))} AS g, 1 AS x, 0 AS y FROM p UNION ALL SELECT doc_id, {d.explode(t.tok_a(d, 'abstract'))}, 0, 1 FROM p),
+c AS (SELECT doc_id, g, sum(x) AS c, sum(y) AS y, max(sum(x)) OVER (PARTITION BY doc_id) AS top FROM u GROUP BY doc_id, g)
+SELECT doc_id, g AS token, weight FROM (SELECT doc_id, g, {d.double('c')} / top AS weight, row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, g) AS nth FROM c WHERE c > 0 AND y > 0) x WHERE nth <= 40""")
 Q("length_controls", "documents", lambda d: f"SELECT doc_id, greatest(1, {d.long(f'floor({t.n_words(d)} * 0.2)')}) AS target_20, least(512, greatest(32, {d.long(f'floor({t.n_words(d)} * 0.5)')})) AS target_50, CASE WHEN {t.n_words(d)} < 300 THEN 'short' WHEN {t.n_words(d)} < 1500 THEN 'medium' ELSE 'long' END AS preset FROM documents")
 Q("dynamic_top_k", "conversations", lambda d: f"SELECT conv_id, turn, greatest(3, least(12, 8 + CASE WHEN {t.n_words(d)} <= 6 THEN -1 WHEN {t.n_words(d)} >= 20 THEN 1 ELSE 0 END)) AS k FROM conversations")
 Q("retrieval_metrics", "embeddings", lambda d: f"""

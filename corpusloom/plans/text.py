@@ -66,7 +66,7 @@ BOOK.sql("bench_sample_filter", "documents benchmark", lambda d: f"SELECT doc_id
 BOOK.sql("is_bad_generation", "documents", lambda d: f"""
 WITH c AS (SELECT doc_id, {t.text(d)} AS s, {t.tok_a(d, t.clean(d, 'text'))} AS w FROM documents),
 m AS (SELECT doc_id, max(n) AS top FROM (SELECT doc_id, v, count(*) AS n FROM (SELECT doc_id, {d.explode('w')} AS v FROM c) e GROUP BY doc_id, v) g GROUP BY doc_id)
-SELECT c.doc_id, (length(trim(s)) < 5 OR {d.size('w')} < 3 OR {d.size(d.rx_all('s', '[' + chr(92) + '[' + chr(92) + ']{}<>|' + chr(92) * 2 + ']'))} > greatest(2, length(s) * 0.03) OR {t.single_ratio(d, 'w')} > 0.35 OR ({d.size('w')} >= 8 AND {t.ratio(d, 'coalesce(top, 0)', d.size('w'))} > 0.35)
+SELECT /*+ MERGE(m) */ c.doc_id, (length(trim(s)) < 5 OR {d.size('w')} < 3 OR {d.size(d.rx_all('s', '[' + chr(92) + '[' + chr(92) + ']{}<>|' + chr(92) * 2 + ']'))} > greatest(2, length(s) * 0.03) OR {t.single_ratio(d, 'w')} > 0.35 OR ({d.size('w')} >= 8 AND {t.ratio(d, 'coalesce(top, 0)', d.size('w'))} > 0.35)
   OR {t.ratio(d, d.size(d.rx_all('s', '[^0-9A-Za-zÀ-ỹĐđ' + chr(92) + 's.,!?;:' + chr(39) + chr(34) + '()/%+' + chr(92) + '-]')), 'length(s)')} > 0.08) AS value FROM c LEFT JOIN m ON c.doc_id = m.doc_id""")
 P("is_garbled_single", value=lambda d: t.garbled_single(d, "text"), ratio=lambda d: t.single_ratio(d, t.tok_a(d)))
 BOOK.sql("is_editorial_sentence", "documents", lambda d: f"WITH s AS (SELECT doc_id, {d.explode(t.sentences_raw(d))} AS s FROM documents) SELECT doc_id, count(*) AS n, {d.count_if(t.editorial_line(d, 's'))} AS editorial FROM s GROUP BY doc_id")
