@@ -1,14 +1,20 @@
-"""Clusters and projections of vectors, per group in Arrow batches."""
+"""Clusters and projections of vectors: sums over Arrow batches travel, vectors stay."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators.order import numbered
+from corpusloom.session import stored
+
 
 def soft_gmm(x: np.ndarray, k: int, steps: int = 10, least: float = 0.15) -> np.ndarray:
     """Membership (n, k) of a diagonal Gaussian mixture after ``steps`` EM steps; centres start at evenly spaced rows; each row has its arg-max."""
@@ -30,43 +36,130 @@ def soft_gmm(x: np.ndarray, k: int, steps: int = 10, least: float = 0.15) -> np.
     return out
 
 
+def _responsibilities(x: np.ndarray, mean: np.ndarray, var: np.ndarray, mix: np.ndarray, cells: int = 1 << 22) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows of x, their share of each component), some rows at a time."""
+    step = max(1, cells // max(1, mean.size))
+    for i in range(0, len(x), step):
+        part = x[i : i + step]
+        logp = np.log(mix + 1e-12) - 0.5 * (np.log(var).sum(1) + (((part[:, None] - mean) ** 2) / var).sum(2))
+        r = np.exp(logp - logp.max(1, keepdims=True))
+        yield part, r / r.sum(1, keepdims=True)
+
+
+def _stack(column: pa.ChunkedArray) -> np.ndarray:
+    held = column.combine_chunks()
+    return held.flatten().to_numpy().reshape(len(held), -1) if len(held) else np.zeros((0, 0))
+
+
+def mixture(vectors: DataFrame, k: Column, steps: int = 10, least: float = 0.15, rows_per_task: int = 4096, cut_every: int = 3) -> DataFrame:
+    """(grp, pos, cluster): soft members of a diagonal Gaussian mixture in each group of ``vectors`` (grp, pos, x); ``soft_gmm`` over any number of tasks.
+
+    ``pos``: the place of a vector in its group, from 0. ``k``: components, a Column over ``n``, the group's size.
+    Vectors are dealt by group and place once and stay; in each step the components' means, variances and shares travel to
+    them, and sums over their responsibilities come back (2 * dims + 1 numbers a component and task), which are added up
+    per component. A task holds its vectors and one group's components.
+    """
+    salted = vectors.select("grp", "pos", F.col("x").cast("array<double>").alias("x")).withColumn("salt", F.floor(F.col("pos") / rows_per_task).cast("int"))
+    held = stored(salted, "vectors").repartition("grp", "salt").persist(StorageLevel.DISK_ONLY)
+    group = held.schema["grp"].dataType.simpleString()
+
+    def added(rows: DataFrame, *by: str) -> DataFrame:
+        """The arrays ``s`` added up place by place."""
+        cells = rows.select(*by, F.posexplode("s").alias("i", "v")).groupBy(*by, "i").agg(F.sum("v").alias("v"))
+        return cells.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda c: c["v"]).alias("s"))
+
+    moments = added(held.select("grp", F.concat(F.array(F.lit(1.0)), "x", F.transform("x", lambda v: v * v)).alias("s")), "grp")
+    n, dims = F.element_at("s", 1), ((F.size("s") - 1) / 2).cast("int")
+    mean_of = F.transform(F.slice("s", F.lit(2), dims), lambda v: v / n)
+    square_of = F.transform(F.slice("s", dims + 2, dims), lambda v: v / n)
+    spread = F.aggregate(F.zip_with(square_of, mean_of, lambda q, m: q - m * m), F.lit(0.0), lambda a, v: a + v) / dims + 1e-3
+    sizes = moments.select("grp", n.cast("long").alias("n"), spread.alias("spread")).withColumn("k", F.greatest(F.lit(1), F.least(k.cast("long"), F.col("n"))))
+    salts = F.sequence(F.lit(0), F.floor((F.col("n") - 1) / rows_per_task).cast("int"))
+    sizes = stored(sizes.withColumn("salts", salts), "sizes")
+    seeds = sizes.select("grp", "n", "k", "spread", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("c"))
+    place = F.when((F.col("c") == F.col("k") - 1) & (F.col("k") > 1), F.col("n") - 1).when(F.col("k") == 1, F.lit(0)).otherwise(F.floor(F.col("c") * ((F.col("n") - 1) / (F.col("k") - 1))))
+    seeds = seeds.select(F.col("grp").alias("g"), F.col("c").cast("int").alias("c"), place.cast("long").alias("p"), "k", "spread")
+    params = held.join(seeds, F.col("grp").eqNullSafe(F.col("g")) & (F.col("pos") == F.col("p"))).select("grp", "c", (1 / F.col("k")).alias("mix"), F.col("x").alias("mean"), F.transform("x", lambda _: F.col("spread")).alias("var"))
+
+    def meet(params: DataFrame, f, schema: str) -> DataFrame:
+        sent = params.join(sizes.select(F.col("grp").alias("g"), "salts"), F.col("grp").eqNullSafe(F.col("g"))).select(F.col("grp").alias("sg"), F.explode("salts").alias("ss"), "c", "mix", "mean", "var")
+
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            right = right.sort_by("c")
+            return f(left, _stack(left["x"]), _stack(right["mean"]), _stack(right["var"]), right["mix"].to_numpy())
+
+        return held.groupBy("grp", "salt").cogroup(sent.groupBy("sg", "ss")).applyInArrow(run, schema)
+
+    def sums(left: pa.Table, x: np.ndarray, mean: np.ndarray, var: np.ndarray, mix: np.ndarray) -> pa.Table:
+        total = np.zeros((len(mean), 1 + 2 * x.shape[1]))
+        for part, r in _responsibilities(x, mean, var, mix):
+            total += np.concatenate([r.sum(0)[:, None], r.T @ part, r.T @ part**2], 1)
+        return pa.table({"grp": left["grp"].combine_chunks().take(pa.array(np.zeros(len(mean), int))), "c": pa.array(range(len(mean)), pa.int32()), "s": pa.array(total.tolist(), pa.list_(pa.float64()))})
+
+    def members(left: pa.Table, x: np.ndarray, mean: np.ndarray, var: np.ndarray, mix: np.ndarray) -> pa.Table:
+        row, cluster, at = [], [], 0
+        for part, r in _responsibilities(x, mean, var, mix):
+            chosen = r > least
+            chosen[np.arange(len(part)), r.argmax(1)] = True
+            i, c = np.nonzero(chosen)
+            row.append(i + at)
+            cluster.append(c)
+            at += len(part)
+        rows = pa.array(np.concatenate(row))
+        return pa.table({"grp": left["grp"].combine_chunks().take(rows), "pos": left["pos"].combine_chunks().take(rows), "cluster": pa.array(np.concatenate(cluster), pa.int32())})
+
+    for step in range(1, steps):
+        w = F.element_at("s", 1) + 1e-9
+        mean = F.transform(F.slice("s", F.lit(2), dims), lambda v: v / w)
+        square = F.transform(F.slice("s", dims + 2, dims), lambda v: v / w)
+        new = added(meet(params, sums, f"grp {group}, c int, s array<double>"), "grp", "c").select("grp", "c", w.alias("w"), mean.alias("mean"), square.alias("square"))
+        new = new.join(sizes.select(F.col("grp").alias("g"), "n"), F.col("grp").eqNullSafe(F.col("g")))
+        params = new.select("grp", "c", (F.col("w") / F.col("n")).alias("mix"), "mean", F.zip_with("square", "mean", lambda q, m: F.greatest(q - m * m, F.lit(1e-3))).alias("var"))
+        if step % cut_every == 0:
+            params = stored(params, "components")
+    out = stored(meet(params, members, f"grp {group}, pos long, cluster int"), "members")
+    held.unpersist()
+    return out
+
+
 def gmm_members(vectors: DataFrame, k: int = 3, group: str = "label", id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
-    """(group, id, cluster): soft memberships within each group (one group's vectors in memory at a time)."""
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(id_col)
-        m = soft_gmm(np.stack(p[vec].to_numpy()), k)
-        i, c = np.nonzero(m)
-        return pd.DataFrame({group: p[group].to_numpy()[i], id_col: p[id_col].to_numpy()[i], "cluster": c.astype("int32")})
-
-    kinds = dict(vectors.dtypes)
-    return vectors.select(group, id_col, vec).groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {id_col} {kinds[id_col]}, cluster int")
-
-
-def raptor_tree(chunks: DataFrame, levels: int = 3, group: str = "source") -> DataFrame:
-    """(group, level, node, children, text): chunks (group, chunk_id, text, vector) clustered and summarised level by level."""
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("chunk_id")
-        ids, texts, x = p["chunk_id"].astype(str).tolist(), p["text"].tolist(), np.stack(p["vector"].to_numpy()).astype(float)
-        rows = []
-        for level in range(1, levels + 1):
-            if len(ids) < 3:
-                break
-            m = soft_gmm(x, max(2, len(ids) // 5))
-            new_ids, new_texts, new_x = [], [], []
-            for c in range(m.shape[1]):
-                at = np.flatnonzero(m[:, c])
-                if len(at):
-                    text = ". ".join(s.strip() for s in " ".join(texts[i] for i in at).split(".")[:3])
-                    rows.append((p[group].iloc[0], level, f"{level}-{c}", [ids[i] for i in at], text))
-                    new_ids.append(f"{level}-{c}")
-                    new_texts.append(text)
-                    new_x.append(x[at].mean(0))
-            ids, texts, x = new_ids, new_texts, np.stack(new_x)
-        return pd.DataFrame(rows, columns=[group, "level", "node", "children", "text"])
-
-    return chunks.groupBy(group).applyInPandas(run, f"{group} string, level int, node string, children array<string>, text string")
+    """(group, id, cluster): soft memberships within each group; null vectors take no part. Rows of one id are told apart by their vectors' order only."""
+    given = vectors.select(F.col(group).alias("grp"), F.col(id_col).alias("id"), F.col(vec).alias("x")).where(F.col("x").isNotNull())
+    placed = stored(numbered(given, [F.col("id"), F.col("x")], ["grp"]).select("grp", "id", "x", (F.col("rank") - 1).alias("pos")), "placed")
+    found = mixture(placed, F.lit(k)).select(F.col("grp").alias("g"), F.col("pos").alias("p"), "cluster")
+    return placed.join(found, F.col("grp").eqNullSafe(F.col("g")) & (F.col("pos") == F.col("p"))).select(F.col("grp").alias(group), F.col("id").alias(id_col), "cluster")
+
+
+def raptor_tree(chunks: DataFrame, levels: int = 3, group: str = "source", pieces: int = 3) -> DataFrame:
+    """(group, level, node, children, text): chunks (group, chunk_id, text, vector) clustered and summarised level by level.
+
+    A level is a DataFrame: groups of three nodes or more are parted into a fifth as many soft clusters, a cluster's
+    text is the first ``pieces`` sentences of its members in their order, its vector their mean, and the clusters are
+    the next level's nodes. Of a member's text only what can be among the first sentences goes to its cluster.
+    """
+    given = chunks.select(F.col(group).alias("grp"), F.col("chunk_id").cast("string").alias("id"), F.coalesce("text", F.lit("")).alias("text"), F.col("vector").cast("array<double>").alias("x"), F.col("chunk_id").alias("o"))
+    nodes = stored(numbered(given, [F.col("o"), F.col("x")], ["grp"]).select("grp", "id", "text", "x", (F.col("rank") - 1).alias("pos"), F.col("rank_of").alias("n")), "nodes")
+    made = []
+    for level in range(1, levels + 1):
+        nodes = nodes.where("n >= 3")
+        if not nodes.limit(1).count():
+            break
+        found = mixture(nodes, F.greatest(F.lit(2), F.floor(F.col("n") / 5))).select(F.col("grp").alias("g"), F.col("pos").alias("p"), "cluster")
+        joined = nodes.join(found, F.col("grp").eqNullSafe(F.col("g")) & (F.col("pos") == F.col("p"))).select("grp", "cluster", "pos", "id", F.substring_index("text", ".", pieces).alias("t"), (F.length("text") > F.length(F.substring_index("text", ".", pieces))).alias("more"), "x")
+        joined = stored(joined, "joined")
+        means = joined.select("grp", "cluster", F.posexplode("x").alias("i", "v")).groupBy("grp", "cluster", "i").agg(F.avg("v").alias("v")).groupBy(F.col("grp").alias("mg"), F.col("cluster").alias("mc")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda c: c["v"]).alias("x"))
+        members = F.array_sort(F.collect_list(F.struct("pos", "id", F.concat("t", F.when(F.col("more"), ".").otherwise("")).alias("t"))))
+        clusters = joined.groupBy("grp", "cluster").agg(members.alias("m"))
+        text = F.array_join(F.transform(F.slice(F.split(F.array_join("m.t", " "), r"\."), 1, pieces), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", "")), ". ")
+        clusters = clusters.select("grp", "cluster", F.col("m.id").alias("children"), text.alias("text"))
+        both = clusters.join(means, F.col("grp").eqNullSafe(F.col("mg")) & (F.col("cluster") == F.col("mc")))
+        both = numbered(both.select("grp", "cluster", "children", "text", "x", F.concat(F.lit(f"{level}-"), F.col("cluster").cast("string")).alias("id")), [F.col("cluster")], ["grp"])
+        nodes = stored(both.withColumn("pos", F.col("rank") - 1).withColumn("n", F.col("rank_of")), "nodes")
+        made.append(nodes.select(F.col("grp").alias(group), F.lit(level).alias("level"), F.col("id").alias("node"), "children", "text"))
+        nodes = nodes.select("grp", "id", "text", "x", "pos", "n")
+    if not made:
+        return given.limit(0).select(F.col("grp").alias(group), F.lit(1).alias("level"), F.col("id").alias("node"), F.array("id").alias("children"), "text")
+    return reduce(DataFrame.unionByName, made)
 
 
 def pca_2d(vectors: DataFrame, id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
