@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.llm import lattice, lmscore, queries
@@ -105,7 +106,9 @@ def brute_model(rows, rounds):
     return by, score
 
 
-def test_scores_against_brute_force(spark):
+@pytest.mark.parametrize("head", [0, 3, 1 << 17])
+def test_scores_against_brute_force(spark, monkeypatch, head):
+    monkeypatch.setattr(lmscore, "HEAD", head)
     r = random.Random(3)
     stock = {"fr": "la nation notion ration table chat Été et".split(), "de": "das Haus Maus der die und geht".split(), None: "x y z".split()}
     rows = []
@@ -113,7 +116,7 @@ def test_scores_against_brute_force(spark):
         lang = r.choice(list(stock))
         rows.append((i, r.choice([" ", "\t", "\x0b\n"]).join(r.choices(stock[lang], k=r.randrange(9))), lang))
     rows += [(60, None, "fr"), (61, "", None), (62, "unseen wörter HAUS", "es"), (None, "la und", "fr"), (3, rows[3][1], rows[3][2]), (63, "q" * 90, "de")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({c: F.lit(1) for c in ("row", "word", "n", "c", "of", "s0", "held_out", "learn")})
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({c: F.lit(1) for c in ("row", "word", "n", "c", "of", "s0", "held_out", "learn", "part", "base")})
     got = lmscore.score(df, PATH, rounds=1).collect()
     by, score = brute_model(rows, 1)
     c = sum(by.values(), Counter())
