@@ -101,132 +101,6 @@ def merged_paragraphs(text: str) -> list[dict]:
             out.append(p)
     return [{"index": i, "text": x, "tokens": estimate(x)} for i, x in enumerate(out)]
 
-#: Phrases of Vietnamese official letters, lower case, by the part of the letter that they mark.
-PHRASES = {
-    "nation": ("cộng hòa xã hội chủ nghĩa việt nam", "cộng hoà xã hội chủ nghĩa việt nam", "độc lập - tự do - hạnh phúc", "độc lập – tự do – hạnh phúc"),
-    "office": ("bộ ", "sở ", "ủy ban nhân dân", "uỷ ban nhân dân", "trường ", "cục ", "tổng cục", "phòng ", "hội đồng", "chính phủ", "quốc hội", "tòa án", "viện "),
-    "student": ("mssv", "mã số sinh viên", "sinh viên thực hiện", "giảng viên hướng dẫn", "cán bộ hướng dẫn", "họ và tên", "họ tên", "lớp:", "khoa:"),
-    "contact": ("điện thoại", "tel", "fax", "email", "e-mail", "website", "hotline", "địa chỉ"),
-    "contents": ("mục lục",),
-    "recipients": ("nơi nhận",),
-    "signed": ("đã ký", "ký tên", "ký, ghi rõ họ tên", "ký và ghi rõ họ tên", "ký, đóng dấu"),
-    "title": ("chủ tịch", "phó chủ tịch", "bộ trưởng", "thứ trưởng", "giám đốc", "phó giám đốc", "tổng giám đốc", "hiệu trưởng", "phó hiệu trưởng", "trưởng phòng", "chánh văn phòng", "thủ tướng"),
-    "proxy": ("kt.", "tm.", "tl.", "tuq.", "q."),
-    "appendix": ("phụ lục",),
-    "scan": ("scanned by", "camscanner", "watermark", "bản nháp", "confidential"),
-}
-
-
-def _starts(line: str, part: str) -> bool:
-    return line.startswith(PHRASES[part])
-
-
-def _is_page(line: str) -> bool:
-    """A bare page number: "7", "- 7 -", "trang 7", "7/12", "trang 7 của 12"."""
-    words = line.replace("-", " ").replace("–", " ").replace("/", " ").replace("page", "trang").split()
-    numbers = [w for w in words if w.isdigit()]
-    return 1 <= len(numbers) <= 2 and all(w.isdigit() or w in ("trang", "của", "of") for w in words) and all(len(w) < 5 for w in numbers)
-
-
-def _is_contact(line: str) -> bool:
-    return any(line.startswith(w) and line[len(w) :].lstrip(" ().").startswith(":") for w in PHRASES["contact"])
-
-
-def _is_contents_entry(line: str) -> bool:
-    """Leader dots before a closing page number."""
-    head = line.rstrip("0123456789 ")
-    return head != line.rstrip() and head.endswith(("...", "…"))
-
-
-def _is_number(line: str) -> bool:
-    """A letter's registration number, such as "Số: 12/QĐ-ABC"."""
-    return line.startswith(("số:", "số ", "số :")) and "/" in line
-
-
-def _is_date(line: str) -> bool:
-    at = [line.find(w) for w in ("ngày", "tháng", "năm")]
-    return 0 <= at[0] < at[1] < at[2] and len(line.split()) <= 12
-
-
-def _is_name(text: str, least: int = 2) -> bool:
-    """``least`` to four words that each begin with a capital and go on in small letters."""
-    words = text.split()
-    return least <= len(words) <= 4 and all(w.isalpha() and w[0].isupper() and w[1:].islower() for w in words if len(w) > 1)
-
-
-def administrative_body(parts: list[str], header: int) -> list[int]:
-    """Numbers of the parts (lines or elements) that belong to the body of an official letter.
-
-    Out go scan marks, page numbers, contacts, the table of contents, in the first ``header`` parts
-    the national header, registration number, date, office and student data, the recipients' list,
-    in the last third signatures (a title with the name that follows it) and appendix headings.
-    Blank parts stay.
-    """
-    kept: list[int] = []
-    contents = recipients = named = False
-    for i, part in enumerate(parts):
-        plain = part.strip()
-        line = plain.lower()
-        late = i > 0.65 * len(parts)
-        if not plain:
-            kept.append(i)
-            continue
-        after_title, named = named, False
-        if any(w in line for w in PHRASES["scan"]) or _is_page(line) or _is_contact(line):
-            continue
-        if _starts(line, "contents") and len(line.split()) <= 3:
-            contents = True
-            continue
-        if contents:
-            if _is_contents_entry(line):
-                continue
-            contents = len(line.split()) <= 10
-        if i < header:
-            office = _starts(line, "office") and plain.upper() == plain and len(line.split()) < 15
-            if any(w in line for w in PHRASES["nation"]) or _is_number(line) or _is_date(line) or office or _starts(line, "student"):
-                continue
-        if _starts(line, "recipients") and line.rstrip().endswith(":"):
-            recipients = True
-            continue
-        if recipients:
-            if line[0] in "-+*•–" or len(line.split()) < 5 and not line.endswith("."):
-                continue
-            recipients = False
-        if late:
-            title = line
-            for w in PHRASES["proxy"]:
-                title = title.removeprefix(w).lstrip()
-            if any(w in line for w in PHRASES["signed"]) and len(line.split()) <= 8:
-                continue
-            if _starts(title, "title") and len(line.split()) <= 8:
-                named = True
-                continue
-            if after_title and _is_name(plain, 1) or i > 0.8 * len(parts) and _is_name(plain):
-                continue
-        if _starts(line, "appendix") and len(line.split()) <= 8:
-            continue
-        kept.append(i)
-    return kept
-
-
-def admin_lines(text: str) -> list[dict]:
-    """The body's lines of an official letter, see administrative_body; blank lines are left out."""
-    lines = text.split("\n")
-    return [{"index": i, "text": lines[i].strip(), "tokens": estimate(lines[i])} for i in administrative_body(lines, 25) if lines[i].strip()]
-
-
-def admin_elements(elements: DataFrame, id_col: str = "doc_id", order_col: str = "i", text_col: str = "text") -> DataFrame:
-    """The body's elements of each document, see administrative_body; a document's elements are folded together, so a group is one document."""
-    kind = f"array<{elements.schema[order_col].dataType.simpleString()}>"
-
-    def keep(texts, places):
-        return pd.Series([[p[k] for k in administrative_body(list(t), 18) if t[k].strip()] for t, p in zip(texts, places)])
-
-    held = elements.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("p"), F.coalesce(text_col, F.lit("")).alias("t")))).alias("e"))
-    body = held.select(F.col(id_col).alias("own"), F.explode(F.pandas_udf(keep, kind)(F.col("e.t"), F.col("e.p"))).alias("at"))
-    return elements.join(body, (F.col(id_col) == F.col("own")) & (F.col(order_col) == F.col("at")), "left_semi")
-
-
 def cosines(vectors: np.ndarray) -> np.ndarray:
     """Cosine of each row with the next."""
     n = np.linalg.norm(vectors, axis=1)
@@ -268,7 +142,7 @@ def semantic_chunks(text: str, rule: str = "dynamic", most_chars: int = 1200, di
     return [{"index": i, "text": " ".join(c), "tokens": estimate(" ".join(c))} for i, c in enumerate(out)]
 
 
-CHUNKERS = {"token": token_chunks, "paragraph": paragraph_chunks, "words": word_chunks, "merge": merged_paragraphs, "admin": admin_lines, "semantic": semantic_chunks}
+CHUNKERS = {"token": token_chunks, "paragraph": paragraph_chunks, "words": word_chunks, "merge": merged_paragraphs, "semantic": semantic_chunks}
 
 def chunk(docs: DataFrame, how: str = "token", id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(doc_id, index, text, tokens, chunk_id) by the named chunker."""

@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from corpusloom.functions import arrow
-from corpusloom.functions.dialect import SPARK
+from corpusloom.functions import letters as rules
+from corpusloom.functions.dialect import DUCK, SPARK
 from corpusloom.functions.text import col, sentences_raw
-from corpusloom.operators import chunk, cluster, retrieve, summarize
+from corpusloom.operators import chunk, cluster, letters, retrieve, summarize
 from corpusloom.plans import retrieval
 from corpusloom.plans.query import Book
 from corpusloom.session import table, work_dir
@@ -48,12 +49,19 @@ add("pagerank", lambda s, d: summarize.score_table(docs(s, d), "textrank").selec
 add("hybrid_condense", lambda s, d: summarize.hybrid_condense(docs(s, d)))
 add("map_reduce_summary", lambda s, d: summarize.map_reduce_summary(docs(s, d)))
 add("build_sections", lambda s, d: chunk.build_sections(docs(s, d)))
-for name, how in {"chunk_semantic_token": "token", "chunk_paragraph_overlap": "paragraph", "chunk_words_sentences": "words", "reconstruct_paragraphs": "merge", "admin_clean_lines": "admin"}.items():
+for name, how in {"chunk_semantic_token": "token", "chunk_paragraph_overlap": "paragraph", "chunk_words_sentences": "words", "reconstruct_paragraphs": "merge"}.items():
     add(name, lambda s, d, how=how: chunk.chunk(docs(s, d), how))
 add("chunk_embedding", lambda s, d: chunk.chunk(docs(s, d), "token", target=200).select("doc_id", "index", "chunk_id", arrow.hash_embed("text", 64).alias("vector")))
 for name, how in {"chunk_semantic_fixed": "fixed", "chunk_semantic_dynamic": "dynamic", "chunk_semantic_window": "window"}.items():
     add(name, lambda s, d, how=how: chunk.chunk(docs(s, d), "semantic", rule=how))
-add("admin_clean_elements", lambda s, d: chunk.admin_elements(chunk.build_sections(docs(s, d))).select("doc_id", "i", "kind", "text"))
+add(
+    "admin_clean_lines",
+    lambda s, d: letters.clean_letters(docs(s, d)).select("doc_id", "letter", F.md5("text").alias("text_md5")),
+    f"""WITH l AS ({rules.lines_of(DUCK, f"(SELECT doc_id, text FROM documents WHERE {rules.is_letter(DUCK)})")}), k AS ({rules.body(DUCK, "SELECT * FROM l", rules.HEAD_LINES)}),
+b AS (SELECT l.doc_id, regexp_replace(regexp_replace(string_agg(line, chr(10) ORDER BY l.i), '\\n\\s*\\n\\s*\\n', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS body FROM l LEFT JOIN k ON l.doc_id = k.doc_id AND l.i = k.i WHERE k.i IS NOT NULL OR trim(line) = '' GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce({rules.is_letter(DUCK)}, false) AS letter, md5(CASE WHEN {rules.is_letter(DUCK)} THEN coalesce(body, '') ELSE text END) AS text_md5 FROM documents d LEFT JOIN b ON b.doc_id = d.doc_id""",
+)
+add("admin_clean_elements", lambda s, d: letters.clean_letter_elements(chunk.build_sections(docs(s, d))).select("doc_id", "i", "kind", "text"))
 add("clean_element", lambda s, d: chunk.build_sections(docs(s, d)).select("doc_id", "i", arrow.clean_element("text", F.when(F.col("kind") == "bullet", "table").otherwise("paragraph")).alias("text")))
 add("gmm_diag_soft", lambda s, d: cluster.gmm_members(table(s, d, "embeddings")))
 add("raptor_tree", lambda s, d: cluster.raptor_tree(docs(s, d).select("source", F.col("doc_id").alias("chunk_id"), "text", arrow.hash_embed("text", 32).alias("vector"))))

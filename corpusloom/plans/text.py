@@ -82,7 +82,7 @@ WITH s AS (SELECT doc_id, {t.text(d)} AS text FROM documents), w AS (SELECT doc_
 SELECT doc_id, CASE WHEN text = '' THEN 'empty' WHEN {t.garbage(d, 'text')} THEN 'multilingual' WHEN {d.rx_like('text', '▁|<extra_id_|</s>|<pad>|<unk>')} THEN 'artifact'
   WHEN {d.size(d.rx_all('text', '[+#_~*%^&|<>{}' + chr(92) + '[' + chr(92) + ']' + chr(92) * 2 + ']'))} > 3 THEN 'symbols' WHEN {d.rx_like('text', '[a-zA-ZÀ-ỹđĐ][+][a-zA-ZÀ-ỹđĐ]')} THEN 'joined'
   WHEN {d.size(d.rx_all('text', '[ẰẮẤẦẬẼỮỰẴ]'))} >= 2 THEN 'tonal' WHEN {t.word_loop(d, 'lw', 1)} THEN 'loop1' WHEN {t.word_loop(d, 'words', 2)} THEN 'loop2' WHEN {t.word_loop(d, 'words', 3)} THEN 'loop3' ELSE 'ok' END AS reason FROM w""")
-P("is_admin_document", value=lambda d: f"({' + '.join(f'CASE WHEN {d.rx_like(t.text(d), p)} THEN 1 ELSE 0 END' for p in ('(?i)cộng *hòa *xã *hội *chủ *nghĩa *việt *nam', '(?i)độc *lập *[-–—] *tự *do *[-–—] *hạnh *phúc', '(?i)số *: *[0-9]+', '(?i)ngày +[0-9]{1,2} +tháng +[0-9]{1,2} +năm +[0-9]{4}'))}) >= 2")
+P("is_admin_document", value=letters.is_letter)
 P("low_value_noise", value=lambda d: f"(length(trim({t.text(d)})) <= 2 OR {d.rx_like(t.text(d), '^[-– 0-9/]+$')} OR ({t.n_words(d)} <= 2 AND NOT {d.rx_like(t.text(d), '[0-9]')}))")
 BOOK.sql("quality_gate", "documents", lambda d: f"SELECT doc_id, CASE WHEN {t.n_words(d)} < 20 THEN 'fail' WHEN {t.garbled_single(d, 'text')} THEN 'warn' ELSE 'pass' END AS gate FROM documents")
 BOOK.sql("looks_scanned", "documents", lambda d: f"SELECT source, {d.double('sum(n_chars)')} / count(*) AS chars_per_page, {d.double(f'sum({t.n_words(d)})')} / count(*) AS words_per_page, (sum(n_chars) / count(*) < 40 OR sum({t.n_words(d)}) / count(*) < 8) AS scanned FROM documents GROUP BY source")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,3 +52,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{work_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sql_over(build: Callable[..., str], *frames: DataFrame) -> DataFrame:
+    """The statement that ``build`` makes of names for ``frames``; their views are gone once it is analysed."""
+    spark = frames[0].sparkSession
+    names = [f"frame_{uuid.uuid4().hex}" for _ in frames]
+    for f, n in zip(frames, names):
+        f.createOrReplaceTempView(n)
+    try:
+        return spark.sql(build(*names))
+    finally:
+        for n in names:
+            spark.catalog.dropTempView(n)

@@ -66,11 +66,10 @@ def test_chunks_cover_all_sentences(parts):
         assert all(s in made for s in summarize.sentences(text))
 
 
-def test_sections_and_admin():
+def test_sections():
     s = chunk.sections("1 Intro\ntext here\n1.1 Part\n- item\n2 Next\nmore")
     assert [x["path"] for x in s][3] == ["1 Intro", "1.1 Part"] and s[-1]["path"] == ["2 Next"]
-    body = [x["text"] for x in chunk.admin_lines("CỘNG HÒA XÃ HỘI CHỦ NGHĨA VIỆT NAM\nTel: 1\nBody one.\n3\nNơi nhận:\n- A\n- B\nBody two.\nBody.\nBody.\nBody.\nGIÁM ĐỐC\nName")]
-    assert body == ["Body one.", "Body two.", "Body.", "Body.", "Body."]
+
 
 
 def test_gmm_separates_axes():
