@@ -1,6 +1,6 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
-A word is the average of the embeddings of its character n-grams (hashed), a window of ``WINDOW``
+A word is the average of the embeddings of its character n-grams and beginnings (hashed), a window of ``WINDOW``
 words the average of its words, and two linear outputs with softmax give the window's probability;
 the document takes its most toxic window, so that a few words in a long text are not averaged
 away. Misspelt or inflected words that training never saw share n-grams with those it saw.
@@ -33,7 +33,9 @@ WINDOW = 32
 LEAST = 8
 DIMS = 8
 #: Share of the loss that the toxic documents have.
-PRIOR = 0.35
+PRIOR = 0.5
+#: A word's beginnings of so many bytes, its border included, count ``STEM`` times each: inflected and misspelt words share them.
+STEMS, STEM = range(5, 11), 3
 CACHED = 400_000
 #: ASCII control characters, punctuation and white space part words.
 PARTS = bytes(32 if i < 128 and not chr(i).isalnum() else i for i in range(256))
@@ -43,8 +45,13 @@ def words_of(text: bytes) -> list[bytes]:
     return text.decode("utf-8", "replace").lower().encode().translate(PARTS).split()
 
 
+def _bucket(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (h >> np.uint64(64 - BITS)).astype(np.int64)
+
+
 def gram_buckets(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(word index, bucket) of every 3- to 5-byte n-gram of the words, with word borders."""
+    """(word index, bucket) of every 3- to 5-byte n-gram of the words, with word borders, and of their beginnings."""
     held = np.frombuffer(b"".join(b"<" + w + b">" for w in words), np.uint8).astype(np.uint64)
     size = np.fromiter(map(len, words), np.int64, len(words)) + 2
     of = np.repeat(np.arange(len(words)), size)
@@ -55,10 +62,16 @@ def gram_buckets(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         h = np.full(len(at), n, np.uint64)
         for i in range(n):
             h = h * np.uint64(0x100000001B3) + held[at + i] + np.uint64(1)
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
         who.append(of[at])
-        bucket.append((h >> np.uint64(64 - BITS)).astype(np.int64))
+        bucket.append(_bucket(h))
+    first = np.cumsum(size) - size
+    h = np.full(len(words), 2, np.uint64)
+    for n in range(1, STEMS.stop):
+        at = np.flatnonzero(size >= n)
+        h[at] = h[at] * np.uint64(0x100000001B3) + held[first[at] + n - 1] + np.uint64(1)
+        if n in STEMS:
+            who.append(np.repeat(at, STEM))
+            bucket.append(np.repeat(_bucket(h[at]), STEM))
     return np.concatenate(who), np.concatenate(bucket)
 
 
@@ -74,7 +87,7 @@ class Model:
     bias: float
 
 
-def fit(texts: list[bytes], labels: list[int], steps: int = 120, all_steps: int = 30, rate: float = 0.05, decay: float = 1e-5, seed: int = 7) -> Model:
+def fit(texts: list[bytes], labels: list[int], steps: int = 160, all_steps: int = 80, rate: float = 0.05, decay: float = 1e-5, seed: int = 7) -> Model:
     """Joint full-batch training (Adam) of the embeddings and the linear outputs."""
     y = np.array(labels, np.float64)
     if len(set(labels)) < 2:
@@ -159,7 +172,7 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 4 == 2
 
 
-def train(docs: DataFrame, labels: DataFrame, most_each: int = 1000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, most_each: int = 3000) -> Model:
     """Fit on at most ``most_each`` labelled documents of each class that are not held out."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = [known.where(F.col("toxic") == c).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(most_each) for c in (0, 1)]
