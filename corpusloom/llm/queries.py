@@ -65,7 +65,7 @@ def op9_mixing(spark, sf_dir):
 
 def op10_topk(spark, sf_dir):
     """Twenty best inner products of each vector whose id is divisible by 20; invalid vectors take no part."""
-    v = topk.quantized(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    v = topk.placed(topk.quantized(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"))
     return topk.top_k(v, v.where(F.col("id") % 20 == 0), k=20)
 
 
@@ -87,10 +87,10 @@ def op13_lmscore(spark, sf_dir):
 
 
 OP10_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+WITH v AS (SELECT vec_id, row_number() OVER () AS row_, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+s AS (SELECT q.row_, q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.row_ <> c.row_),
+r AS (SELECT *, row_number() OVER (PARTITION BY row_ ORDER BY score DESC, vec_id)::INT AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 

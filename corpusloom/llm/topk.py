@@ -14,8 +14,8 @@ over when their bound lies below it. Cells return their k best per query, which
 query merges.
 
 Defined results: vectors that are null or hold null, NaN or infinite components take no part.
-Rows that repeat an id are candidates each, and queries each under the one id (their lists are
-merged); rows of the query's own id are left out. Null ids take no part. Vectors of different
+Rows that repeat an id are candidates each; as queries each has a list of its own under the one
+id, and its own row is left out (without ``place`` their lists are merged, and all rows of the id left out). Null ids take no part. Vectors of different
 length are compared as if padded with zeros. Components and scores beyond a long are an error, not
 clipped. An empty table gives no rows. Ties go to the smaller id. Other columns are not read.
 """
@@ -40,6 +40,11 @@ def quantized(df: DataFrame, id_col: str, vec_col: str, scale: float = 64.0) ->
     return given.where(F.col("id").isNotNull() & F.col("x").isNotNull() & ~F.coalesce(bad, F.lit(False))).select("id", F.transform("x", whole).alias("v"))
 
 
+def placed(vectors: DataFrame) -> DataFrame:
+    """``vectors`` stored with ``place``, which tells rows of one id apart."""
+    return Scratch(vectors.sparkSession).stored(vectors.withColumn("place", F.monotonically_increasing_id()), "vectors")
+
+
 def _matrix(column: pa.ListArray, dims: int) -> np.ndarray:
     sizes = np.diff(column.offsets.to_numpy())
     out = np.zeros((len(column), dims), np.int64)
@@ -48,10 +53,14 @@ def _matrix(column: pa.ListArray, dims: int) -> np.ndarray:
     return out
 
 
-def search_cell(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray, k: int, block: int = 256, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(places of queries, vector ids, scores): the k best of each query within the cell that reach its ``floor``, exact, ties to smaller ids."""
+def search_cell(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray, k: int, block: int = 256, floor: np.ndarray | None = None, q_row: np.ndarray | None = None, v_row: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places of queries, vector ids, scores): the k best of each query within the cell that reach its ``floor``, exact, ties to smaller ids.
+
+    ``q_row``, ``v_row``: what tells rows apart, by default their ids; a query's own row is no candidate.
+    """
+    q_row, v_row = (qid if q_row is None else q_row), (vid if v_row is None else v_row)
     order = np.argsort(vid, kind="stable")
-    vid, v = vid[order], v[order]
+    vid, v, v_row = vid[order], v[order], v_row[order]
     reach = float(np.abs(q).sum(1).max(initial=0)) * float(np.abs(v).max(initial=0))
     kind = np.float64 if reach < 2**52 else np.int64 if reach < 2**62 else object  # float64 sums of integers below 2**53 are exact, and use BLAS; objects are whole numbers of any size
     q, v = q.astype(kind), v.astype(kind)
@@ -74,7 +83,7 @@ def search_cell(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray,
         for x in np.unique(b[live]):
             rows = np.flatnonzero(live & (b == x))
             mine = vid[starts[x] : starts[x] + block]
-            own = mine[None, :] == qid[rows][:, None]
+            own = v_row[starts[x] : starts[x] + block][None, :] == q_row[rows][:, None]
             s = np.where(own, 0, q[rows] @ v[starts[x] : starts[x] + block].T).astype(np.int64)
             alls = np.concatenate([best[rows], np.where(own, least, s)], axis=1)
             alli = np.concatenate([ids[rows], np.where(own, np.iinfo(np.int64).max, np.broadcast_to(mine, s.shape))], axis=1)
@@ -91,10 +100,15 @@ def search_cell(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray,
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, rows_per_cell: int = 16384, queries_per_cell: int = 65536, block: int = 256) -> DataFrame:
-    """Search ``queries`` (id, v) against ``vectors`` (id, v): query_id, rank, vec_id, score."""
+    """Search ``queries`` (id, v) against ``vectors`` (id, v): query_id, rank, vec_id, score.
+
+    Rows of a query's id are left out; if both have a column ``place`` (see ``placed``), only the query's own row is.
+    """
     scratch = Scratch(vectors.sparkSession)
-    vectors = scratch.stored(vectors.withColumn("place", F.monotonically_increasing_id()), "vectors")
-    queries = scratch.stored(queries.withColumn("place", F.monotonically_increasing_id()), "queries")
+    same = "place" in vectors.columns and "place" in queries.columns
+    if not same:
+        vectors = scratch.stored(vectors.withColumn("place", F.monotonically_increasing_id()), "vectors")
+        queries = scratch.stored(queries.withColumn("place", F.monotonically_increasing_id()), "queries")
     n_v, n_q = vectors.count(), queries.count()
     rows, cols = max(1, -(-n_v // rows_per_cell)), max(1, -(-n_q // queries_per_cell))
     of_row = F.pmod(F.xxhash64(F.floor(F.col("place") / block)), F.lit(rows))
@@ -110,7 +124,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, rows_per_cell: in
         if not q.num_rows or not v.num_rows:
             return pa.table({"place": pa.array([], pa.int64()), "query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
         floor = q["floor"].combine_chunks().fill_null(none).to_numpy()
-        at, vec, score = search_cell(q["id"].to_numpy(), _matrix(q["v"].combine_chunks(), dims), v["id"].to_numpy(), _matrix(v["v"].combine_chunks(), dims), k, block, floor)
+        at, vec, score = search_cell(q["id"].to_numpy(), _matrix(q["v"].combine_chunks(), dims), v["id"].to_numpy(), _matrix(v["v"].combine_chunks(), dims), k, block, floor, *((q["place"].to_numpy(), v["place"].to_numpy()) if same else ()))
         return pa.table({"place": q["place"].to_numpy()[at], "query_id": q["id"].to_numpy()[at], "vec_id": vec, "score": score})
 
     schema = "place long, query_id long, vec_id long, score long"
@@ -122,5 +136,5 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, rows_per_cell: in
         kth = found.groupBy(F.col("place").alias("p")).agg(F.min("score").alias("floor"), F.count("*").alias("n")).where(F.col("n") >= k).select("p", "floor")
         floored = queries.join(kth, F.col("place") == F.col("p"), "left").select("place", "id", "v", "floor")
         found = found.union(search(dealt_v.where("r > 0"), dealt_q(floored, 1, rows - 1)))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("place" if same else "query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

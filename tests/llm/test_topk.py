@@ -77,3 +77,12 @@ def test_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     v = quantized(df, "vec_id", "embedding")
     assert top_k(v, v.where("id % 20 = 0"), 5).count() == 0
+
+
+def test_a_query_is_no_candidate_of_its_own_row_alone(spark):
+    from corpusloom.llm.topk import placed
+
+    rows = [(20, [3.0, 0.0]), (20, [1.0, 0.0]), (21, [2.0, 0.0])]
+    v = placed(quantized(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding"))
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score // 4096) for r in top_k(v, v.where("id % 20 = 0"), 2).collect())
+    assert got == sorted([(20, 1, 21, 6), (20, 2, 20, 3), (20, 1, 20, 3), (20, 2, 21, 2)])
