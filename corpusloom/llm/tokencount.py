@@ -15,7 +15,8 @@ Other documents are cut at the same boundaries down to single words, whose count
 per Python worker holds; texts in which a cut is not proven (runs of spaces) and tokenizers of
 another build are encoded whole.
 
-Defined results: null and empty texts have 0 bytes and 0 tokens; special strings in a text count
+Defined results: null and empty texts have 0 bytes and 0 tokens; bytes that are no UTF-8 are counted as
+such and read as replacement characters, as the library takes only text; special strings in a text count
 as the library does by default; rows that repeat each return a row; an empty table gives no rows.
 """
 
@@ -151,7 +152,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
                 raw = list(raw_texts(part.column(1)))
-                n = count([x.decode() for x in raw])
+                n = count([x.decode("utf-8", "replace") for x in raw])
                 yield pa.record_batch([part.column(0), pa.array(map(len, raw), pa.int64()), pa.array(n, pa.int64()), pa.array([x > most for x in n], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))

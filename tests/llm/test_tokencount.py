@@ -54,3 +54,17 @@ def test_frame(spark):
     assert [(r.doc_id, r.n_bytes, r.over_limit) for r in got] == [(1, 0, False), (2, 0, False), (3, 4, False), (3, 4, False), (None, 6000, True), (4, 13, False)]
     assert [r.n_tokens for r in got] == [len(x) for x in truth([t or "" for _, t, _ in rows])]
     assert token_counts(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_invalid_bytes_and_long_texts_through_the_frame(spark):
+    import public_tokenizers
+    from pyspark.sql import functions as F
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    long_ = "word longer wörd  two 12345 " * 4000
+    df = spark.createDataFrame([(1, b"ok \xff\xfe end"), (2, long_.encode()), (3, b"")], "doc_id long, b binary").select("doc_id", F.col("b").cast("string").alias("text"), F.lit(1).alias("n_tokens"))
+    got = {r.doc_id: (r.n_bytes, r.n_tokens) for r in token_counts(df, path).collect()}
+    tok = Tokenizer.from_file(path)
+    count = lambda t: len(tok.encode(t, add_special_tokens=False).ids)
+    assert got == {1: (9, count("ok \ufffd\ufffd end")), 2: (len(long_.encode()), count(long_)), 3: (0, 0)}
