@@ -17,7 +17,7 @@ records and spreads over many parts. Payload and headers join by record id after
 Defined results: records without URL, date or id are unresolved; only ``response`` records with
 status 200 are full; equal dates go by record id; full rows that repeat an id count once (smallest
 URL); a revisit without an earlier full response is 'unresolved', one with other validators
-'mismatch', both without payload; empty tables give no rows; null headers are an empty map.
+'mismatch', both without payload; empty tables give no rows; null headers are an empty map; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -75,7 +75,7 @@ def resolve(records: DataFrame) -> DataFrame:
     records: record_id, url, date, kind ('response' or 'revisit'), status int, etag,
     last_modified, headers map<string,string>, payload.
     """
-    r = records.withColumn("url_key", canonical_url(F.col("url")))
+    r = records.select("record_id", "url", "date", "kind", "status", "etag", "last_modified", "headers", "payload").withColumn("url_key", canonical_url(F.col("url")))
     full = (F.col("kind") == "response") & (F.col("status") == 200)
     known = F.col("url_key").isNotNull() & F.col("date").isNotNull() & F.col("record_id").isNotNull()
     light = r.where(known & (full | (F.col("kind") == "revisit"))).select(F.col("url_key").alias("url"), "date", "record_id", F.coalesce(full, F.lit(False)).alias("is_full"))

@@ -53,3 +53,13 @@ def test_headers_and_empty(spark):
     assert got[2].headers == {"content-length": "9", "age": "5", "vary": "z"} and got[2].payload == "body"
     assert got[3].state == "mismatch" and got[3].headers == {} and got[3].payload is None
     assert warc.resolve(df.limit(0)).count() == 0
+
+
+def test_other_columns_of_any_name_and_long_payloads(spark):
+    from pyspark.sql import functions as F
+
+    pages = spark.createDataFrame([(1, "http://a.b/c", "x" * 3_000_000), (2, "http://a.b/d", None)], "page_id long, url string, html string")
+    plain = warc.records_of_pages(pages)
+    more = plain.withColumns({c: F.lit("z") for c in ("full_id", "f", "f_id", "url_key", "state", "r_id", "seen", "carry", "part", "is_full")})
+    rows = lambda df: sorted(map(str, warc.resolve(df).collect()))
+    assert rows(plain) == rows(more)
