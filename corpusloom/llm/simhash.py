@@ -2,8 +2,9 @@
 
 Two fingerprints that differ in at most 2r bits share a variant within r bits of both, so every
 fingerprint emits its whole ball of radius r (r = 2 over 64 bits: 2,081 variants) and those that
-meet on a variant are linked. Meeting proves the distance by the triangle inequality; it is
-verified all the same.
+meet on a variant are linked. Meeting proves the distance by the triangle inequality; where
+fingerprints collide on a variant, each is compared with the first all the same, and only those
+within 2r bits are linked.
 
 Scale: balls are shuffled as tries. The shuffle key is a variant's first ``prefix_bits`` bits, so
 a fingerprint travels once for each prefix that its ball reaches (79 rows at 12 bits) and not once
@@ -120,6 +121,9 @@ def _meet(fps: np.ndarray, variant: np.ndarray, who: np.ndarray, left: np.ndarra
             continue
         variant, who, left = variant[order], who[order], left[order]
         if depth == 64:
+            lead = who[np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))]
+            near = np.bitwise_count(fps[who] ^ fps[lead[np.unique(group, return_inverse=True)[1]]]) <= 4
+            who, group = who[near], group[near]
             first = np.concatenate([[True], group[1:] != group[:-1]])
             starts = np.flatnonzero(first)
             nth = np.cumsum(first) - 1
