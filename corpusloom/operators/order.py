@@ -30,22 +30,22 @@ def numbered(df: DataFrame, order: list[Column], by: list[str] = (), name: str =
     return held.join(offsets, same).withColumn(name, F.col("__at") + F.col("__move") + 1).drop("__at", "__part", "__in", "__move", *[f"__by{i}" for i in range(len(by))])
 
 
-def percentiles(df: DataFrame, value: str, points: dict[str, float], by: list[str] = (), linear: bool = False, tie: str | None = None) -> DataFrame:
-    """Exact order statistics of ``value`` within each group: sorted[int(p * (n - 1))], or between neighbours if ``linear``.
+def percentiles(df: DataFrame, value: str, points: dict[str, float], by: list[str] = (), linear: tuple[str, ...] = (), tie: str | None = None) -> DataFrame:
+    """Exact order statistics of ``value`` within each group: sorted[int(p * (n - 1))], or between neighbours for the points named in ``linear``.
 
     ``tie``: a column that tells equal values apart, so that a common value spreads over ranges, too. Null values take no part.
     """
     ranked = numbered(df.where(F.col(value).isNotNull()), [F.col(value), *([F.col(tie)] if tie else [])], by)
     at = {k: F.lit(float(p)) * (F.col("rank_of") - 1) for k, p in points.items()}
-    pick = lambda place: F.max(F.when(F.col("rank") == place + 1, F.col(value).cast("double" if linear else df.schema[value].dataType)))
+    pick = lambda place, kind: F.max(F.when(F.col("rank") == place + 1, F.col(value).cast(kind)))
 
     def statistic(k: str) -> Column:
         low = F.floor(at[k])
-        if not linear:
-            return pick(low).alias(k)
+        if k not in linear:
+            return pick(low, df.schema[value].dataType).alias(k)
         share = F.max(at[k] - low)
-        return (pick(low) + (pick(F.ceil(at[k])) - pick(low)) * share).alias(k)
+        return (pick(low, "double") + (pick(F.ceil(at[k]), "double") - pick(low, "double")) * share).alias(k)
 
-    wanted = [F.floor(x) + 1 for x in at.values()] + ([F.ceil(x) + 1 for x in at.values()] if linear else [])
+    wanted = [F.floor(x) + 1 for x in at.values()] + [F.ceil(at[k]) + 1 for k in linear]
     few = ranked.where(F.col("rank").isin(*wanted))
     return few.groupBy(*by).agg(*[statistic(k) for k in points])

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from corpusloom.functions import text as t
+from corpusloom.functions.dialect import DUCK, SPARK
+from corpusloom.operators import order
 from corpusloom.plans.query import Book
+from corpusloom.session import stored, table
 
 BOOK = Book()
 Q = BOOK.sql
@@ -23,9 +28,27 @@ TOKENS = lambda d: f"SELECT doc_id, {d.explode(t.tok_a(d))} AS w FROM documents"
 #: The pair a summary metric needs: the article and its first sentence.
 PAIRS = lambda d: f"SELECT doc_id, source, lang, text AS article, {d.get(t.sentences_raw(d), 1)} AS abstract FROM documents WHERE {d.size(t.sentences_raw(d))} > 0"
 
-Q("numeric_stats", "documents", lambda d: f"""
+
+
+def by_ranges(name, build, statistics):
+    """Register order statistics of the word counts of each language: in Spark by ranges, so that no task holds a language; the oracle ranks them plainly."""
+
+    def run(spark, sf_dir):
+        table(spark, sf_dir, "documents").createOrReplaceTempView("documents")
+        return statistics(stored(spark.sql(WORDS(SPARK)), "words"))
+
+    BOOK.frame(name, run, build(DUCK))
+
+
+def numeric_stats(words):
+    points = order.percentiles(words, "n", {"median": 0.5, "p25": 0.25, "p75": 0.75, "p95": 0.95, "p99": 0.99}, ["lang"], ("median",), "doc_id")
+    plain = words.groupBy("lang").agg(F.count("*").alias("count"), F.min("n").alias("min"), F.max("n").alias("max"), F.avg("n").alias("mean"), F.stddev_pop("n").alias("std"))
+    return plain.join(points, "lang")
+
+
+by_ranges("numeric_stats", lambda d: f"""
 WITH v AS ({WORDS(d)}), p AS ({floor_percentiles(d, 'v', 'n', (('p25', 0.25), ('p75', 0.75), ('p95', 0.95), ('p99', 0.99)), ('lang',))})
-SELECT a.*, p.p25, p.p75, p.p95, p.p99 FROM (SELECT lang, count(*) AS count, min(n) AS min, max(n) AS max, avg(n) AS mean, {d.median('n', 0.5)} AS median, stddev_pop(n) AS std FROM v GROUP BY lang) a JOIN p ON a.lang = p.lang""")
+SELECT a.*, p.p25, p.p75, p.p95, p.p99 FROM (SELECT lang, count(*) AS count, min(n) AS min, max(n) AS max, avg(n) AS mean, {d.median('n', 0.5)} AS median, stddev_pop(n) AS std FROM v GROUP BY lang) a JOIN p ON a.lang = p.lang""", numeric_stats)
 Q("linear_percentiles", "documents", lambda d: f"WITH v AS ({WORDS(d)}) SELECT coalesce(lang, 'all') AS split, {', '.join(f'{d.median('n', p)} AS p{int(p * 100)}' for p in (0.25, 0.5, 0.75, 0.95))}, count(*) AS n FROM v GROUP BY ROLLUP (lang)")
 Q("compression_stats", "documents", lambda d: f"""
 WITH p AS ({PAIRS(d)}), r AS (SELECT {d.double(t.n_words(d, 'abstract'))} / greatest(1, {t.n_words(d, 'article')}) AS r FROM p)
@@ -71,7 +94,7 @@ NAMES = ("chars", "words", "sentences", "vocab")
 Q("correlation_matrix", "documents", lambda d: f"WITH f AS ({FEATURES(d)}) SELECT {', '.join(f'round(coalesce(corr({a}, {b}), 0), 9) AS {a}_{b}' for i, a in enumerate(NAMES) for b in NAMES[i + 1 :])} FROM f")
 Q("linear_regression", "documents", lambda d: f"WITH f AS ({FEATURES(d)}) SELECT round(regr_slope(sentences, words), 9) AS slope, round(regr_intercept(sentences, words), 9) AS intercept, count(*) AS n FROM f")
 Q("subword_truncation", "documents", lambda d: f"WITH f AS (SELECT greatest(1, floor({d.size(t.tok_f(d))} * 1.25)) AS n FROM documents) SELECT {d.count_if('n > 1024')} AS over_1024, {d.count_if('n > 256')} AS over_256, {d.double('100')} * {d.count_if('n > 1024')} / count(*) AS pct_1024, avg(n) AS mean FROM f")
-Q("dataset_split_stats", "documents", lambda d: f"WITH v AS ({WORDS(d)}), p AS ({floor_percentiles(d, 'v', 'n', (('p95', 0.95),), ('lang',))}) SELECT a.lang AS split, a.n, a.mean_words, p.p95 FROM (SELECT lang, count(*) AS n, avg(n) AS mean_words FROM v GROUP BY lang) a JOIN p ON a.lang = p.lang")
+by_ranges("dataset_split_stats", lambda d: f"WITH v AS ({WORDS(d)}), p AS ({floor_percentiles(d, 'v', 'n', (('p95', 0.95),), ('lang',))}) SELECT a.lang AS split, a.n, a.mean_words, p.p95 FROM (SELECT lang, count(*) AS n, avg(n) AS mean_words FROM v GROUP BY lang) a JOIN p ON a.lang = p.lang", lambda words: words.groupBy("lang").agg(F.count("*").alias("n"), F.avg("n").alias("mean_words")).join(order.percentiles(words, "n", {"p95": 0.95}, ["lang"], tie="doc_id"), "lang").withColumnRenamed("lang", "split"))
 Q("dataset_top_tokens", "documents", lambda d: f"SELECT w AS word, count(*) AS n FROM (SELECT {d.explode(d.slice(t.tok_a(d), '1', '200'))} AS w FROM (SELECT text FROM documents ORDER BY doc_id LIMIT 500) x) k GROUP BY w ORDER BY n DESC, word LIMIT 30")
 Q("keywords", "documents", lambda d: f"SELECT w AS word, count(*) AS n, {d.double('count(*)')} / sum(count(*)) OVER () AS weight FROM ({TOKENS(d)}) k WHERE length(w) > 2 AND NOT {d.rx_like('w', '^[0-9]+$')} AND w NOT IN ({', '.join(d.lit(x) for x in t.STOP_WORDS)}) GROUP BY w ORDER BY n DESC, word LIMIT 20")
 Q("coverage_proxy", "documents", lambda d: f"WITH p AS ({PAIRS(d)}), s AS (SELECT doc_id, article, abstract, {d.distinct(t.tok_b(d, 'article'))} AS a, {d.distinct(t.tok_b(d, 'abstract'))} AS b FROM p) SELECT doc_id, {t.ratio(d, d.size(d.intersect('a', 'b')), d.size('a'))} AS coverage, {t.ratio(d, 'length(abstract)', 'length(article)')} AS length_ratio FROM s")
@@ -107,10 +130,6 @@ Q("remove_repeated_headers", "documents", lambda d: f"""
 WITH l AS (SELECT doc_id, source, lower(trim(raw)) AS line FROM (SELECT doc_id, source, {d.explode(d.rx_split(t.text(d), '\\n'))} AS raw FROM documents) x),
 c AS (SELECT source, line, count(*) AS n, min(doc_id) AS a, max(doc_id) AS z FROM l GROUP BY source, line)
 SELECT source, {d.long('sum(n)')} AS kept FROM c WHERE NOT coalesce(length(line) BETWEEN 1 AND 120 AND a < z AND source IS NOT NULL, false) GROUP BY source""")
-Q("merge_candidates", "documents", lambda d: f"""
-WITH v AS (SELECT 1 AS variant, doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS r FROM documents UNION ALL SELECT 2, doc_id, row_number() OVER (ORDER BY doc_id) FROM documents),
-t AS (SELECT * FROM v WHERE r <= 30), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY variant, r) AS nth FROM t)
-SELECT doc_id, variant, {d.long('r')} AS r FROM k WHERE nth = 1""")
 Q("url_dedup", "pages", lambda d: f"SELECT page_id, u FROM (SELECT page_id, u, row_number() OVER (PARTITION BY u ORDER BY page_id) AS nth FROM (SELECT page_id, {d.rx_rep('url', '[?#].*$', '')} AS u FROM pages) x) y WHERE nth = 1")
 
 

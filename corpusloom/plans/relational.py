@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from corpusloom.functions import text as t
+from corpusloom.functions.dialect import DUCK
+from corpusloom.operators import order
 from corpusloom.plans.corpus import SENTENCES
 from corpusloom.plans.query import Book
+from corpusloom.session import table
 
 BOOK = Book()
 Q = BOOK.sql
@@ -38,14 +43,18 @@ Q("self_adjacent", "documents", lambda d: f"SELECT doc_id, i, {d.size(d.intersec
 Q("cross_alg_metrics", "lineitem", lambda d: f"SELECT metric, avg(v) AS mean, count(*) AS n FROM (SELECT 'quantity' AS metric, l_quantity AS v FROM lineitem UNION ALL SELECT 'discount', l_discount FROM lineitem UNION ALL SELECT 'tax', l_tax FROM lineitem) x GROUP BY metric".replace("avg(v)", "round(avg(v), 9)"))
 
 # windows and ranking
-Q("rank_results", "events", lambda d: f"SELECT run_id, algorithm, {d.long('row_number() OVER (ORDER BY CASE WHEN algorithm = {0} THEN 1 ELSE 0 END, rouge_l DESC, latency, run_id)'.format(d.lit('view')))} AS rank FROM ({RUNS}) r")
-Q("dense_rank_positions", "embeddings", lambda d: "SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS pos FROM embeddings")
+
+
+def rank_results(spark, sf_dir):
+    """All runs in order; in Spark by ranges, the oracle by one window."""
+    table(spark, sf_dir, "events").createOrReplaceTempView("events")
+    runs = spark.sql(RUNS)
+    ranked = order.numbered(runs, [F.when(F.col("algorithm") == "view", 1).otherwise(0), F.desc("rouge_l"), F.col("latency"), F.col("run_id")])
+    return ranked.select("run_id", "algorithm", "rank")
+
+
+BOOK.frame("rank_results", rank_results, f"SELECT run_id, algorithm, {DUCK.long('row_number() OVER (ORDER BY CASE WHEN algorithm = {0} THEN 1 ELSE 0 END, rouge_l DESC, latency, run_id)'.format(DUCK.lit('view')))} AS rank FROM ({RUNS}) r")
 Q("per_doc_topk", "documents", lambda d: f"SELECT doc_id, i, words FROM (SELECT doc_id, i, words, row_number() OVER (PARTITION BY doc_id ORDER BY words DESC, i) AS nth FROM (SELECT doc_id, i, {d.long(t.n_words(d, 's'))} AS words FROM ({SENTENCES(d)}) x) y) z WHERE nth <= 3")
-Q("coverage_backfill", "documents", lambda d: """
-WITH pool AS (SELECT doc_id, source, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS r FROM documents), top AS (SELECT * FROM pool WHERE r <= 8),
-need AS (SELECT s.source, 2 - coalesce(c.n, 0) AS need FROM (SELECT DISTINCT source FROM documents) s LEFT JOIN (SELECT source, count(*) AS n FROM top GROUP BY source) c ON s.source = c.source),
-rest AS (SELECT p.*, row_number() OVER (PARTITION BY p.source ORDER BY p.r) AS nth FROM pool p WHERE NOT EXISTS (SELECT 1 FROM top x WHERE x.doc_id = p.doc_id))
-SELECT doc_id, source, 'top' AS how FROM top UNION ALL SELECT rest.doc_id, rest.source, 'fill' FROM rest JOIN need ON rest.source = need.source WHERE nth <= need""")
 Q("topn_per_model", "events", lambda d: f"SELECT algorithm, run_id, rouge_l FROM (SELECT *, row_number() OVER (PARTITION BY algorithm ORDER BY rouge_l DESC, run_id) AS nth FROM ({RUNS}) r) x WHERE nth <= 5")
 Q("argmax_group", "events", lambda d: f"SELECT algorithm, run_id AS best FROM (SELECT *, row_number() OVER (PARTITION BY algorithm ORDER BY rouge_l DESC, latency, run_id) AS nth FROM ({RUNS}) r) x WHERE nth = 1")
 #: The document's sentence count and a word's sentence count are windows over the sentences' words: one shuffle by document, no join.

@@ -21,7 +21,7 @@ def postings(d):
     return f"SELECT doc_id, source, dl, w, {d.double('count(*)')} AS tf FROM ({words}) y WHERE w = '' OR w IN ({asked}) GROUP BY doc_id, source, dl, w"
 
 
-def base(d):
+def base(d, asked="SELECT item_id AS qid, {words} AS qt FROM benchmark"):
     """A query for each benchmark item (its first twelve words) over the chunk set of all documents.
 
     Statistics are those of the candidate set; query words count as often as they occur; scores are
@@ -31,7 +31,7 @@ def base(d):
     """
     held = "" if d.name == "spark" else f"postings AS ({postings(d)}),"
     return f"""{held}
-q AS (SELECT item_id AS qid, {d.slice(t.tok_c(d), '1', '12')} AS qt FROM benchmark),
+q AS ({asked.format(words=d.slice(t.tok_c(d), '1', '12'))}),
 qw AS (SELECT qid, w, qtf, count(*) OVER (PARTITION BY qid) AS n FROM (SELECT qid, w, count(*) AS qtf FROM (SELECT qid, {d.explode('qt')} AS w FROM q) x GROUP BY qid, w) y),
 st AS (SELECT {d.double('count(*)')} AS n, avg(dl) AS avgdl FROM postings WHERE w = ''), df AS (SELECT w, {d.double('count(*)')} AS df FROM postings WHERE w <> '' GROUP BY w),
 raw AS (SELECT /*+ MERGE(tf, qw, df) */ qw.qid, tf.doc_id, tf.source, round(sum(qw.qtf * ln((st.n - df.df + 0.5e0) / (df.df + 0.5e0) + 1) * tf.tf * {K1 + 1}e0 / (tf.tf + {K1}e0 * (1 - {B}e0 + {B}e0 * tf.dl / st.avgdl))), 9) AS s, {d.double('count(*)')} / max(qw.n) AS cov
@@ -100,7 +100,50 @@ ranked("semantic_search", lambda d: f"WITH {base(d)} SELECT qid, doc_id, source,
 Q("attach_citations", "documents", lambda d: f"WITH s AS ({SENTENCES(d)}) SELECT doc_id, concat('[', i, '] ', substring(s, 1, 40)) AS citation FROM s WHERE i <= 3")
 ranked("merge_fact_chunks", lambda d: f"WITH {base(d)} SELECT DISTINCT doc_id FROM kept UNION SELECT doc_id FROM documents x WHERE {d.rx_like(t.text(d), '[0-9]{5,}')}")
 Q("query_focus", "conversations", lambda d: f"SELECT conv_id, turn, CASE WHEN {d.rx_like(f'lower({t.text(d)})', 'how many|combien|cuántos|wie viele|[0-9]')} THEN 'number' WHEN {d.rx_like(f'lower({t.text(d)})', 'who|qui|quién|wer')} THEN 'person' ELSE 'general' END AS focus, {d.join(d.slice(d.filter(t.tok_c(d), 'length(y) > 3', 'y'), '1', '5'), ' ')} AS terms FROM conversations WHERE role = 'user'")
-Q("expand_query", "conversations", lambda d: f"SELECT conv_id, turn, {d.rx_rep(t.text(d), '[?]+ *$', '')} AS plain, {d.join(d.slice(t.tok_e(d), f'greatest(1, {t.n_words(d)} - 3)', '4'), ' ')} AS last_words FROM conversations WHERE role = 'user'")
+#: Rewrites of questions, the first that fits counts; fewest words of a query that is expanded, and of one whose last words stand for it.
+REWRITES = (
+    ("là gì", "được định nghĩa như thế nào"),
+    ("bao nhiêu", "số liệu"),
+    ("tại sao", "nguyên nhân"),
+    ("khi nào", "thời gian"),
+    ("ai là", "vai trò"),
+    ("khác nhau", "so sánh điểm khác biệt"),
+    ("giống nhau", "điểm tương đồng"),
+    ("ưu điểm", "lợi ích"),
+    ("nhược điểm", "hạn chế"),
+    ("mục tiêu", "mục đích"),
+)
+EXPANDED_WORDS, CORE_WORDS, CORE, MOST_VARIANTS = 3, 6, 4, 2
+
+
+def variants(d, x="text"):
+    """Up to two other wordings of the query ``x``: a rewrite, the question without its mark, and if there is neither the last words of a long one."""
+    q = d.rx_rep(t.text(d, x), "^\\s+|\\s+$", "")
+    low, words = f"lower({q})", d.rx_all(q, t.WORD_U)
+    cut = lambda a, b: f"concat(substring({low}, 1, {d.pos(d.lit(a), low)} - 1), {d.lit(b)}, substring({low}, {d.pos(d.lit(a), low)} + {len(a)}))"
+    rewrite = "CASE " + " ".join(f"WHEN {d.pos(d.lit(a), low)} > 0 THEN {cut(a, b)}" for a, b in REWRITES) + " END"
+    plain = f"CASE WHEN {d.rx_like(q, '[?]$')} THEN {d.rx_rep(q, '[?]+$', '')} END"
+    core = f"CASE WHEN {d.size(words)} >= {CORE_WORDS} AND {rewrite} IS NULL AND {plain} IS NULL THEN {d.join(d.slice(words, f'greatest(1, {d.size(words)} - {CORE - 1})', str(CORE)), ' ')} END"
+    tidy = lambda v: d.rx_rep(v, "^\\s+|\\s+$", "")
+    found = d.filter(d.array(tidy(rewrite), tidy(plain), core), f"v IS NOT NULL AND v <> '' AND lower(v) <> {low}", "v")
+    return f"CASE WHEN {d.size(words)} < {EXPANDED_WORDS} THEN {d.empty()} ELSE {d.slice(found, '1', str(MOST_VARIANTS))} END"
+
+
+Q("expand_query", "conversations", lambda d: f"SELECT conv_id, turn, {d.join('v', ' | ')} AS variants, {d.size('v')} AS n FROM (SELECT conv_id, turn, {variants(d)} AS v FROM conversations WHERE role = 'user') x")
+#: Each query in two wordings, the item's words and its last four of them.
+WORDINGS = lambda d: f"SELECT item_id * 2 AS qid, w AS qt FROM (SELECT item_id, {{words}} AS w FROM benchmark) w1 UNION ALL SELECT item_id * 2 + 1, {d.slice('w', f'greatest(1, {d.size("w")} - 3)', '4')} FROM (SELECT item_id, {{words}} AS w FROM benchmark) w2"
+ranked("merge_candidates", lambda d: f"WITH {base(d, WORDINGS(d))}, v AS (SELECT {d.long('floor(qid / 2)')} AS item_id, qid % 2 AS wording, doc_id, rb FROM rk WHERE rb <= 30) SELECT item_id, doc_id, {d.long('wording')} AS wording, {d.long('rb')} AS r FROM (SELECT *, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY wording, rb) AS nth FROM v) x WHERE nth = 1")
+ranked("dense_rank_positions", lambda d: f"WITH {base(d)} SELECT qid, doc_id, {d.long('rd')} AS pos FROM rk WHERE rd <= 50")
+#: The sources that a user chose, how many chunks of each the context must hold, and the size of the pool.
+CHOSEN, LEAST_EACH = "('src0', 'src1', 'src2')", 2
+ranked("coverage_backfill", lambda d: f"""
+WITH {base(d)}, p AS (SELECT qid, doc_id, source, row_number() OVER (PARTITION BY qid ORDER BY round(combined, 9) DESC, doc_id) AS pos FROM rrf),
+f AS (SELECT *, row_number() OVER (PARTITION BY qid, source ORDER BY pos) AS nth FROM p) SELECT qid, doc_id, source, CASE WHEN pos <= 8 THEN 'top' ELSE 'fill' END AS how FROM f WHERE pos <= 8 OR source IN {CHOSEN} AND nth <= {LEAST_EACH}""")
+#: Fixed value: the share of a query's words from which a chunk counts as relevant.
+RELEVANT = 0.55
+ranked("retrieval_metrics", lambda d: f"""
+WITH {base(d)}, r AS (SELECT qid, rb AS rank, CASE WHEN dense >= {RELEVANT}e0 THEN 1 ELSE 0 END AS rel FROM rk), n AS (SELECT qid, rank, rel, sum(rel) OVER (PARTITION BY qid) AS total FROM r)
+SELECT qid, {d.double('sum(rel)')} / 10 AS precision_10, {d.double('sum(rel)')} / greatest(1, max(total)) AS recall_10, max(CASE WHEN rel = 1 THEN 1e0 / rank ELSE 0e0 END) AS mrr, max(rel) AS hit, round(sum(rel / log2(rank + 1e0)), 9) AS dcg FROM n WHERE rank <= 10 GROUP BY qid""")
 ranked("agentic_retry", lambda d: f"WITH {base(d)}, best AS (SELECT qid, max(rerank) AS top FROM kept GROUP BY qid) SELECT qid, CASE WHEN top >= 0.5e0 THEN 0 WHEN top >= 0.42e0 THEN 1 ELSE 2 END AS retries, greatest(0.1e0, 0.25e0 - 0.08e0 * CASE WHEN top >= 0.5e0 THEN 0 WHEN top >= 0.42e0 THEN 1 ELSE 2 END) AS threshold FROM best")
 Q("multi_doc_summary", "documents", lambda d: f"SELECT source, md5({d.join(d.collect('lead', 'doc_id'), ' ')}) AS summary, count(*) AS n FROM (SELECT doc_id, source, {d.get(t.sentences_raw(d), 1)} AS lead FROM documents) x WHERE lead IS NOT NULL GROUP BY source")
 Q("assets", "documents", lambda d: f"SELECT doc_id, concat('Q: ', {t.first_words(d, 'text', 6)}, '?') AS flashcard, {d.join(d.slice(d.filter(t.tok_d(d), 'length(y) > 5', 'y'), '1', '5'), ', ')} AS slide FROM documents")

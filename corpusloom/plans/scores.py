@@ -89,9 +89,6 @@ c AS (SELECT doc_id, g, sum(x) AS c, sum(y) AS y, max(sum(x)) OVER (PARTITION BY
 SELECT doc_id, g AS token, weight FROM (SELECT doc_id, g, {d.double('c')} / top AS weight, row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, g) AS nth FROM c WHERE c > 0 AND y > 0) x WHERE nth <= 40""")
 Q("length_controls", "documents", lambda d: f"SELECT doc_id, greatest(1, {d.long(f'floor({t.n_words(d)} * 0.2)')}) AS target_20, least(512, greatest(32, {d.long(f'floor({t.n_words(d)} * 0.5)')})) AS target_50, CASE WHEN {t.n_words(d)} < 300 THEN 'short' WHEN {t.n_words(d)} < 1500 THEN 'medium' ELSE 'long' END AS preset FROM documents")
 Q("dynamic_top_k", "conversations", lambda d: f"SELECT conv_id, turn, greatest(3, least(12, 8 + CASE WHEN {t.n_words(d)} <= 6 THEN -1 WHEN {t.n_words(d)} >= 20 THEN 1 ELSE 0 END)) AS k FROM conversations")
-Q("retrieval_metrics", "embeddings", lambda d: f"""
-WITH r AS (SELECT label AS q, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rank, CASE WHEN vec_id % 3 = 0 THEN 1 ELSE 0 END AS rel FROM embeddings), k AS (SELECT * FROM r WHERE rank <= 10), n AS (SELECT q, sum(rel) AS total FROM r GROUP BY q)
-SELECT k.q, {d.double('sum(rel)')} / 10 AS precision_10, {d.double('sum(rel)')} / greatest(1, max(total)) AS recall_10, max(CASE WHEN rel = 1 THEN 1e0 / rank ELSE 0e0 END) AS mrr, max(rel) AS hit, round(sum(rel / log2(rank + 1e0)), 9) AS dcg FROM k JOIN n ON k.q = n.q GROUP BY k.q""")
 Q("keyword_faithfulness", "documents", lambda d: f"SELECT doc_id, least(1e0, {d.double(d.size(d.filter(d.array(*(d.lit(w) for w in ('the', 'la', 'der', 'que', 'of'))), d.has(t.tok_c(d), 'k'), 'k')))} / 5) AS score FROM documents")
 Q("entities", "documents", lambda d: f"SELECT doc_id, kind, count(DISTINCT lower(e)) AS n FROM (SELECT doc_id, 'number' AS kind, {d.explode(d.rx_all(t.text(d), '[0-9]+(?:[.,][0-9]+)?'))} AS e FROM documents UNION ALL SELECT doc_id, 'proper', {d.explode(d.rx_all(t.text(d), '[A-Z][a-zà-ỹ]+(?: [A-Z][a-zà-ỹ]+)+'))} FROM documents) x GROUP BY doc_id, kind")
 Q("facts", "documents", lambda d: f"SELECT doc_id, fact FROM (SELECT doc_id, fact, row_number() OVER (PARTITION BY fact ORDER BY doc_id) AS nth FROM (SELECT DISTINCT doc_id, {d.explode(d.rx_all(t.text(d), '[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]+(?:[.,][0-9]+)? ?%|[0-9]{5,}'))} AS fact FROM documents) x) y WHERE nth = 1")
@@ -113,7 +110,24 @@ Q("extractive_explanations", "documents", lambda d: f"WITH {TFIDF(d)}, k AS (SEL
 
 
 Q("prepare_sentences", "documents", lambda d: f"SELECT doc_id, i, s FROM (SELECT doc_id, i, s, row_number() OVER (PARTITION BY doc_id, substring(lower(s), 1, 160) ORDER BY i) AS nth FROM ({SENTENCES(d)}) x WHERE NOT {t.editorial_line(d, 's')}) y WHERE nth = 1")
-Q("chunk_graph", "documents", lambda d: f"SELECT doc_id, i AS source_, nxt AS target_ FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM ({SENTENCES(d)}) x WHERE i <= 24) y WHERE nxt IS NOT NULL")
+Q("chunk_graph", "documents", lambda d: f"SELECT doc_id, i AS source_, nxt AS target_ FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM ({SENTENCES(d)}) x) y WHERE nxt IS NOT NULL")
+#: Entities and keywords of a graph, and the weight of an edge between entities.
+MOST_ENTITIES, MOST_KEYWORDS, ENTITY_WEIGHT = 30, 8, 0.4
+
+
+def entity_graph(d):
+    """Edges of each document's graph: from its first entity to the others and to its keywords. Entities by how often they occur, then by name; a keyword weighs its share of the words."""
+    number, proper = "[0-9]+(?:[.,][0-9]+)?", "[A-Z][a-zà-ỹ]+(?: [A-Z][a-zà-ỹ]+)+"
+    return f"""
+WITH e AS (SELECT doc_id, label, kind, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, label, kind) AS nth FROM (SELECT doc_id, label, kind, count(*) AS n FROM (
+  SELECT doc_id, {d.explode(d.rx_all(t.text(d), number))} AS label, 'number' AS kind FROM documents UNION ALL SELECT doc_id, {d.explode(d.rx_all(t.text(d), proper))}, 'proper' FROM documents) x GROUP BY doc_id, label, kind) y),
+c AS (SELECT doc_id, w, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, w) AS nth, {d.double('n')} / sum(n) OVER (PARTITION BY doc_id) AS share FROM (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, {d.explode(t.tok_a_content(d))} AS w FROM documents) z WHERE length(w) > 2 GROUP BY doc_id, w) k),
+n AS (SELECT doc_id, nth AS place, label, kind, {ENTITY_WEIGHT}e0 AS weight FROM e WHERE nth <= {MOST_ENTITIES} UNION ALL SELECT doc_id, {MOST_ENTITIES} + nth, w, 'concept', round(share, 9) FROM c WHERE nth <= {MOST_KEYWORDS}),
+h AS (SELECT *, first_value(label) OVER (PARTITION BY doc_id ORDER BY place) AS head, first_value(place) OVER (PARTITION BY doc_id ORDER BY place) AS first FROM n)
+SELECT doc_id, head AS source_, label AS target_, kind, weight FROM h WHERE place > first OR kind = 'concept'"""
+
+
+Q("entity_graph", "documents", entity_graph)
 Q("mindmap", "documents", lambda d: f"SELECT source AS parent, w AS child, n FROM (SELECT source, w, n, row_number() OVER (PARTITION BY source ORDER BY n DESC, w) AS nth FROM (SELECT source, w, count(*) AS n FROM (SELECT source, {d.explode(t.tok_d(d))} AS w FROM documents) x WHERE length(w) > 3 GROUP BY source, w) y) z WHERE nth <= 6")
 
 # vectors
