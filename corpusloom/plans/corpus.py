@@ -130,6 +130,25 @@ Q("remove_repeated_headers", "documents", lambda d: f"""
 WITH l AS (SELECT doc_id, source, lower(trim(raw)) AS line FROM (SELECT doc_id, source, {d.explode(d.rx_split(t.text(d), '\\n'))} AS raw FROM documents) x),
 c AS (SELECT source, line, count(*) AS n, min(doc_id) AS a, max(doc_id) AS z FROM l GROUP BY source, line)
 SELECT source, {d.long('sum(n)')} AS kept FROM c WHERE NOT coalesce(length(line) BETWEEN 1 AND 120 AND a < z AND source IS NOT NULL, false) GROUP BY source""")
+#: Words that a summariser takes at once, the default one's, and how many chunks of a document.
+CHUNK_WORDS, MOST_CHUNKS = {"syllables": 307, "multilingual": 491, "other": 563}, 16
+
+
+def word_chunks(d, most="multilingual"):
+    """Sentences packed to a number of words, as a fold over the array of sentences; the oracle walks them by recursion. A text without sentences is one chunk."""
+    size, words = CHUNK_WORDS[most], d.size(t.tok_e(d, "s"))
+    s = f"SELECT doc_id, {t.text(d)} AS text, {t.sentences_raw(d)} AS a FROM documents"
+    if d.name == "spark":
+        start = "named_struct('done', cast(array() AS array<string>), 'cur', cast(NULL AS string), 'n', 0)"
+        step = f"CASE WHEN f.cur IS NOT NULL AND f.n + {words} > {size} THEN named_struct('done', array_append(f.done, f.cur), 'cur', s, 'n', {words}) ELSE named_struct('done', f.done, 'cur', concat_ws(' ', f.cur, s), 'n', f.n + {words}) END"
+        fold = f"aggregate(a, {start}, (f, s) -> {step}, f -> CASE WHEN f.cur IS NULL THEN array(text) ELSE array_append(f.done, f.cur) END)"
+        return f"SELECT doc_id, posexplode(slice({fold}, 1, {MOST_CHUNKS})) AS (index, text) FROM ({s}) x"
+    walk = f"SELECT w.doc_id, i + 1, CASE WHEN i > 0 AND n + c[i + 1] > {size} THEN chunk + 1 ELSE chunk END, CASE WHEN i > 0 AND n + c[i + 1] > {size} THEN c[i + 1] ELSE n + c[i + 1] END FROM w JOIN s ON s.doc_id = w.doc_id WHERE i < len(c)"
+    return f"""WITH RECURSIVE s AS (SELECT doc_id, text, a, list_transform(a, lambda s: {words}) AS c FROM ({s}) x), w AS (SELECT doc_id, 0 AS i, 0 AS chunk, 0::BIGINT AS n FROM s UNION ALL {walk})
+SELECT s.doc_id, chunk AS index, string_agg(a[i], ' ' ORDER BY i) AS text FROM w JOIN s ON s.doc_id = w.doc_id WHERE i > 0 AND chunk < {MOST_CHUNKS} GROUP BY s.doc_id, chunk UNION ALL SELECT doc_id, 0, text FROM s WHERE len(a) = 0"""
+
+
+Q("chunk_words_sentences", "documents", word_chunks)
 Q("url_dedup", "pages", lambda d: f"SELECT page_id, u FROM (SELECT page_id, u, row_number() OVER (PARTITION BY u ORDER BY page_id) AS nth FROM (SELECT page_id, {d.rx_rep('url', '[?#].*$', '')} AS u FROM pages) x) y WHERE nth = 1")
 
 

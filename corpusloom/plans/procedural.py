@@ -10,10 +10,11 @@ from corpusloom.functions import arrow
 from corpusloom.functions import letters as rules
 from corpusloom.functions.dialect import DUCK, SPARK
 from corpusloom.functions.text import col, sentences_raw
-from corpusloom.operators import chunk, cluster, letters, retrieve, summarize
-from corpusloom.plans import retrieval
+from corpusloom.operators import chunk, cluster, graph, letters, retrieve, summarize
+from corpusloom.plans import retrieval, scores
+from corpusloom.plans.corpus import SENTENCES
 from corpusloom.plans.query import Book
-from corpusloom.session import table, work_dir
+from corpusloom.session import stored, table, work_dir
 from corpusloom.streaming.daily import daily, run_daily_stream
 
 BOOK = Book()
@@ -46,10 +47,32 @@ add("extractive_parallel", lambda s, d: summarize.summarize(docs(s, d), "textran
 add("select_summary", lambda s, d: summarize.summarize(docs(s, d), "tfidf", 5))
 add("extractive_score_table", lambda s, d: summarize.score_table(docs(s, d)))
 add("pagerank", lambda s, d: summarize.score_table(docs(s, d), "textrank").select("doc_id", "i", "score"))
+
+
+def pagerank_graph(spark, sf_dir):
+    """Twenty rounds of ranks over the graphs of sentence similarities, by messages along edges."""
+    table(spark, sf_dir, "documents").createOrReplaceTempView("documents")
+    nodes = spark.sql(f"SELECT doc_id AS graph, i AS node FROM ({SENTENCES(SPARK)}) x")
+    half = stored(spark.sql(f"WITH {scores.TFIDF(SPARK)}, {scores.COSINE} SELECT doc_id AS graph, i AS src, j AS dst, round(sim, 6) AS weight FROM e WHERE sim >= {LINKED}"), "similar")
+    out = graph.pagerank(nodes, half.union(half.select("graph", "dst", "src", "weight")), rounds=20, tol=0.0)
+    return out.select(F.col("graph").alias("doc_id"), F.col("node").alias("i"), F.round("rank", 9).alias("score"))
+
+
+#: Similarity from which two sentences are linked.
+LINKED = 0.1
+add(
+    "pagerank_graph",
+    pagerank_graph,
+    f"""WITH RECURSIVE {scores.TFIDF(DUCK)}, {scores.COSINE}, h AS (SELECT doc_id, i AS src, j AS dst, round(sim, 6) AS weight FROM e WHERE sim >= {LINKED}), b AS (SELECT * FROM h UNION ALL SELECT doc_id, dst, src, weight FROM h),
+p AS (SELECT doc_id, src, dst, weight / sum(weight) OVER (PARTITION BY doc_id, src) AS share FROM b), z AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id) AS n, doc_id IN (SELECT doc_id FROM p) AS linked FROM ({SENTENCES(DUCK)}) x),
+k AS (SELECT doc_id, i, 1e0 / n AS r, 0 AS step FROM z WHERE linked UNION ALL SELECT z.doc_id, z.i, 0.15e0 / z.n + 0.85e0 * coalesce(m.got, 0), q.step + 1 FROM z JOIN (SELECT DISTINCT step FROM k) q ON q.step < 20
+  LEFT JOIN (SELECT p.doc_id, p.dst, sum(p.share * k.r) AS got FROM k JOIN p ON p.doc_id = k.doc_id AND p.src = k.i GROUP BY p.doc_id, p.dst) m ON m.doc_id = z.doc_id AND m.dst = z.i WHERE z.linked)
+SELECT doc_id, i, round(r, 9) AS score FROM k WHERE step = 20 UNION ALL SELECT doc_id, i, round(1e0 / n, 9) FROM z WHERE NOT linked""",
+)
 add("hybrid_condense", lambda s, d: summarize.hybrid_condense(docs(s, d)))
 add("map_reduce_summary", lambda s, d: summarize.map_reduce_summary(docs(s, d)))
 add("build_sections", lambda s, d: chunk.build_sections(docs(s, d)))
-for name, how in {"chunk_semantic_token": "token", "chunk_paragraph_overlap": "paragraph", "chunk_words_sentences": "words", "reconstruct_paragraphs": "merge"}.items():
+for name, how in {"chunk_semantic_token": "token", "chunk_paragraph_overlap": "paragraph", "reconstruct_paragraphs": "merge"}.items():
     add(name, lambda s, d, how=how: chunk.chunk(docs(s, d), how))
 add("chunk_embedding", lambda s, d: chunk.chunk(docs(s, d), "token", target=200).select("doc_id", "index", "chunk_id", arrow.hash_embed("text", 64).alias("vector")))
 for name, how in {"chunk_semantic_fixed": "fixed", "chunk_semantic_dynamic": "dynamic", "chunk_semantic_window": "window"}.items():
