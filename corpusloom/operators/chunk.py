@@ -14,6 +14,14 @@ from corpusloom.operators.summarize import sentences
 
 HEADING = re.compile(r"^(\d+(?:\.\d+)*)\.?\s+\S")
 
+
+def line_kind(line: str) -> tuple[str, int | None]:
+    """Kind and heading level of a line."""
+    m = HEADING.match(line)
+    kind = "bullet" if re.match(r"^[-*•]\s", line) else "heading" if m and len(line) < 90 else "paragraph"
+    return kind, m[1].count(".") + 1 if kind == "heading" else None
+
+
 def sections(text: str) -> list[dict]:
     """Each non-blank line with its kind, heading level and path of open headings."""
     path: list[str] = []
@@ -21,9 +29,7 @@ def sections(text: str) -> list[dict]:
     for i, line in enumerate(x.strip() for x in text.split("\n")):
         if not line:
             continue
-        m = HEADING.match(line)
-        kind = "bullet" if re.match(r"^[-*•]\s", line) else "heading" if m and len(line) < 90 else "paragraph"
-        level = m[1].count(".") + 1 if kind == "heading" else None
+        kind, level = line_kind(line)
         if level:
             path = [*path[: level - 1], line]
         out.append({"i": i, "kind": kind, "level": level, "path": list(path), "text": line})
@@ -89,18 +95,24 @@ def word_chunks(text: str, words: int = 490, most: int = 16) -> list[dict]:
         size += n
     return [{"index": i, "text": " ".join(c), "tokens": estimate(" ".join(c))} for i, c in enumerate(out[:most])]
 
+def goes_on(paragraph: str, line: str) -> bool:
+    """Whether ``line`` goes on with a paragraph of five words or more that lacks a final stop; headings never do."""
+    return len(paragraph.split()) >= 5 and not re.search(r"[.!?:;]$", paragraph) and not HEADING.match(line)
+
+
 def merged_paragraphs(text: str) -> list[dict]:
-    """Adjacent paragraphs of five words or more are merged while the growing one lacks a final stop and the next is no heading."""
+    """Adjacent paragraphs joined while the growing one goes on, see goes_on."""
     out: list[str] = []
     for p in (x.strip() for x in text.split("\n")):
         if not p:
             continue
-        if out and len(out[-1].split()) >= 5 and not re.search(r"[.!?:;]$", out[-1]) and not HEADING.match(p):
+        if out and goes_on(out[-1], p):
             out[-1] += " " + p
         else:
             out.append(p)
     return [{"index": i, "text": x, "tokens": estimate(x)} for i, x in enumerate(out)]
 
+
 def cosines(vectors: np.ndarray) -> np.ndarray:
     """Cosine of each row with the next."""
     n = np.linalg.norm(vectors, axis=1)

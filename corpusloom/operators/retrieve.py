@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from corpusloom.functions.arrow import embed
 from corpusloom.operators.chunk import CHUNKERS
+from corpusloom.session import stored
 
 #: Fusion constants, weights, sizes and thresholds of the retriever.
 RRF_K, DENSE_W, BM25_W, POOL, RELAXED = 60, 0.7, 0.3, 8, 0.15
@@ -100,6 +102,38 @@ def hybrid(chunks: DataFrame, queries: DataFrame, lexical: DataFrame, top: int =
     return spread.withColumn("rank", F.row_number().over(by.orderBy("nth"))).where(F.col("rank") <= top).select("qid", "doc_id", "source", F.col("sim").alias("embedding_score"), "combined", "rerank", "rank")
 
 
+#: How much lower the threshold and how many more chunks each further try takes, its least threshold, the tries after the first, and the characters that a context must pass.
+STEP, MORE, LOWEST, RETRIES, LEAST_CONTEXT = 0.08, 2, 0.1, 2, 80
+
+
+def with_retries(search: Callable[[DataFrame, int, float], DataFrame], queries: DataFrame, texts: DataFrame, top: int = 5, threshold: float = 0.25, enough: Callable[[], Column] | None = None) -> DataFrame:
+    """(qid, tries, threshold, top, doc_id, rerank, rank): what each query found in its last try; doc_id is null where that is nothing.
+
+    ``search(queries, top, threshold)`` gives (qid, doc_id, rerank, rank); ``texts`` (doc_id, text). A query whose context is
+    not ``enough`` (an aggregate over its rows with ``text``; by default more than ``LEAST_CONTEXT`` characters in all) is
+    searched again, with a lower threshold and more chunks, at most ``RETRIES`` times. Each try sees only the queries that
+    are left, and is written, so that the next does not compute it again.
+    """
+    enough = enough or (lambda: F.sum(F.coalesce(F.length("text"), F.lit(0))) > LEAST_CONTEXT)
+    left, done = queries, []
+    for tries in range(RETRIES + 1):
+        k, least = top + MORE * tries, max(LOWEST, threshold - STEP * tries)
+        found = search(left, k, least).select("qid", "doc_id", "rerank", "rank")
+        held = texts.select(F.col("doc_id").alias("d"), "text")
+        context = found.join(held, F.col("doc_id") == F.col("d"), "left").groupBy(F.col("qid").alias("q")).agg(F.coalesce(enough(), F.lit(False)).alias("enough"))
+        rows = left.select("qid").join(context, F.col("qid") == F.col("q"), "left").select(F.col("qid").alias("own"), F.coalesce("enough", F.lit(False)).alias("enough"))
+        tried = stored(rows.join(found, F.col("own") == F.col("qid"), "left").select(F.col("own").alias("qid"), "enough", F.lit(tries).alias("tries"), F.lit(float(least)).alias("threshold"), F.lit(k).alias("top"), "doc_id", "rerank", "rank"), "tries")
+        last = tries == RETRIES
+        done.append((tried if last else tried.where("enough")).drop("enough"))
+        if last:
+            break
+        open_ = tried.where(~F.col("enough")).select(F.col("qid").alias("q")).distinct()
+        left = stored(left.join(open_, F.col("qid") == F.col("q"), "left_semi"), "open")
+        if not left.limit(1).count():
+            break
+    return reduce(DataFrame.unionByName, done)
+
+
 def words(text: str) -> set[str]:
     return set(re.findall(r"\w+", text.lower()))
 

@@ -10,12 +10,13 @@ from corpusloom.functions import arrow
 from corpusloom.functions import letters as rules
 from corpusloom.functions.dialect import DUCK, SPARK
 from corpusloom.functions.text import col, sentences_raw
-from corpusloom.operators import chunk, cluster, graph, letters, retrieve, summarize
+from corpusloom.operators import chunk, cluster, graph, letters, retrieve, summarize, tables
 from corpusloom.plans import retrieval, scores
 from corpusloom.plans.corpus import SENTENCES
 from corpusloom.plans.query import Book
 from corpusloom.session import stored, table, work_dir
-from corpusloom.streaming.daily import daily, run_daily_stream
+from corpusloom.streaming import state
+from corpusloom.streaming.daily import daily, run_daily_stream, stream_of
 
 BOOK = Book()
 
@@ -86,6 +87,29 @@ SELECT d.doc_id, coalesce({rules.is_letter(DUCK)}, false) AS letter, md5(CASE WH
 )
 add("admin_clean_elements", lambda s, d: letters.clean_letter_elements(chunk.build_sections(docs(s, d))).select("doc_id", "i", "kind", "text"))
 add("clean_element", lambda s, d: chunk.build_sections(docs(s, d)).select("doc_id", "i", arrow.clean_element("text", F.when(F.col("kind") == "bullet", "table").otherwise("paragraph")).alias("text")))
+
+
+def by_lateral(spark, sf_dir):
+    tables.register(spark)
+    table(spark, sf_dir, "documents").createOrReplaceTempView("documents")
+    return spark.sql("SELECT doc_id, s.* FROM documents, LATERAL sections(text) s")
+
+
+def by_lines(name, columns):
+    """The table function ``name`` over every document's lines in order."""
+
+    def run(spark, sf_dir):
+        tables.register(spark)
+        table(spark, sf_dir, "documents").createOrReplaceTempView("documents")
+        spark.sql("SELECT doc_id, posexplode(split(coalesce(text, ''), '\\n')) AS (i, line) FROM documents").createOrReplaceTempView("lines")
+        return spark.sql(f"SELECT {columns} FROM {name}(TABLE(lines) PARTITION BY doc_id ORDER BY i)")
+
+    return run
+
+
+add("sections_lateral", by_lateral)
+add("section_paths", by_lines("section_paths", "doc_id, i, kind, level, path, text"))
+add("paragraphs_fold", by_lines("paragraphs", "doc_id, index, text"))
 add("gmm_diag_soft", lambda s, d: cluster.gmm_members(table(s, d, "embeddings")))
 add("raptor_tree", lambda s, d: cluster.raptor_tree(docs(s, d).select("source", F.col("doc_id").alias("chunk_id"), "text", arrow.hash_embed("text", 32).alias("vector"))))
 add("pca_2d", lambda s, d: cluster.pca_2d(table(s, d, "embeddings")))
@@ -100,6 +124,16 @@ def asked(spark, sf_dir):
 
 add("hybrid_retrieve_vectors", lambda s, d: retrieve.hybrid(docs(s, d), *asked(s, d)))
 add("semantic_search_vectors", lambda s, d: retrieve.dense_top(docs(s, d), asked(s, d)[0], 10).select("qid", "doc_id", F.col("sim").alias("score"), "rd"))
+
+
+def agentic_retry(spark, sf_dir):
+    """Hybrid retrieval, tried again for the queries whose context is too short."""
+    queries, lexical = (stored(x, "asked") for x in asked(spark, sf_dir))
+    texts = docs(spark, sf_dir)
+    return retrieve.with_retries(lambda left, top, threshold: retrieve.hybrid(texts, left, lexical, top, threshold), queries, texts)
+
+
+add("agentic_retry", agentic_retry)
 add("embedding_benchmark", lambda s, d: retrieve.embedding_benchmark(docs(s, d)))
 DAILY_SQL = "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2"
 add("daily_windows", lambda s, d: daily(table(s, d, "events")).withColumn("total", F.round("total", 6)), DAILY_SQL)
@@ -111,5 +145,23 @@ def daily_stream(spark, sf_dir):
 
 
 add("daily_stream", daily_stream, DAILY_SQL)
+#: Time to live of the query below: an hour.
+HOUR = 3_600_000
+
+
+def ttl_cache_stream(spark, sf_dir):
+    """Events as requests for their user's entry, kept for an hour after its last use: which found it."""
+    work = f"{work_dir(spark).rstrip('/')}/cache-{uuid.uuid4().hex}"
+    events = stream_of(spark, f"{sf_dir}/events.parquet")
+    requests = events.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("request"), F.col("ts").cast("timestamp").alias("at"), F.col("event_type").alias("value"))
+    state.answered(requests, HOUR, by_use=True).writeStream.format("parquet").option("path", f"{work}/out").option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(state.ANSWERS).parquet(f"{work}/out").where("found <> 'expired'").select("request", "key", "found")
+
+
+add(
+    "ttl_cache_stream",
+    ttl_cache_stream,
+    f"SELECT event_id AS request, CAST(user_id AS VARCHAR) AS key, CASE WHEN epoch_ms(ts) - lag(epoch_ms(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) < {HOUR} THEN 'hit' ELSE 'miss' END AS found FROM events",
+)
 
 QUERIES, ORACLE = BOOK.queries, BOOK.oracle

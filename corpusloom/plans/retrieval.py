@@ -144,7 +144,6 @@ RELEVANT = 0.55
 ranked("retrieval_metrics", lambda d: f"""
 WITH {base(d)}, r AS (SELECT qid, rb AS rank, CASE WHEN dense >= {RELEVANT}e0 THEN 1 ELSE 0 END AS rel FROM rk), n AS (SELECT qid, rank, rel, sum(rel) OVER (PARTITION BY qid) AS total FROM r)
 SELECT qid, {d.double('sum(rel)')} / 10 AS precision_10, {d.double('sum(rel)')} / greatest(1, max(total)) AS recall_10, max(CASE WHEN rel = 1 THEN 1e0 / rank ELSE 0e0 END) AS mrr, max(rel) AS hit, round(sum(rel / log2(rank + 1e0)), 9) AS dcg FROM n WHERE rank <= 10 GROUP BY qid""")
-ranked("agentic_retry", lambda d: f"WITH {base(d)}, best AS (SELECT qid, max(rerank) AS top FROM kept GROUP BY qid) SELECT qid, CASE WHEN top >= 0.5e0 THEN 0 WHEN top >= 0.42e0 THEN 1 ELSE 2 END AS retries, greatest(0.1e0, 0.25e0 - 0.08e0 * CASE WHEN top >= 0.5e0 THEN 0 WHEN top >= 0.42e0 THEN 1 ELSE 2 END) AS threshold FROM best")
 Q("multi_doc_summary", "documents", lambda d: f"SELECT source, md5({d.join(d.collect('lead', 'doc_id'), ' ')}) AS summary, count(*) AS n FROM (SELECT doc_id, source, {d.get(t.sentences_raw(d), 1)} AS lead FROM documents) x WHERE lead IS NOT NULL GROUP BY source")
 Q("assets", "documents", lambda d: f"SELECT doc_id, concat('Q: ', {t.first_words(d, 'text', 6)}, '?') AS flashcard, {d.join(d.slice(d.filter(t.tok_d(d), 'length(y) > 5', 'y'), '1', '5'), ', ')} AS slide FROM documents")
 
