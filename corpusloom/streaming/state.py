@@ -18,7 +18,8 @@ class Held(StatefulProcessor):
 
     A request before that moment is a 'hit' and gets the held value; another is a 'miss', and its own value is held
     from then on. With ``by_use`` a hit puts the moment off, so that what nobody asks for goes. A timer lets the entry
-    go when the watermark passes the moment, with an 'expired' row, so that state does not grow with the keys ever seen.
+    go when the watermark passes the moment, with an 'expired' row, so that state does not grow with the keys ever seen; an
+    entry that a request finds void before that is replaced without such a row.
     """
 
     def __init__(self, ttl_ms: int, by_use: bool):
@@ -83,7 +84,8 @@ class Recent(StatefulProcessor):
 def answered(requests: DataFrame, ttl_ms: int, by_use: bool = False, late: str | None = "0 seconds") -> DataFrame:
     """Each of the streaming ``requests`` (key string, request long, at timestamp, value string) with what it found.
 
-    ``late``: how far a request may lie behind the newest; those beyond are dropped. None: time to live by the clock.
+    ``late``: how far a request may lie behind the newest; those beyond are dropped. None: time to live by the clock; such a query
+    goes on by itself as time passes, so run it with a trigger of its own and not until all is read.
     """
     requests.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     if late is None:
