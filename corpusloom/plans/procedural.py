@@ -14,7 +14,7 @@ from corpusloom.operators import chunk, cluster, graph, letters, retrieve, summa
 from corpusloom.plans import retrieval, scores
 from corpusloom.plans.corpus import SENTENCES
 from corpusloom.plans.query import Book
-from corpusloom.session import stored, table, work_dir
+from corpusloom.session import spread, stored, table, work_dir
 from corpusloom.streaming import state
 from corpusloom.streaming.daily import daily, run_daily_stream, stream_of
 
@@ -22,7 +22,7 @@ BOOK = Book()
 
 
 def docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
 def pairs(spark, sf_dir):

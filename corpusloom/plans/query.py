@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.functions.dialect import DUCK, SPARK
-from corpusloom.session import table
+from corpusloom.session import spread, table
 
 
 class Book:
@@ -22,7 +22,8 @@ class Book:
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             for t in tables.split():
-                table(spark, sf_dir, t).createOrReplaceTempView(t)
+                df = table(spark, sf_dir, t)
+                (spread(df) if t == "documents" else df).createOrReplaceTempView(t)
             return spark.sql(build(SPARK))
 
         self.queries[name], self.oracle[name] = run, build(DUCK)
