@@ -6,6 +6,7 @@ import io
 import zipfile
 from xml.etree import ElementTree
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -42,6 +43,52 @@ def docx_text(raw: bytes) -> str:
     return "\n".join(x for x in out if x.strip())
 
 
+def docx_elements(raw: bytes) -> tuple[list[tuple[str, int | None, str]], dict[str, str]]:
+    """((kind, heading level, text) of each paragraph and table row, core properties) of a Word file.
+
+    A paragraph's kind follows its style's name ("heading 2", "title", "list ..."), else a numbering makes it a bullet.
+    """
+    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+        names = set(z.namelist())
+        tree = lambda name: ElementTree.fromstring(z.read(name)) if name in names else None
+        body, styles, core = tree("word/document.xml").find(f"{WORDS}body"), tree("word/styles.xml"), tree("docProps/core.xml")
+    value = lambda e: "" if e is None else e.get(f"{WORDS}val", "")
+    named = {s.get(f"{WORDS}styleId", ""): value(s.find(f"{WORDS}name")).lower() for s in styles.iter(f"{WORDS}style")} if styles is not None else {}
+    text = lambda e: "".join(t.text or "" for t in e.iter(f"{WORDS}t")).strip()
+    out: list[tuple[str, int | None, str]] = []
+    for e in body if body is not None else ():
+        if e.tag == f"{WORDS}p" and text(e):
+            style_id = value(e.find(f"{WORDS}pPr/{WORDS}pStyle"))
+            style = named.get(style_id, style_id.lower())
+            digits = "".join(c for c in style if c.isdigit())
+            if style.startswith("heading") or style == "title":
+                out.append(("heading", int(digits) if digits else 1, text(e)))
+            elif "list" in style or e.find(f"{WORDS}pPr/{WORDS}numPr") is not None:
+                out.append(("bullet", None, text(e)))
+            else:
+                out.append(("paragraph", None, text(e)))
+        elif e.tag == f"{WORDS}tbl":
+            rows = (" | ".join(text(c) for c in row.iter(f"{WORDS}tc")) for row in e.iter(f"{WORDS}tr"))
+            out += [("table", None, r) for r in rows if r.strip(" |")]
+    return out, {c.tag.split("}")[1]: c.text.strip() for c in core if c.text and c.text.strip()} if core is not None else {}
+
+
+def read_docx_elements(spark: SparkSession, path: str) -> DataFrame:
+    """(path, i, kind, level, text, properties, error): the elements of each Word file in order; a file that cannot be read is one row with its error."""
+    kind = "struct<elements: array<struct<i: int, kind: string, level: int, text: string>>, properties: map<string, string>, error: string>"
+
+    def one(raw: bytes) -> dict:
+        try:
+            found, properties = docx_elements(bytes(raw))
+            return {"elements": [{"i": i, "kind": k, "level": n, "text": t} for i, (k, n, t) in enumerate(found)], "properties": properties, "error": None}
+        except (zipfile.BadZipFile, KeyError, AttributeError, ElementTree.ParseError) as e:
+            return {"elements": [], "properties": {}, "error": f"{type(e).__name__}: {e}"}
+
+    read = F.pandas_udf(lambda c: pd.DataFrame([one(b) for b in c]), kind)
+    rows = _files(spark, path, ".docx").select("path", read("content").alias("r"))
+    return rows.select("path", F.explode_outer("r.elements").alias("e"), "r.properties", "r.error").select("path", "e.*", "properties", "error")
+
+
 def _files(spark: SparkSession, path: str, suffix: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").load(path)
 
@@ -125,6 +172,17 @@ def write_sections(sections: dict[str, DataFrame], path: str) -> None:
         df.write.mode("overwrite").json(f"{path}/{name}")
 
 
+def write_bundle(sections: dict[str, DataFrame], path: str, metadata: dict[str, str], charts: tuple[str, ...] = ()) -> None:
+    """A folder for each section, ``metadata``, ``charts`` (an index of the sections that are drawn), and all sections as one table of (section, row)."""
+    write_sections(sections, path)
+    spark = next(iter(sections.values())).sparkSession
+    spark.createDataFrame([(k, v) for k, v in metadata.items()], "key string, value string").coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
+    spark.createDataFrame([(c, f"{path}/{c}") for c in charts if c in sections], "chart string, data string").coalesce(1).write.mode("overwrite").json(f"{path}/charts")
+    for n, (name, df) in enumerate(sections.items()):
+        rows = df.select(F.lit(name).alias("section"), F.to_json(F.struct(*df.columns)).alias("row"))
+        rows.write.mode("append" if n else "overwrite").json(f"{path}/bundle")
+
+
 def append_runs(df: DataFrame, path: str, at: str = "created_at") -> None:
     """Runs as Parquet, partitioned by day."""
     df.withColumn("day", F.to_date(at)).write.mode("append").partitionBy("day").parquet(path)
