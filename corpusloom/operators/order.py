@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpusloom.session import stored
 
@@ -49,3 +50,26 @@ def percentiles(df: DataFrame, value: str, points: dict[str, float], by: list[st
     wanted = [F.floor(x) + 1 for x in at.values()] + [F.ceil(at[k]) + 1 for k in linear]
     few = ranked.where(F.col("rank").isin(*wanted))
     return few.groupBy(*by).agg(*[statistic(k) for k in points])
+
+
+def with_previous(ranked: DataFrame, by: list[str], columns: dict[str, str]) -> DataFrame:
+    """``ranked`` (see numbered) with columns of the row before it in its group, null at the first: a join by place, so that a group spreads over tasks."""
+    before = ranked.select(*[F.col(f"`{k}`").alias(f"__b{i}") for i, k in enumerate(by)], (F.col("rank") + 1).alias("__next"), *[F.col(f"`{c}`").alias(new) for c, new in columns.items()])
+    same = F.col("rank") == F.col("__next")
+    for i, k in enumerate(by):
+        same = same & F.col(f"`{k}`").eqNullSafe(F.col(f"__b{i}"))
+    return ranked.join(before, same, "left").drop("__next", *[f"__b{i}" for i in range(len(by))])
+
+
+def running_sum(ranked: DataFrame, value: Column, by: list[str], name: str, block: int = 4096) -> DataFrame:
+    """``ranked`` with the sum of ``value`` up to each row of its group: within blocks of places, plus the sums of earlier blocks."""
+    keys = [F.col(f"`{k}`") for k in by]
+    rows = ranked.withColumn("__v", value).withColumn("__block", F.floor((F.col("rank") - 1) / block))
+    blocks = rows.groupBy(*by, "__block").agg(F.sum("__v").alias("__sum"))
+    before = F.sum("__sum").over(Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = blocks.select(*[k.alias(f"__b{i}") for i, k in enumerate(keys)], F.col("__block").alias("__of"), F.coalesce(before, F.lit(0)).alias("__start"))
+    same = F.col("__block") == F.col("__of")
+    for i, k in enumerate(keys):
+        same = same & k.eqNullSafe(F.col(f"__b{i}"))
+    within = F.sum("__v").over(Window.partitionBy(*keys, "__block").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumn("__in", within).join(starts, same).withColumn(name, F.col("__start") + F.col("__in")).drop("__v", "__block", "__in", "__of", "__start", *[f"__b{i}" for i in range(len(by))])

@@ -172,9 +172,11 @@ SELECT *, round({d.double('output_chars')} / greatest(1, input_chars), 4) AS com
 assembled("adaptive_context", adaptive)
 
 # ordered packing that a window can state
+#: Sums of a source are joined to its documents; what rounding leaves goes to its last document.
 Q("allocate_budgets", "documents", lambda d: f"""
-WITH w AS (SELECT source, doc_id, {d.long(t.n_words(d))} AS n FROM documents), s AS (SELECT *, sum(n) OVER (PARTITION BY source) AS total, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS last FROM w),
-b AS (SELECT source, doc_id, last, greatest(20, {d.long('floor(2000e0 * n / greatest(1, total))')}) AS budget FROM s)
-SELECT source, doc_id, {d.long('CASE WHEN last = 1 THEN greatest(20, 2000 - (sum(budget) OVER (PARTITION BY source) - budget)) ELSE budget END')} AS budget FROM b""")
+WITH w AS (SELECT source, doc_id, {d.long(t.n_words(d))} AS n FROM documents), s AS (SELECT source AS of_, sum(n) AS total, max(doc_id) AS last FROM w GROUP BY source),
+b AS (SELECT source, doc_id, last, greatest(20, {d.long('floor(2000e0 * n / greatest(1, total))')}) AS budget FROM w JOIN s ON source IS NOT DISTINCT FROM of_),
+g AS (SELECT source AS of_, sum(budget) AS spent FROM b GROUP BY source)
+SELECT source, doc_id, {d.long('CASE WHEN doc_id = last THEN greatest(20, 2000 - (spent - budget)) ELSE budget END')} AS budget FROM b JOIN g ON source IS NOT DISTINCT FROM of_""")
 
 QUERIES, ORACLE = BOOK.queries, BOOK.oracle

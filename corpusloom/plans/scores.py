@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from corpusloom.functions import text as t
+from corpusloom.functions.dialect import DUCK, SPARK
+from corpusloom.operators import order
 from corpusloom.plans.corpus import PAIRS, SENTENCES
 from corpusloom.plans.query import Book
+from corpusloom.session import stored, table
 
 BOOK = Book()
 Q = BOOK.sql
@@ -136,8 +141,40 @@ COS = lambda d, a, b: f"{DOT(d, a, b)} / nullif(sqrt({DOT(d, a, a)}) * sqrt({DOT
 Q("vector_topk", "embeddings", lambda d: f"SELECT vec_id, round(sim, 9) AS sim FROM (SELECT e.vec_id, {COS(d, 'e.embedding', 'q.v')} AS sim FROM embeddings e CROSS JOIN (SELECT embedding AS v FROM embeddings WHERE vec_id = 0) q WHERE e.vec_id <> 0) x ORDER BY sim DESC, vec_id LIMIT 10")
 Q("dense_scores", "embeddings", lambda d: f"SELECT e.vec_id, round({COS(d, 'e.embedding', 'q.v')}, 9) AS score FROM embeddings e CROSS JOIN (SELECT embedding AS v FROM embeddings WHERE vec_id = 1) q")
 Q("heatmap", "embeddings", lambda d: f"WITH f AS (SELECT vec_id, embedding FROM embeddings ORDER BY vec_id LIMIT 24) SELECT a.vec_id AS x, b.vec_id AS y, round({COS(d, 'a.embedding', 'b.embedding')}, 9) AS sim FROM f a JOIN f b ON a.vec_id < b.vec_id")
-Q("adjacent_coherence", "embeddings", lambda d: f"SELECT label, round(avg(sim), 9) AS mean_sim, round(min(sim), 9) AS min_sim FROM (SELECT label, {COS(d, 'embedding', 'nxt')} AS sim FROM (SELECT label, embedding, lead(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS nxt FROM embeddings) x WHERE nxt IS NOT NULL) y GROUP BY label")
-Q("semantic_breakpoints", "embeddings", lambda d: f"WITH a AS (SELECT label, vec_id, 1 - {COS(d, 'embedding', 'nxt')} AS dist FROM (SELECT label, vec_id, embedding, lead(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS nxt FROM embeddings) x WHERE nxt IS NOT NULL), s AS (SELECT label, avg(dist) + 0.8e0 * stddev_pop(dist) AS cut FROM a GROUP BY label) SELECT a.label, count(*) AS n, {d.count_if('dist > cut')} AS breaks FROM a JOIN s ON a.label = s.label GROUP BY a.label")
-Q("semantic_group", "embeddings", lambda d: f"SELECT label, vec_id, {d.long('sum(brk) OVER (PARTITION BY label ORDER BY vec_id)')} AS grp FROM (SELECT label, vec_id, CASE WHEN prev IS NULL OR {COS(d, 'embedding', 'prev')} < 0.1 THEN 1 ELSE 0 END AS brk FROM (SELECT label, vec_id, embedding, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS prev FROM embeddings) x) y")
+
+
+def neighbours(spark, sf_dir):
+    """(label, vec_id, rank, sim): each vector with the cosine to the one before it in its label, null at the first; no task holds a label."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    ranked = stored(order.numbered(vectors, [F.col("vec_id")], ["label"]), "ranked")
+    return order.with_previous(ranked, ["label"], {"embedding": "prev"}).selectExpr("label", "vec_id", "rank", f"{COS(SPARK, 'embedding', 'prev')} AS sim")
+
+
+def adjacent_coherence(spark, sf_dir):
+    pairs = neighbours(spark, sf_dir).where("rank > 1")
+    return pairs.groupBy("label").agg(F.round(F.avg("sim"), 9).alias("mean_sim"), F.round(F.min("sim"), 9).alias("min_sim"))
+
+
+def semantic_breakpoints(spark, sf_dir):
+    """Vectors of each label farther from the one before than the label's mean and 0.8 standard deviations."""
+    pairs = stored(neighbours(spark, sf_dir).where("rank > 1").selectExpr("label", "1 - sim AS dist"), "distances")
+    cuts = pairs.groupBy(F.col("label").alias("of")).agg((F.avg("dist") + 0.8 * F.stddev_pop("dist")).alias("cut"))
+    return pairs.join(cuts, F.col("label") == F.col("of")).groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("dist") > F.col("cut")).alias("breaks"))
+
+
+def semantic_group(spark, sf_dir):
+    """Groups of consecutive vectors of a label; one begins where the cosine to the one before falls under 0.1."""
+    begins = F.when((F.col("rank") == 1) | (F.col("sim") < 0.1), 1).otherwise(0)
+    return order.running_sum(neighbours(spark, sf_dir), begins, ["label"], "grp").select("label", "vec_id", F.col("grp").cast("long").alias("grp"))
+
+
+#: The oracles state these with windows over a label.
+WINDOWED = {
+    "adjacent_coherence": lambda d: f"SELECT label, round(avg(sim), 9) AS mean_sim, round(min(sim), 9) AS min_sim FROM (SELECT label, {COS(d, 'embedding', 'nxt')} AS sim FROM (SELECT label, embedding, lead(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS nxt FROM embeddings) x WHERE nxt IS NOT NULL) y GROUP BY label",
+    "semantic_breakpoints": lambda d: f"WITH a AS (SELECT label, vec_id, 1 - {COS(d, 'embedding', 'nxt')} AS dist FROM (SELECT label, vec_id, embedding, lead(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS nxt FROM embeddings) x WHERE nxt IS NOT NULL), s AS (SELECT label, avg(dist) + 0.8e0 * stddev_pop(dist) AS cut FROM a GROUP BY label) SELECT a.label, count(*) AS n, {d.count_if('dist > cut')} AS breaks FROM a JOIN s ON a.label = s.label GROUP BY a.label",
+    "semantic_group": lambda d: f"SELECT label, vec_id, {d.long('sum(brk) OVER (PARTITION BY label ORDER BY vec_id)')} AS grp FROM (SELECT label, vec_id, CASE WHEN prev IS NULL OR {COS(d, 'embedding', 'prev')} < 0.1 THEN 1 ELSE 0 END AS brk FROM (SELECT label, vec_id, embedding, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS prev FROM embeddings) x) y",
+}
+for run in (adjacent_coherence, semantic_breakpoints, semantic_group):
+    BOOK.frame(run.__name__, run, WINDOWED[run.__name__](DUCK))
 
 QUERIES, ORACLE = BOOK.queries, BOOK.oracle

@@ -123,3 +123,16 @@ def test_tree_equals_the_form_in_memory(spark, sf):
     want = {(s, *x) for s, rows in groups.items() for x in tree_of_one([str(r.chunk_id) for r in rows], [r.text or "" for r in rows], np.stack([np.array(r.vector, float) for r in rows]))}
     got = {(r.source, r.level, r.node, tuple(r.children), r.text) for r in cluster.raptor_tree(docs).collect()}
     assert got == want and not any(s == "tiny" for s, *_ in got)
+
+
+def test_neighbours_and_running_sums(spark):
+    r = random.Random(6)
+    rows = [(i, r.choice(["a", "a", "b", None]), r.randrange(-5, 9)) for i in range(300)]
+    ranked = order.numbered(spark.createDataFrame(rows, "id int, g string, v int"), [F.col("id")], ["g"])
+    both = order.running_sum(order.with_previous(ranked, ["g"], {"v": "was"}), F.col("v"), ["g"], "sum", block=16)
+    got = {x.id: (x.was, x["sum"]) for x in both.collect()}
+    last, total = {}, {}
+    for i, g, v in rows:
+        total[g] = total.get(g, 0) + v
+        assert got[i] == (last.get(g), total[g])
+        last[g] = v
