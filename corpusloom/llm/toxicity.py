@@ -172,7 +172,7 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 4 == 2
 
 
-def train(docs: DataFrame, labels: DataFrame, most_each: int = 3000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, most_each: int = 1500) -> Model:
     """Fit on at most ``most_each`` labelled documents of each class that are not held out."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = [known.where(F.col("toxic") == c).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(most_each) for c in (0, 1)]
