@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from hashlib import sha1
 
 import numpy as np
 import pandas as pd
@@ -67,6 +68,109 @@ def token_chunks(text: str, target: int = 420, overlap: int = 64, least: int = 8
             out.append({"index": len(out), "text": t, "tokens": estimate(t)})
     return out
 
+def split_sentences(text: str) -> list[str]:
+    return [s for s in re.split(r"(?<=[.!?])\s+|\n+", text.strip()) if s]
+
+
+class ElementPacker:
+    """Packs the elements of one document, given one by one, into chunks; of the document only the open chunk is held, and digests of those made.
+
+    A chunk ends before an element that would pass its limit; before a heading, and where the next element turns away from the
+    last (cosine of hashed vectors under ``turn``), once it has ``least`` tokens. Its limit is ``most`` tokens if it is empty or
+    holds a heading, ``target`` and 120 (at most ``most``) if it holds a table, else ``target``. Paragraphs above ``most`` are parted
+    at sentences. The next chunk repeats what ends the last one: whole elements, then whole sentences, about ``overlap`` tokens.
+    Chunks that repeat an earlier text are dropped; ``made`` counts those, too.
+    """
+
+    def __init__(self, most: int = 640, target: int = 420, least: int = 120, overlap: int = 64, turn: float | None = None):
+        self.most, self.target, self.least, self.overlap, self.turn = most, target, least, overlap, turn
+        self.held: list[dict] = []
+        self.made, self.seen, self.last = 0, set(), None
+
+    def limit(self) -> int:
+        kinds = {u["kind"] for u in self.held}
+        if "table" in kinds:
+            return min(self.most, self.target + 120)
+        return self.most if not kinds or "heading" in kinds else max(self.least, self.target)
+
+    def units(self, element: dict) -> list[dict]:
+        """The element with its tokens, or its parts."""
+        text = (element["text"] or "").strip()
+        whole = element | {"text": text, "tokens": estimate(text)}
+        if not text or element["kind"] != "paragraph" or whole["tokens"] <= self.most:
+            return [whole] if text else []
+        parts: list[list[str]] = []
+        size = 0
+        for s in split_sentences(text):
+            n = estimate(s)
+            if not parts or size + n > self.target:
+                parts.append([])
+                size = 0
+            parts[-1].append(s)
+            size += n
+        return [element | {"text": " ".join(p), "tokens": estimate(" ".join(p))} for p in parts]
+
+    def add(self, element: dict) -> list[dict]:
+        """The chunks that end before this element or its parts."""
+        out = []
+        for u in self.units(element):
+            size, turns = sum(x["tokens"] for x in self.held), self.turns(u["text"])
+            ends = size + u["tokens"] > self.limit() or size >= self.least and (u["kind"] == "heading" or turns)
+            if self.held and ends:
+                out += self.close()
+                self.held = self.repeated()
+            self.held.append(u)
+        return out
+
+    def turns(self, text: str) -> bool:
+        if self.turn is None:
+            return False
+        v, last = embed(text, 64).astype(float), self.last
+        self.last = v
+        return last is not None and float(cosines(np.stack([last, v]))[0]) < self.turn
+
+    def repeated(self) -> list[dict]:
+        out: list[dict] = []
+        left = self.overlap
+        for u in reversed(self.held):
+            if u["kind"] == "heading":  # goes along with what stands under it, at no cost
+                out = [u, *out] if out else out
+            elif left <= 0:
+                break
+            elif u["tokens"] <= left:
+                out, left = [u, *out], left - u["tokens"]
+            else:
+                return [*self.tail(u, left), *out]
+        return out
+
+    @staticmethod
+    def tail(u: dict, room: int) -> list[dict]:
+        """The last sentences of an element: at least one unless it takes more than twice the room, more while they fit."""
+        taken, size = [], 0
+        for s in reversed(split_sentences(u["text"])):
+            n = estimate(s)
+            if size >= room or size + n > (room if taken else 2 * room):
+                break
+            taken.insert(0, s)
+            size += n
+        return [u | {"text": " ".join(taken), "tokens": estimate(" ".join(taken))}] if taken else []
+
+    def close(self) -> list[dict]:
+        """The open chunk, if there is one that was not there before."""
+        if not self.held:
+            return []
+        h = self.held
+        text = "\n\n".join(u["text"] if u["kind"] != "bullet" or u["text"][0] in "-*•" else f"- {u['text']}" for u in h)
+        pages = [u["page"] for u in h if u.get("page")]
+        path = next((u["path"] for u in reversed(h) if u.get("path")), [])
+        key = sha1(" ".join(text.lower().split()).encode()).digest()
+        self.made += 1
+        if key in self.seen:
+            return []
+        self.seen.add(key)
+        return [{"index": len(self.seen) - 1, "made": self.made - 1, "text": text, "tokens": estimate(text), "path": path, "elements": list(dict.fromkeys(u["i"] for u in h)), "kinds": list(dict.fromkeys(u["kind"] for u in h)), "page_start": min(pages, default=None), "page_end": max(pages, default=None)}]
+
+
 def paragraph_chunks(text: str, size: int = 1200, overlap: int = 1) -> list[dict]:
     """Paragraphs packed to ``size`` characters; the last ``overlap`` paragraphs are repeated."""
     out: list[dict] = []

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 from corpusloom.operators import chunk
+from corpusloom.session import sql_over
 
 
 @udtf(returnType="index int, text string, tokens int")
@@ -70,6 +72,39 @@ class Paragraphs:
             self.n += 1
 
 
+@udtf(returnType="doc_id long, index int, made int, text string, tokens int, path array<string>, elements array<int>, kinds array<string>, page_start int, page_end int")
+class ElementChunks:
+    """``element_chunks(TABLE(elements) PARTITION BY doc_id ORDER BY (i), most, target, least, overlap, turn)``: see chunk.ElementPacker.
+
+    The table has (doc_id, i, page, kind, path, text) in any order of columns.
+    """
+
+    def __init__(self) -> None:
+        self.packer, self.doc = None, None
+
+    def eval(self, row: Row, most: int, target: int, least: int, overlap: int, turn: float) -> Iterator[tuple]:
+        self.packer = self.packer or chunk.ElementPacker(most, target, least, overlap, turn)
+        self.doc = row["doc_id"]
+        yield from self.rows(self.packer.add(row.asDict()))
+
+    def terminate(self) -> Iterator[tuple]:
+        if self.packer:
+            yield from self.rows(self.packer.close())
+
+    def rows(self, chunks: list[dict]) -> Iterator[tuple]:
+        return ((self.doc, *c.values()) for c in chunks)
+
+
+def element_chunks(elements: DataFrame, most: int = 640, target: int = 420, least: int = 120, overlap: int = 64, turn: float | None = None) -> DataFrame:
+    """Chunks of ``elements`` (doc_id, i, page, kind, path, text), with the section's path, the elements and pages they come from and chunk_id."""
+    register(elements.sparkSession)
+    turn_sql = "CAST(NULL AS DOUBLE)" if turn is None else f"{float(turn)}D"
+    sizes = f"{int(most)}, {int(target)}, {int(least)}, {int(overlap)}, {turn_sql}"
+    made = sql_over(lambda t: f"SELECT * FROM element_chunks(TABLE({t}) PARTITION BY doc_id ORDER BY (i), {sizes})", elements.select("doc_id", "i", "page", "kind", "path", "text"))
+    key = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("made").cast("string"), F.substring("text", 1, 512))
+    return made.withColumn("chunk_id", F.substring(F.sha1(key), 1, 20)).drop("made")
+
+
 def register(spark: SparkSession) -> None:
-    for name, f in (("chunks", Chunks), ("sections", Sections), ("section_paths", SectionPaths), ("paragraphs", Paragraphs)):
+    for name, f in (("chunks", Chunks), ("sections", Sections), ("section_paths", SectionPaths), ("paragraphs", Paragraphs), ("element_chunks", ElementChunks)):
         spark.udtf.register(name, f)

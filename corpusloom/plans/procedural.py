@@ -10,7 +10,7 @@ from corpusloom.functions import arrow
 from corpusloom.functions import letters as rules
 from corpusloom.functions.dialect import DUCK, SPARK
 from corpusloom.functions.text import col, sentences_raw
-from corpusloom.operators import chunk, cluster, graph, letters, retrieve, summarize, tables
+from corpusloom.operators import assets, chunk, cluster, graph, letters, retrieve, summarize, tables
 from corpusloom.plans import retrieval, scores
 from corpusloom.plans.corpus import SENTENCES
 from corpusloom.plans.query import Book
@@ -110,6 +110,10 @@ def by_lines(name, columns):
 add("sections_lateral", by_lateral)
 add("section_paths", by_lines("section_paths", "doc_id, i, kind, level, path, text"))
 add("paragraphs_fold", by_lines("paragraphs", "doc_id, index, text"))
+add("chunk_element_tokens", lambda s, d: tables.element_chunks(by_lines("section_paths", "doc_id, i, CAST(NULL AS INT) AS page, kind, path, text")(s, d)))
+add("chunk_element_turns", lambda s, d: tables.element_chunks(by_lines("section_paths", "doc_id, i, CAST(NULL AS INT) AS page, kind, path, text")(s, d), turn=0.3))
+add("document_assets", lambda s, d: assets.document_assets(docs(s, d)))
+add("multi_doc_summary_tree", lambda s, d: assets.merged_summaries(docs(s, d), "source"))
 add("gmm_diag_soft", lambda s, d: cluster.gmm_members(table(s, d, "embeddings")))
 add("raptor_tree", lambda s, d: cluster.raptor_tree(docs(s, d).select("source", F.col("doc_id").alias("chunk_id"), "text", arrow.hash_embed("text", 32).alias("vector"))))
 add("pca_2d", lambda s, d: cluster.pca_2d(table(s, d, "embeddings")))
