@@ -48,3 +48,48 @@ def test_very_long_text_and_clashing_names(spark):
     df = spark.createDataFrame([(1, "prose and more prose\n" * 100_000 + "Released under the MIT License.", "x", "y")], "doc_id long, text string, license string, digest string")
     r = lic.scan(df, known, known).first()
     assert (r.license, r.notices) == (None, ["MIT"])
+
+
+def test_ordinary_forms(spark):
+    """Rights reserved, more lines of copyright, a named holder in the third clause, shortened texts, identifiers."""
+    known = lic.catalogue(spark)
+    texts = {}
+    for name, text in lic.KNOWN:
+        texts.setdefault(name + str("\n" in text), text)
+    mit, bsd = texts["MITTrue"], texts["BSD-3-ClauseTrue"]
+    named = bsd.replace("the copyright holder nor", "Some University,\nInc. nor")
+    assert named != bsd
+    rows = [
+        ("MIT", f"Copyright (c) 2020 A B\nAll rights reserved.\n\n{mit}"),
+        ("MIT", f"MIT License\n\nCopyright (c) 2019 A B\n              2020-2021 C D\n\n{mit}"),
+        ("BSD-3-Clause", f"Copyright 2001, X. All rights reserved.\n\n{named}"),
+        ("Zlib", "zlib License\n\n(C) 1995 X\n\n" + texts["ZlibTrue"].upper()),
+        ("BSL-1.0", texts["BSL-1.0True"].replace("license", "licence")),
+        ("Unlicense", texts["UnlicenseTrue"].replace("https", "http")),
+        ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+        ("GPL-3.0-only", "// SPDX-License-Identifier: GPL-3.0-only"),
+        (None, mit + "\nAll rights reserved to the holders, who reserve more."),
+        (None, mit.replace("without restriction", "2020 without restriction")),
+        (None, bsd.replace("Neither the name of", "Either the name of")),
+    ]
+    got = lic.scan(spark.createDataFrame(list(enumerate(t for _, t in rows)), "doc_id long, text string"), known, known).orderBy("doc_id").collect()
+    assert [r.license for r in got] == [n for n, _ in rows]
+    source = spark.createDataFrame([(1, "# SPDX-License-Identifier: MIT\nimport this\nAll rights reserved\n# SPDX-License-Identifier: Apache-2.0")], "doc_id long, text string")
+    assert lic.scan(source, known, known).first().notices == ["Apache-2.0", "MIT"]
+
+
+@pytest.mark.skipif(not (SHIPPED / "Apache-2.0").exists(), reason="no licence files on this machine")
+def test_apache_without_its_appendix(spark):
+    known, text = lic.catalogue(spark), (SHIPPED / "Apache-2.0").read_text()
+    at = text.index("END OF TERMS AND CONDITIONS")
+    rows = [(0, text[:at]), (1, text[: at + 27]), (2, text[: at // 2])]
+    got = lic.scan(spark.createDataFrame(rows, "doc_id long, text string"), known).orderBy("doc_id").collect()
+    assert [r.license for r in got] == ["Apache-2.0", "Apache-2.0", None]
+
+
+def test_notices_by_map_and_by_join_agree(spark, sf):
+    known = lic.catalogue(spark)
+    more = spark.createDataFrame([(None, None), (1, ""), (1, "Released under the MIT License."), (1, "Released under the MIT License."), (2, "x\nReleased under the MIT License.\nLicensed under CC BY 4.0.\nReleased under the MIT License.")], "doc_id long, text string")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").union(more)
+    one, other = (sorted(map(str, lic.scan(docs, known, known, most_notices=n).collect())) for n in (500, 3))
+    assert one == other and len(one) == docs.count() and any("['CC-BY-4.0', 'MIT']" in r for r in one)
