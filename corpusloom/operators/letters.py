@@ -23,10 +23,10 @@ def clean_letters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = marked.where("letter").select("doc_id", "text").distinct()
     lines = sql_over(lambda x: letters.lines_of(SPARK, x), found)
     kept = sql_over(lambda x: letters.body(SPARK, f"SELECT * FROM {x}", letters.HEAD_LINES), lines).withColumn("kept", F.lit(True))
-    both = lines.join(kept, ["doc_id", "i"], "left").where(F.col("kept") | F.trim("line").eqNullSafe(""))
+    both = lines.join(kept.hint("merge"), ["doc_id", "i"], "left").where(F.col("kept") | F.trim("line").eqNullSafe(""))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "\n")
     bodies = both.groupBy("doc_id").agg(F.regexp_replace(F.regexp_replace(text, r"\n\s*\n\s*\n", "\n\n"), r"^\s+|\s+$", "").alias("body"))
-    out = marked.join(bodies, "doc_id", "left").select(F.col("id").alias(id_col), F.when(F.col("letter"), F.coalesce("body", F.lit(""))).otherwise(F.col("text")).alias(text_col), "letter")
+    out = marked.join(bodies.hint("merge"), "doc_id", "left").select(F.col("id").alias(id_col), F.when(F.col("letter"), F.coalesce("body", F.lit(""))).otherwise(F.col("text")).alias(text_col), "letter")
     return out
 
 
