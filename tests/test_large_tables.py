@@ -1,10 +1,13 @@
 """Results and growth on rows that the smallest tables do not have."""
 
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.functions import text as t
 from corpusloom.functions.dialect import DUCK, SPARK
+from corpusloom.operators import cluster
 
 
 @pytest.mark.parametrize("text", ["que erenstö ñrrado üben " * 3 + "uno dos tres " * 5, "one2 two_ thrée four five " * 9, "ñ ñ ñ " + "aña casa " * 18])
@@ -13,3 +16,20 @@ def test_languages_count_words_between_ascii_boundaries(spark, text):
     got = spark.createDataFrame([(text,)], "text string").selectExpr(f"{t.language(SPARK, 'text')} AS lang", f"size({SPARK.rx_all(s, SPARK.whole('[a-zA-Z]{3,}'))}) AS n").first()
     want = duckdb.execute(f"SELECT {t.language(DUCK, 'text')}, len(regexp_extract_all(text, '\\b[a-zA-Z]{{3,}}\\b')) FROM (SELECT ? AS text) x", [text]).fetchone()
     assert tuple(got) == want
+
+
+def test_mixture_adds_up_blocks_of_components(spark):
+    x = np.random.default_rng(3).normal(size=(150, 4)).round(3)
+    df = spark.createDataFrame([(g, i, v.tolist()) for g in ("a", None) for i, v in enumerate(x)], "grp string, pos long, x array<double>")
+    m = cluster.soft_gmm(x, 30)
+    found = cluster.mixture(df, F.floor(F.col("n") / 5), rows_per_task=40, block=7)
+    assert {(r.grp, r.pos, r.cluster) for r in found.collect()} == {(g, int(i), int(c)) for g in ("a", None) for i, c in zip(*np.nonzero(m))}
+
+
+def test_shares_are_products_of_few_rows_at_a_time():
+    r = np.random.default_rng(5)
+    x, mean, var, mix = r.normal(size=(90, 3)), r.normal(size=(20, 3)), r.random((20, 3)) + 0.1, np.full(20, 0.05)
+    logp = np.log(mix) - 0.5 * (np.log(var).sum(1) + (((x[:, None] - mean) ** 2) / var).sum(2))
+    want = np.exp(logp - logp.max(1, keepdims=True))
+    parts = list(cluster._responsibilities(x, mean, var, mix, 200))
+    assert len(parts) == 9 and np.allclose(np.concatenate([p for _, p in parts]), want / want.sum(1, keepdims=True))
