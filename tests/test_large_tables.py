@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as t
 from corpusloom.functions.dialect import DUCK, SPARK
-from corpusloom.operators import cluster
+from corpusloom.operators import cluster, overlap
+from corpusloom.plans import registry
 
 
 @pytest.mark.parametrize("text", ["que erenstö ñrrado üben " * 3 + "uno dos tres " * 5, "one2 two_ thrée four five " * 9, "ñ ñ ñ " + "aña casa " * 18])
@@ -33,3 +34,13 @@ def test_shares_are_products_of_few_rows_at_a_time():
     want = np.exp(logp - logp.max(1, keepdims=True))
     parts = list(cluster._responsibilities(x, mean, var, mix, 200))
     assert len(parts) == 9 and np.allclose(np.concatenate([p for _, p in parts]), want / want.sum(1, keepdims=True))
+
+
+def test_common_ngrams_are_counted_without_a_shuffle(spark, sf):
+    """Repeated documents count together, as in the oracle; the words of others stay in their task."""
+    rows = [(1, "a b a b", "a b c a b a"), (2, "", "x"), (None, "q", "q q"), (1, "b a", "b b"), (None, "q", "")]
+    df = spark.createDataFrame(rows, "doc_id int, pred string, ref string")
+    got = {r.doc_id: tuple(r)[1:] for r in overlap.overlaps(df, (1, 2)).collect()}
+    assert got == {1: (6.0, 6, 8, 3.0, 4, 6), 2: (0.0, 0, 1, 0.0, 0, 0), None: (2.0, 2, 2, 0.0, 0, 1)}
+    plan = registry.queries()["bleu"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "hashpartitioning" not in plan
