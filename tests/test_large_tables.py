@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as t
 from corpusloom.functions.dialect import DUCK, SPARK
-from corpusloom.operators import cluster, overlap
+from corpusloom.operators import cluster, lexical, overlap
 from corpusloom.plans import registry
 
 
@@ -44,3 +44,20 @@ def test_common_ngrams_are_counted_without_a_shuffle(spark, sf):
     assert got == {1: (6.0, 6, 8, 3.0, 4, 6), 2: (0.0, 0, 1, 0.0, 0, 0), None: (2.0, 2, 2, 0.0, 0, 1)}
     plan = registry.queries()["bleu"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "hashpartitioning" not in plan
+
+
+def test_ranks_among_all_of_the_few_that_leave_tasks(spark):
+    rng = np.random.default_rng(8)
+    docs = [(i, f"s{i % 3}" if i % 7 else None, [(w, 9.0, float(rng.integers(1, 3))) for w in ("a", "b", "c") if rng.random() < 0.6]) for i in range(400)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, words array<struct<w: string, dl: double, tf: double>>").repartition(5)
+    weights = {("q", "a"): 1.0, ("q", "b"): 0.5, ("r", "c"): 2.0, ("r", "x"): 1.0}
+    how = (lexical.blocks(spark.createDataFrame([(*k, v) for k, v in weights.items()], "qid string, w string, weight double"), 1), "string", 9.0, 1.5, 0.75)
+    found = lexical.best(df, *how, 4, 3, 2).where("way <> 'n'")
+    got = {(r.qid, r.doc_id): (r.rb, r.rd) for r in lexical.places(df, *how, found).collect()}
+    for q in ("q", "r"):
+        score = {i: (round(sum(weights[q, w] * tf * 2.5 / (tf + 1.5) for w, _, tf in ws if (q, w) in weights), 9), sum((q, w) in weights for w, *_ in ws)) for i, _, ws in docs if any((q, w) in weights for w, *_ in ws)}
+        rb, rd = (sorted(score, key=lambda i: (-score[i][k], i)) for k in (0, 1))
+        assert {(q, i) for i in rb[:4] + rd[:3]} <= set(got)
+        assert all(got[q, i] == (rb.index(i) + 1, rd.index(i) + 1) for p, i in got if p == q)
+        for s in ("s0", "s1", "s2", None):
+            assert {(q, i) for i in [i for i in rb if docs[i][1] == s][:2]} <= set(got)
