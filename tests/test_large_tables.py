@@ -2,12 +2,13 @@
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as t
 from corpusloom.functions.dialect import DUCK, SPARK
-from corpusloom.operators import cluster, lexical, overlap
+from corpusloom.operators import chunk, cluster, lexical, overlap
 from corpusloom.plans import registry
 
 
@@ -61,3 +62,10 @@ def test_ranks_among_all_of_the_few_that_leave_tasks(spark):
         assert all(got[q, i] == (rb.index(i) + 1, rd.index(i) + 1) for p, i in got if p == q)
         for s in ("s0", "s1", "s2", None):
             assert {(q, i) for i in [i for i in rb if docs[i][1] == s][:2]} <= set(got)
+
+
+def test_chunks_leave_before_their_batch_is_done(spark):
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array(["a b. c d."] * 199 + [None])], names=["id", "text"])
+    seen = []
+    first = next(chunk.chunked(iter([batch]), lambda x: seen.append(x) or [(0, x, 2), {"index": 1, "text": x, "tokens": 2}]))
+    assert len(seen) == chunk.DOCUMENTS_HELD and first.num_rows == 2 * len(seen)
