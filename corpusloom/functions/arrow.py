@@ -27,7 +27,18 @@ GLUED = {
 _GLUED = re.compile("|".join(sorted(map(re.escape, GLUED), key=len, reverse=True)), re.IGNORECASE)
 
 
+#: Letters that match others without case, though lower case does not make them those.
+_FOLDED = re.compile("[ſıİ]")
+
+
 def part_glued(text: str) -> str:
+    """Glued words parted. All of them hold letters beyond ASCII, and few texts hold any: the pattern is tried only where one is found."""
+    if text.isascii():
+        return text
+    low = text.lower()
+    if not any(w in low for w in GLUED) and not _FOLDED.search(text):
+        return text
+
     def one(m: re.Match) -> str:
         w, to = m[0], GLUED[m[0].lower()]
         return to.upper() if w.isupper() else to[0].upper() + to[1:] if w[0].isupper() else to
@@ -93,17 +104,19 @@ cache_key_blake = _text(lambda x: hashlib.blake2b(x.encode(), digest_size=16).he
 
 
 #: Punctuation that counts as its ASCII form.
-PUNCTUATION = str.maketrans({"“": '"', "”": '"', "‘": "'", "’": "'", "–": "-", "—": "-", "…": "..."})
+PUNCTUATION = str.maketrans({"“": '"', "”": '"', "‘": "'", "’": "'", "–": "-", "—": "-", "…": "...", "\u200b": "", "\u200c": "", "\u200d": "", "\ufeff": ""})
+#: Control characters but line feed and tab (Unicode's Cc is these two ranges), and what is neither letter, digit nor a symbol that stays; marks are looked at one by one.
+_CONTROL, _SYMBOL = re.compile("[\x00-\x08\x0b-\x1f\x7f-\x9f]"), re.compile(r"""[^\w \n\t.,;:!?()/%+\-|"']""")
 
 
 def element_text(text: str, kind: str) -> str:
     """An element's text: glued words parted, NFC, hyphens at line ends closed, control and zero-width characters out, plain punctuation; a table keeps its lines and symbols."""
     t = unicodedata.normalize("NFC", part_glued(text)).replace("\r\n", "\n").replace("\r", "\n")
     t = re.sub(r"(?<=\w)-\n(?=\w)", "", t)
-    t = "".join(" " if unicodedata.category(c) == "Cc" and c not in "\n\t" else "" if c in "\u200b\u200c\u200d\ufeff" else c for c in t).translate(PUNCTUATION)
+    t = _CONTROL.sub(" ", t).translate(PUNCTUATION)
     if kind == "table":
         return "\n".join(" ".join(x.split()) for x in t.split("\n")).strip()
-    return " ".join("".join(c if c.isalnum() or c in " \n\t_.,;:!?()/%+-|\"'" or unicodedata.category(c)[0] == "M" else " " for c in t).split())
+    return " ".join(_SYMBOL.sub(lambda m: m[0] if unicodedata.category(m[0])[0] == "M" else " ", t).split())
 
 
 def clean_element(column, kind):

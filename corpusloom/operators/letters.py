@@ -10,24 +10,26 @@ from corpusloom.functions import letters
 from corpusloom.functions.arrow import fix_glued_words
 from corpusloom.functions.dialect import SPARK
 from corpusloom.functions.text import col
-from corpusloom.session import sql_over
+from corpusloom.session import sql_over, stored
 
 
 def clean_letters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, letter): glued words of scans parted; of letters the body's lines, runs of blank lines made one.
 
-    Null texts stay null; rows that share an id are cleaned as one text only if they share it, too.
+    Null texts stay null; rows that share an id are cleaned as one text only if they share it, too. Letters are stored and
+    their lines shuffled; other texts stay in the task that reads them.
     """
     given = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h")).alias("doc_id"), F.col(id_col).alias("id"), F.when(F.col(text_col).isNotNull(), fix_glued_words(text_col)).alias("text"))
     marked = given.withColumn("letter", F.coalesce(col(letters.is_letter, "text"), F.lit(False)))
-    found = marked.where("letter").select("doc_id", "text").distinct()
+    own = stored(marked.where("letter"), "letters")
+    found = own.select("doc_id", "text").distinct()
     lines = sql_over(lambda x: letters.lines_of(SPARK, x), found)
     kept = sql_over(lambda x: letters.body(SPARK, f"SELECT * FROM {x}", letters.HEAD_LINES), lines).withColumn("kept", F.lit(True))
     both = lines.join(kept.hint("merge"), ["doc_id", "i"], "left").where(F.col("kept") | F.trim("line").eqNullSafe(""))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "\n")
     bodies = both.groupBy("doc_id").agg(F.regexp_replace(F.regexp_replace(text, r"\n\s*\n\s*\n", "\n\n"), r"^\s+|\s+$", "").alias("body"))
-    out = marked.join(bodies.hint("merge"), "doc_id", "left").select(F.col("id").alias(id_col), F.when(F.col("letter"), F.coalesce("body", F.lit(""))).otherwise(F.col("text")).alias(text_col), "letter")
-    return out
+    cleaned = own.join(bodies.hint("merge"), "doc_id", "left").select(F.col("id").alias(id_col), F.coalesce("body", F.lit("")).alias(text_col), "letter")
+    return marked.where(~F.col("letter")).select(F.col("id").alias(id_col), F.col("text").alias(text_col), "letter").unionByName(cleaned)
 
 
 def clean_letter_elements(elements: DataFrame, id_col: str = "doc_id", order_col: str = "i", text_col: str = "text") -> DataFrame:

@@ -82,7 +82,7 @@ b AS (SELECT l.doc_id, regexp_replace(regexp_replace(string_agg(line, chr(10) OR
 SELECT d.doc_id, coalesce({rules.is_letter(DUCK)}, false) AS letter, md5(CASE WHEN {rules.is_letter(DUCK)} THEN coalesce(body, '') ELSE text END) AS text_md5 FROM documents d LEFT JOIN b ON b.doc_id = d.doc_id""",
 )
 add("admin_clean_elements", lambda s, d: letters.clean_letter_elements(chunk.build_sections(docs(s, d))).select("doc_id", "i", "kind", "text"))
-add("clean_element", lambda s, d: chunk.build_sections(docs(s, d)).select("doc_id", "i", arrow.clean_element("text", F.when(F.col("kind") == "bullet", "table").otherwise("paragraph")).alias("text")))
+add("clean_element", lambda s, d: chunk.clean_lines(docs(s, d)))
 
 
 def by_lateral(spark, sf_dir):
