@@ -44,7 +44,7 @@ add("rougeL", lambda s, d: pairs(s, d).select("doc_id", arrow.rouge_l("abstract"
 add("rougeLsum", lambda s, d: pairs(s, d).select("doc_id", arrow.rouge_lsum("abstract", "text").alias("f1")))
 for a in summarize.RUNNERS:
     add(a if a != "tfidf" else "tfidf_summary", lambda s, d, a=a: summarize.summarize(docs(s, d), a))
-add("extractive_parallel", lambda s, d: summarize.summarize(docs(s, d), "textrank").withColumn("algorithm", F.lit("textrank")).unionByName(summarize.summarize(docs(s, d), "lexrank").withColumn("algorithm", F.lit("lexrank"))))
+add("extractive_parallel", lambda s, d: summarize.summaries(docs(s, d), ("textrank", "lexrank")))
 add("select_summary", lambda s, d: summarize.summarize(docs(s, d), "tfidf", 5))
 add("extractive_score_table", lambda s, d: summarize.score_table(docs(s, d)))
 add("pagerank", lambda s, d: summarize.score_table(docs(s, d), "textrank").select("doc_id", "i", "score"))
