@@ -1,13 +1,34 @@
 """What is made in the task that reads a text, once for all that needs it."""
 
-from corpusloom.operators import summarize
+import random
+
+from corpusloom.operators import chunk, retrieve, summarize
 from corpusloom.plans import procedural
 
+WORDS = "river town hill dam fish council spring stone iron".split()
+
+
 def names(df):
     plan = df._jdf.queryExecution().sparkPlan().toString()
     return plan, plan.count("FileScan")
 
 
+def test_sentences_are_estimated_once(monkeypatch):
+    rng, seen, plain = random.Random(2), [], chunk.estimate
+    text = " ".join(" ".join(rng.choices(WORDS, k=6)) + f" {i}." for i in range(600))
+    monkeypatch.setattr(chunk, "estimate", lambda x: seen.append(x) or plain(x))
+    made = chunk.token_chunks(text)
+    assert len(made) > 5 and len(seen) == 600 + len(made)
+
+
+def test_benchmark_of_all_dimensions():
+    rng = random.Random(3)
+    for n in (0, 1, 2, 9):
+        texts, query = [" ".join(rng.choices(WORDS, k=30)) for _ in range(n)], "the river town"
+        want = [x for x in (retrieve.benchmark_text(texts, query, d) for d in (32, 64, 256)) if x]
+        assert retrieve.benchmark_dims(texts, query, (32, 64, 256)) == want and len(want) == (3 if n else 0)
+
+
 def test_summaries_by_several_algorithms_read_texts_once(spark, sf):
     docs = procedural.docs(spark, sf)
     got = procedural.QUERIES["extractive_parallel"](spark, sf)
