@@ -106,8 +106,8 @@ def by_lines(name, columns):
 add("sections_lateral", by_lateral)
 add("section_paths", by_lines("section_paths", "doc_id, i, kind, level, path, text"))
 add("paragraphs_fold", by_lines("paragraphs", "doc_id, index, text"))
-add("chunk_element_tokens", lambda s, d: tables.element_chunks(by_lines("section_paths", "doc_id, i, CAST(NULL AS INT) AS page, kind, path, text")(s, d)))
-add("chunk_element_turns", lambda s, d: tables.element_chunks(by_lines("section_paths", "doc_id, i, CAST(NULL AS INT) AS page, kind, path, text")(s, d), turn=0.3))
+add("chunk_element_tokens", lambda s, d: tables.line_chunks(docs(s, d)))
+add("chunk_element_turns", lambda s, d: tables.line_chunks(docs(s, d), turn=0.3))
 add("document_assets", lambda s, d: assets.document_assets(docs(s, d)))
 add("multi_doc_summary_tree", lambda s, d: assets.merged_summaries(docs(s, d), "source"))
 add("gmm_diag_soft", lambda s, d: cluster.gmm_members(table(s, d, "embeddings")))
