@@ -1,15 +1,17 @@
-"""Candidates by vector with expansions, against the reference's steps over lists."""
+"""Candidates by vector with expansions, and hybrid retrieval among all chunks, against the reference's steps over lists."""
 
 import hashlib
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
 import pytest
 
-from corpusloom.plans import registry
+from corpusloom.functions.dialect import DUCK, SPARK
+from corpusloom.operators import candidates
+from corpusloom.plans import registry, retrieval
 
 ASKED = ["fox là gì của red dog home", "Tóm tắt red fox", "cat", "one two three four five six seven", "zz"]
 VOCABULARY = "red fox dog cat home one two three four five six seven là gì số".split()
@@ -79,6 +81,36 @@ def gathered(rows, q):
     return [x[:5] for x in out if not summing or not any(y[5] for y in out) or x[5]]
 
 
+def hybrid(rows, q):
+    """``HybridRetriever.retrieve`` over all chunks with every source chosen; reranked without a model."""
+    rows, names, terms = held(rows), sorted({s for _, s, _ in held(rows)}, key=lambda s: (s is None, s)), q.split()
+    tokens = {i: words_of(x) for i, _, x in rows}
+    n, avgdl, df = len(rows), sum(map(len, tokens.values())) / len(rows), Counter(w for x in tokens.values() for w in set(x))
+    bm = {i: round(sum(math.log((n - df[w] + 0.5) / (df[w] + 0.5) + 1) * x.count(w) * 2.5 / (x.count(w) + 1.5 * (0.25 + 0.75 * len(x) / avgdl)) for w in terms if w in x), 9) for i, x in tokens.items()}
+    sim = {i: cosine(vector(terms), vector(x)) for i, x in tokens.items()}
+    rd, rb = ({i: k for k, i in enumerate(sorted(z, key=lambda i: (-z[i], i)), 1)} for z in (sim, bm))
+    pool = sorted(({"i": i, "s": s, "combined": 100 * (0.7 / (60 + rd[i]) + 0.3 / (60 + rb[i]))} for i, s, _ in rows), key=lambda x: (-x["combined"], x["i"]))
+    top = max(10, 2 * len(names))
+
+    def rerank(chunks, k, least):
+        scored = [{**x, "score": 0.6 * x["combined"] + 0.4 * len(set(terms) & set(tokens[x["i"]])) / max(1, len(set(terms)))} for x in chunks]
+        return sorted(({**x, "score": round(x["score"], 6)} for x in scored if x["score"] >= least * 0.7), key=lambda x: -x["score"])[:k]
+
+    got = rerank(pool[:8], 10, 0.25 if len(names) > 1 else 0.35) or rerank(pool[:3], 1, 0.15)
+    if len(names) > 1:
+        each = max(3 if len(names) > 2 else 2, top // len(names))
+        first = [x for s in names for x in [y for y in got if y["s"] == s][:each]]
+        got = first + [x for x in got if x not in first]
+        least, score = 2 if len(names) > 2 else 1, lambda x: round(x.get("score", x["combined"]), 6)
+        for s in names:
+            need = least - sum(x["s"] == s for x in got)
+            got += [x for x in pool if x["s"] == s and x["i"] not in {y["i"] for y in got}][: max(0, need)]
+        if len(got) > top:
+            final = [x for s in names for x in sorted((y for y in got if y["s"] == s), key=lambda y: -score(y))[:least]]
+            got = final + [x for x in sorted(got, key=lambda y: -score(y)) if x not in final]
+    return [(x["i"], x["s"], place, round(x.get("score", x["combined"]), 6)) for place, x in enumerate(got[:top], 1)]
+
+
 def by_query(rows):
     out = defaultdict(list)
     for q, *x in sorted(rows, key=repr):
@@ -87,7 +119,7 @@ def by_query(rows):
 
 
 @pytest.mark.parametrize("at", [0, 1])
-@pytest.mark.parametrize("name, columns, plain", [("gather_candidates", ("doc_id", "source", "wording", "k", "score"), gathered)])
+@pytest.mark.parametrize("name, columns, plain", [("gather_candidates", ("doc_id", "source", "wording", "k", "score"), gathered), ("hybrid_retrieve", ("doc_id", "source", "place", "score"), hybrid)])
 def test_steps_of_the_reference(spark, tables, at, name, columns, plain):
     path, rows = tables[0][at], tables[1][at]
     df = registry.queries()[name](spark, path)
@@ -103,3 +135,36 @@ def test_steps_of_the_reference(spark, tables, at, name, columns, plain):
     cur = con.execute(registry.oracle_sql()[name])
     names = [c[0] for c in cur.description]
     assert sorted(map(repr, cur.fetchall())) == sorted(repr(tuple(r[c] for c in names)) for r in found)
+
+
+def test_nothing_reaches_the_threshold(spark):
+    """The best of the first three does where it reaches the relaxed one; the others of a source fill it up."""
+    rows = [(1, 10 + i, f"s{i % 3}", 0.1, held, 4, 900 + i, 900 + i) for i, held in enumerate((0, 1, 1, 1, 0, 0))] + [(2, 10 + i, f"s{i % 3}", 0.1, 0, 4, 900 + i, 900 + i) for i in range(6)]
+    names = "qid, doc_id, source, sim, held, n, rd, rb"
+    spark.createDataFrame(rows, "qid int, doc_id int, source string, sim double, held int, n int, rd int, rb int").createOrReplaceTempView("rk")
+    spark.createDataFrame([(3,)], "sources long").createOrReplaceTempView("sz")
+    found = spark.sql(f"WITH {retrieval.retrieved(SPARK)}").orderBy("qid", "place").collect()
+    assert [(r.doc_id, r.how) for r in found if r.qid == 1] == [(11, "relaxed"), (10, "backfill"), (13, "backfill"), (14, "backfill"), (12, "backfill"), (15, "backfill")]
+    assert [(r.doc_id, r.how) for r in found if r.qid == 2] == [(i, "backfill") for i in (10, 13, 11, 14, 12, 15)]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW rk AS SELECT * FROM (VALUES {', '.join(map(str, rows))}) x({names})")
+    con.execute("CREATE VIEW sz AS SELECT 3 AS sources")
+    assert sorted((r[0], r[1], r[3], r[7]) for r in con.execute(f"WITH {retrieval.retrieved(DUCK)}").fetchall()) == sorted((r.qid, r.doc_id, r.place, r.how) for r in found)
+
+
+def test_copies_do_not_leave_their_task():
+    """Of alike chunks only the first can be among the best; nothing that can be is lost."""
+    r = np.random.default_rng(2)
+    for n in (1, 40, 400):
+        ids, of, sim, s = np.arange(n), r.integers(0, 4, n), r.integers(0, 9, n) / 9, r.integers(0, 5, n) / 5
+        few = candidates.undominated(ids, of, sim, s, 8, 2)
+        rd, rb = (np.argsort(np.lexsort((ids, -x))) for x in (sim, s))
+        for a in (0.1, 0.5, 0.9):
+            best = np.argsort(a * rd + (1 - a) * rb, kind="stable")
+            assert set(best[np.argsort(np.sort((a * rd + (1 - a) * rb)), kind="stable")][:1]) <= set(few)
+            for source in range(4):
+                own = best[of[best] == source]
+                value = (a * rd + (1 - a) * rb)[own]
+                assert set(own[value < (value[2] if len(value) > 2 else np.inf)]) <= set(few)
+    alike = candidates.undominated(np.arange(5000), np.zeros(5000, int), np.ones(5000), np.ones(5000), 8, 2)
+    assert alike.tolist() == list(range(8))
