@@ -69,3 +69,40 @@ def test_chunks_leave_before_their_batch_is_done(spark):
     seen = []
     first = next(chunk.chunked(iter([batch]), lambda x: seen.append(x) or [(0, x, 2), {"index": 1, "text": x, "tokens": 2}]))
     assert len(seen) == chunk.DOCUMENTS_HELD and first.num_rows == 2 * len(seen)
+
+
+def test_screened_shares_are_all_that_count():
+    """Blocks of alike rows leave out components of no share; sums and members are those of all components."""
+    r = np.random.default_rng(6)
+    centres = r.normal(size=(300, 6))
+    mean = np.repeat(centres, 8, 0) + r.normal(size=(2400, 6)) * 0.05
+    x = centres[r.integers(0, 300, 700)] + r.normal(size=(700, 6)) * 0.05
+    var, mix = np.full((2400, 6), 0.004) * (1 + r.random((2400, 6))), r.dirichlet(np.ones(2400))
+    whole = np.concatenate([q for _, q in cluster._responsibilities(x, mean, var, mix)])
+    got, parts = np.zeros_like(whole), 0
+    for at, both, near, q in cluster._shares(x, mean, var, mix):
+        assert np.array_equal(both, np.concatenate([np.ones((len(at), 1)), x[at], x[at] ** 2], 1))
+        got[np.ix_(at, np.arange(2400)[near])] = q
+        parts += q.size
+    assert parts < 0.7 * whole.size and np.abs(got - whole).max() < 1e-12 and (got.argmax(1) == whole.argmax(1)).all()
+
+
+def test_single_precision_is_not_trusted_with_large_numbers():
+    """Vectors so far out that sums in single precision cannot tell components apart are held against all."""
+    r = np.random.default_rng(7)
+    mean = 1e5 + r.normal(size=(cluster.SCREENED, 3))
+    x, var, mix = mean[:50] + 0.01, np.full(mean.shape, 1e-3), np.full(len(mean), 1 / len(mean))
+    assert all(q.shape[1] == len(mean) for *_, q in cluster._shares(x, mean, var, mix))
+
+
+def test_large_groups_are_parted_by_their_products(spark, monkeypatch):
+    """A group's vectors go to as many tasks as its part of all products asks for, not to one for every 65,536."""
+    monkeypatch.setattr(cluster, "LEAST_ROWS", 1)
+    x = np.random.default_rng(9).normal(size=(240, 3)).round(3)
+    df = spark.createDataFrame([(g, i, v.tolist()) for g, n in (("large", 240), ("small", 20)) for i, v in enumerate(x[:n])], "grp string, pos long, x array<double>")
+    names = []
+    monkeypatch.setattr(cluster, "stored", lambda d, name, f=cluster.stored: names.append((name, f(d, name))) or names[-1][1])
+    found = {(r.grp, r.pos, r.cluster) for r in cluster.mixture(df, F.floor(F.col("n") / 5)).collect()}
+    want = {(g, int(i), int(c)) for g, n in (("large", 240), ("small", 20)) for i, c in zip(*np.nonzero(cluster.soft_gmm(x[:n], n // 5)))}
+    each = {r.g: -(-r.n // r.each) for r in dict(names)["counts"].collect()}
+    assert found == want and each["large"] >= 6 and each["small"] == 1
